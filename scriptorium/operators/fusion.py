@@ -106,7 +106,7 @@ def weighted(hits: DataFrame, doc: str, limit: int = 10, original: float = 1.0,
     return top_rows(fused, ["query_id"], [-F.col("fusion_score"), F.col(doc)], limit, "fused_rank")
 
 
-def fusion_quality(fused: DataFrame, high: float = 0.8, medium: float = 0.5) -> DataFrame:
+def fusion_quality(fused: DataFrame, high: float = 0.7, medium: float = 0.3) -> DataFrame:
     """Per query: totals, match counts, mean score and a score histogram."""
     score = F.col("fusion_score")
     return fused.groupBy("query_id").agg(
@@ -115,8 +115,8 @@ def fusion_quality(fused: DataFrame, high: float = 0.8, medium: float = 0.5) ->
         F.max("match_count").alias("max_matches"),
         F.round(F.avg(score), 6).alias("avg_score"),
         F.count_if(score > high).alias("high"),
-        F.count_if((score > medium) & (score <= high)).alias("medium"),
-        F.count_if(score <= medium).alias("low"),
+        F.count_if((score >= medium) & (score <= high)).alias("medium"),
+        F.count_if(score < medium).alias("low"),
     )
 
 
@@ -130,7 +130,7 @@ def answer_confidence(hits: DataFrame) -> DataFrame:
         F.avg(F.when(top, F.col("similarity") * F.col("similarity"))).alias("_sq"),
         F.avg(F.when(top, F.col("similarity"))).alias("_mean"),
         F.count("*").alias("_n"),
-        F.max("fused").alias("_f"), F.max("reranked").alias("_r"), F.max(F.col("section_hit") & top).alias("_s"),
+        F.max("fused").alias("_f"), F.max("reranked").alias("_r"), F.max("section_hit").alias("_s"),
     ).select(
         "query_id",
         F.round("_sq", 6).alias("squared"),

@@ -106,8 +106,8 @@ def keyed_hits(spark, sf_dir):
 @query("fusion_quality", "WITH" + t.HITS + "," + FUSED + """
 SELECT query_id, count(*) AS total_results, round(avg(match_count), 6) AS avg_matches, max(match_count) AS max_matches,
        round(avg(fusion_score), 6) AS avg_score, count(*) FILTER (fusion_score > 0.04) AS high,
-       count(*) FILTER (fusion_score > 0.02 AND fusion_score <= 0.04) AS medium,
-       count(*) FILTER (fusion_score <= 0.02) AS low
+       count(*) FILTER (fusion_score >= 0.02 AND fusion_score <= 0.04) AS medium,
+       count(*) FILTER (fusion_score < 0.02) AS low
 FROM fused_top GROUP BY query_id""")
 def fusion_quality(spark, sf_dir):
     fused = fusion.reciprocal_rank(keyed_hits(spark, sf_dir), "doc_key")
@@ -237,7 +237,7 @@ SELECT query_id, round(sq, 6) AS squared,
                    + CASE WHEN s THEN 0.1::DOUBLE ELSE 0 END), 6) AS enhanced,
        round(least(0.95::DOUBLE, n * 0.2::DOUBLE + 0.3::DOUBLE), 6) AS by_count, round(mean, 6) AS top_mean
 FROM (SELECT query_id, avg(similarity * similarity) FILTER (rank <= 3) AS sq, avg(similarity) FILTER (rank <= 3) AS mean,
-             count(*) AS n, max(similarity) AS m, coalesce(bool_or(section <> 'regular') FILTER (rank <= 3), false) AS s
+             count(*) AS n, max(similarity) AS m, bool_or(section <> 'regular') AS s
       FROM sectioned GROUP BY query_id)""")
 def answer_confidence(spark, sf_dir):
     flagged = sectioned_hits(spark, sf_dir).withColumns({

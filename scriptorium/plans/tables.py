@@ -16,6 +16,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long rows; one that comes in fewer files than there are cores is dealt out to all of them."""
+    df = read(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def _kept(build):
     """Build a derived table once per session and directory and keep it; a lost part is computed again."""
 
@@ -30,7 +37,7 @@ def _kept(build):
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk per non-empty line of each document, five lines to a page."""
-    lines = read(spark, sf_dir, "documents").select(
+    lines = read_spread(spark, sf_dir, "documents").select(
         "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content")
     ).where(F.trim("content") != "")
     return lines.select(
