@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import words
 from scriptorium.functions.vectors import bag_of_words
+from scriptorium.operators.conversations import pair_turns
 from scriptorium.operators.search import attach, nearest
 
 _KEPT: dict[tuple, DataFrame] = {}
@@ -186,3 +187,63 @@ def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(
         vector_queries(spark, sf_dir), vector_corpus(spark, sf_dir), TOP_K, ["query_id", "variant_no"], "vec_id"
     )
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question–answer turns of the conversations."""
+    return pair_turns(read(spark, sf_dir, "conversations"))
+
+
+TURNS = """
+turns AS (
+  SELECT conv_id AS conversation_id, turn, question, answer,
+         CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS turn_no,
+         TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts
+  FROM (SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS next_role, lead(text) OVER w AS answer
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+@_kept
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answered questions with their three best chunks; answers get a citation of one source and a measured value."""
+    asked = turns(spark, sf_dir).withColumn("response_id", F.concat_ws("-", "conversation_id", "turn"))
+    found = nearest(
+        asked.select("response_id", bag_of_words(F.col("question")).alias("vec")), chunk_vectors(spark, sf_dir), 3,
+        ["response_id"], "chunk_id",
+    )
+    hits = chunks(spark, sf_dir).join(found, "chunk_id")
+    packed = hits.groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", F.col("chunk_id").alias("source_id"), F.col("source").alias("name"), "page", "content",
+        F.col("similarity").alias("score"),
+    ))).alias("sources"))
+    first = F.get("sources", F.lit(0))
+    marked = (
+        F.when(F.col("conversation_id") % 3 == 0, F.concat(
+            F.col("answer"), F.lit(" Eh ["), first["name"], F.lit(", p."), first["page"].cast("string"), F.lit("]. End.")
+        ))
+        .when(F.col("conversation_id") % 3 == 1, F.concat(F.lit("Conforme "), first["name"], F.lit(", "), F.col("answer")))
+        .otherwise(F.concat(F.col("answer"), F.lit(" That = "), (F.col("turn") * 3).cast("string"), F.lit(",5 of.")))
+    )
+    return asked.join(packed, "response_id").select(
+        "response_id", "conversation_id", "turn_no", "question", marked.alias("answer"), "sources", "ts"
+    )
+
+
+RESPONSES = CHUNK_VECTORS + "," + TURNS + f""",
+asked AS (SELECT *, concat_ws('-', conversation_id, turn) AS response_id, {sql_embed('question')} AS qvec FROM turns),
+response_scored AS (
+  SELECT response_id, chunk_id, round({sql_cosine('qvec', 'vec')}, 6) AS similarity FROM asked, chunk_vectors),
+response_hits AS (
+  SELECT response_id, CAST(row_number() OVER (PARTITION BY response_id ORDER BY similarity DESC, chunk_id) AS INT) AS rank, chunk_id, similarity
+  FROM response_scored QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY similarity DESC, chunk_id) <= 3),
+sources AS (
+  SELECT response_id, rank, rank - 1 AS source_no, chunk_id AS source_id, source AS name, page, content, similarity AS score,
+         CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS excerpt
+  FROM response_hits JOIN chunks USING (chunk_id)),
+responses AS (
+  SELECT a.response_id, conversation_id, turn_no, question,
+         CASE conversation_id % 3 WHEN 0 THEN answer || ' Eh [' || name || ', p.' || page || ']. End.'
+              WHEN 1 THEN 'Conforme ' || name || ', ' || answer ELSE answer || ' That = ' || CAST(turn * 3 AS VARCHAR) || ',5 of.' END AS answer, ts
+  FROM asked a JOIN sources s ON s.response_id = a.response_id AND s.rank = 1),
+source_lists AS (SELECT response_id, list(content ORDER BY rank) AS sources FROM sources GROUP BY response_id)"""
