@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import tokens
+from scriptorium.functions.text import let, tokens
 
-HEX = "0123456789abcdef"
 DIMENSIONS = 64
 
 
@@ -25,22 +24,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def bag_of_words(text: Column) -> Column:
-    """Default embedder: token counts over 64 hash buckets.
-
-    A token's bucket is the first hex digit of its md5 and the second digit modulo 4.  Buckets are written as
-    three-character codes into one string and counted by length after removal, which stays in generated code.
-    """
-    codes = F.array_join(F.transform(tokens(text), _code), "")
-    return F.array(*[
-        (F.length(codes) - F.length(F.replace(codes, F.lit(f"{HEX[i // 4]}{i % 4} "), F.lit("")))) / 3
-        for i in range(DIMENSIONS)
-    ])
-
-
-def _code(token: Column) -> Column:
-    digest = F.md5(token)
-    low = F.translate(F.substring(digest, 2, 1), HEX, "0123" * 4)
-    return F.concat(F.substring(digest, 1, 1), low, F.lit(" "))
+    """Default embedder: token counts over 64 hash buckets, the first two hex digits of a token's md5 modulo 64."""
+    buckets = F.transform(
+        tokens(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % DIMENSIONS)
+    )
+    return let(buckets, lambda b: F.transform(
+        F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.size(b) - F.size(F.array_remove(b, i))
+    ))
 
 
 Embedder = Callable[[Column], Column]

@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import contained_terms, count_contained
 from scriptorium.scale import number_rows, top_rows
 
 RRF_K = 60
@@ -41,11 +40,16 @@ def number_results(merged: DataFrame, **options) -> DataFrame:
     return number_rows(merged, ["query_id"], order, "rank", **options)
 
 
+def _in_both(query: Column, content: Column, terms: Sequence[str]) -> Column:
+    total = F.lit(0)
+    for term in terms:
+        total = total + (query.contains(term.lower()) & content.contains(term.lower())).cast("int")
+    return total
+
+
 def boost_terms(hits: DataFrame, query: Column, terms: Sequence[str], step: float = 0.1) -> DataFrame:
     """×(1 + step · number of query terms in the content), capped at 1."""
-    content = F.lower("content")
-    asked = contained_terms(F.lower(query), terms)
-    matches = F.size(F.filter(asked, lambda t: F.contains(content, t)))
+    matches = _in_both(F.lower(query), F.lower("content"), terms)
     return hits.withColumns({
         "term_matches": matches,
         "boosted": F.least(F.lit(1.0), F.col("similarity") * (1 + matches * step)),
@@ -163,12 +167,9 @@ def keyword_boost(
 ) -> DataFrame:
     """× 1.2 per high and 1.1 per medium keyword found in both query and content, capped at 1."""
     q, content = F.lower(query), F.lower("content")
-
-    def both(terms: Sequence[str]) -> Column:
-        asked = contained_terms(q, [t.lower() for t in terms])
-        return F.size(F.filter(asked, lambda t: F.contains(content, t)))
-
-    factor = F.pow(F.lit(high_factor), both(high)) * F.pow(F.lit(medium_factor), both(medium))
+    factor = F.pow(F.lit(high_factor), _in_both(q, content, high)) * F.pow(
+        F.lit(medium_factor), _in_both(q, content, medium)
+    )
     return hits.withColumns({
         "technical_boost": factor,
         "boosted": F.when(factor > 1, F.least(F.lit(1.0), F.col("similarity") * factor)).otherwise(F.col("similarity")),

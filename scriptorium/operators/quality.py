@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.rules import Rule, classify
 from scriptorium.functions.text import (
-    contained_terms, contains_any, count_contained, sentences_plain, strip, tokens, word_count, words,
+    contains_any, count_contained, let, sentences_plain, tokens, word_count, words,
 )
 from scriptorium.functions.vectors import Embedder, bag_of_words, cosine
 from scriptorium.lexicons import CRITIQUE_TYPES
@@ -85,28 +85,32 @@ NAME_VALUE = r"([\p{L}\p{N}_]+)\s*[=:]\s*([\d.,]+)\s*([\p{L}\p{N}_]+)?"
 
 def _keywords(text: Column, v: Vocabulary, limit: int = 10) -> Column:
     """Priority terms in their own order, then the other words in text order."""
-    found = F.array_distinct(F.filter(tokens(text, 3), lambda w: ~w.isin(*v.stop_words)))
-    first = F.filter(F.array(*map(F.lit, v.priority_terms)), lambda p: F.array_contains(found, p))
-    return F.slice(F.concat(first, F.array_except(found, first)), 1, limit)
+    def ordered(found: Column) -> Column:
+        first = F.array_intersect(F.array(*map(F.lit, v.priority_terms)), found)
+        return F.slice(F.concat(first, F.array_except(found, first)), 1, limit)
+
+    return let(F.array_distinct(F.filter(tokens(text, 3), lambda w: ~w.isin(*v.stop_words))), ordered)
 
 
 def relevance(question: Column, answer: Column, v: Vocabulary = DEFAULT, embedder: Embedder = bag_of_words) -> Column:
     """struct(score, similarity, overlap, question_type, structure)."""
-    similarity = F.round(cosine(embedder(question), embedder(answer)), 9)
-    asked = _keywords(question, v)
-    overlap = F.when(
+    similarity = F.round(let(embedder(question), lambda a: let(embedder(answer), lambda b: cosine(a, b))), 9)
+    overlap = let(_keywords(question, v), lambda asked: F.when(
         F.size(asked) > 0, F.size(F.array_intersect(asked, _keywords(answer, v))) / F.size(asked)
-    ).otherwise(0.0)
+    ).otherwise(0.0))
     kind = classify(question, v.question_types, "general")
     structure = F.lit(0.7)
     for name, found in v.structure.items():
         share = count_contained(F.lower(answer), found) / len(found) + 0.3
         structure = F.when(kind == name, F.least(F.lit(1.0), share)).otherwise(structure)
-    score = F.least(F.lit(1.0), similarity * 0.4 + overlap * 0.3 + structure * 0.3)
-    return F.struct(
-        score.alias("score"), similarity.alias("similarity"), overlap.alias("overlap"), kind.alias("question_type"),
-        structure.alias("structure"),
+    parts = F.struct(
+        similarity.alias("similarity"), overlap.alias("overlap"), kind.alias("question_type"), structure.alias("structure")
     )
+    return let(parts, lambda p: F.struct(
+        F.least(F.lit(1.0), p["similarity"] * 0.4 + p["overlap"] * 0.3 + p["structure"] * 0.3).alias("score"),
+        p["similarity"].alias("similarity"), p["overlap"].alias("overlap"), p["question_type"].alias("question_type"),
+        p["structure"].alias("structure"),
+    ))
 
 
 def claims(answer: Column, v: Vocabulary = DEFAULT, limit: int = 5) -> Column:
@@ -122,10 +126,9 @@ def _claim_words(text: Column, v: Vocabulary) -> Column:
 
 def supported(claim: Column, source_words: Column, v: Vocabulary = DEFAULT) -> Column:
     """Whether one source shares more than half of the claim's words."""
-    said = _claim_words(claim, v)
-    return F.exists(
+    return let(_claim_words(claim, v), lambda said: F.exists(
         source_words, lambda s: (F.size(said) > 0) & (F.size(F.array_intersect(said, s)) / F.size(said) > 0.5)
-    )
+    ))
 
 
 def contradiction_count(answer: Column, sources: Column, v: Vocabulary = DEFAULT) -> Column:
@@ -140,17 +143,24 @@ def contradiction_count(answer: Column, sources: Column, v: Vocabulary = DEFAULT
 
 def consistency(answer: Column, sources: Column, v: Vocabulary = DEFAULT) -> Column:
     """struct(score, claims, supported, contradictions)."""
-    found = claims(answer, v)
     texts = F.transform(sources, lambda s: _claim_words(s, v))
-    ok = F.size(F.filter(F.transform(found, lambda c: supported(c, texts, v)), lambda b: b))
-    base = F.when(F.size(found) > 0, ok / F.size(found)).otherwise(0.8)
-    clashes = contradiction_count(answer, sources, v)
-    score = F.when(F.size(sources) == 0, 0.5).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * (1 - clashes * 0.2)))
-    )
-    return F.struct(
-        score.alias("score"), F.size(found).alias("claims"), ok.alias("supported"), clashes.alias("contradictions")
-    )
+    checked = let(texts, lambda t: F.transform(claims(answer, v), lambda c: supported(c, t, v)))
+    counts = let(checked, lambda ok: F.struct(
+        F.size(ok).alias("claims"), F.size(F.filter(ok, lambda b: b)).alias("supported"),
+        contradiction_count(answer, sources, v).alias("contradictions"),
+    ))
+
+    def rated(n: Column) -> Column:
+        base = F.when(n["claims"] > 0, n["supported"] / n["claims"]).otherwise(0.8)
+        score = F.when(F.size(sources) == 0, 0.5).otherwise(
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * (1 - n["contradictions"] * 0.2)))
+        )
+        return F.struct(
+            score.alias("score"), n["claims"].alias("claims"), n["supported"].alias("supported"),
+            n["contradictions"].alias("contradictions"),
+        )
+
+    return let(counts, rated)
 
 
 def _whole(term: str) -> str:
@@ -168,10 +178,10 @@ def unit_consistency(text: Column, v: Vocabulary = DEFAULT) -> Column:
             unit = unit | text.rlike(_whole(u))
         mentions = mentions + count
         good = good + F.when((count > 0) & unit, 1).otherwise(0)
-    return F.struct(
-        F.when(mentions > 0, good / mentions).otherwise(1.0).alias("score"), mentions.alias("mentions"),
-        good.alias("with_unit"),
-    )
+    return let(F.struct(mentions.alias("m"), good.alias("g")), lambda c: F.struct(
+        F.when(c["m"] > 0, c["g"] / c["m"]).otherwise(1.0).alias("score"), c["m"].alias("mentions"),
+        c["g"].alias("with_unit"),
+    ))
 
 
 def numeric_ranges(text: Column, v: Vocabulary = DEFAULT) -> Column:
@@ -181,7 +191,6 @@ def numeric_ranges(text: Column, v: Vocabulary = DEFAULT) -> Column:
     pairs = F.zip_with(names, values, lambda n, x: F.struct(
         F.lower(n).alias("n"), F.replace(x, F.lit(","), F.lit(".")).try_cast("double").alias("x")
     ))
-    read = F.filter(pairs, lambda p: p["x"].isNotNull())
 
     def inside(p: Column) -> Column:
         case = F.lit(True)
@@ -189,18 +198,20 @@ def numeric_ranges(text: Column, v: Vocabulary = DEFAULT) -> Column:
             case = F.when(p["n"].contains(name), p["x"].between(low, high)).otherwise(case)
         return case
 
-    good = F.size(F.filter(read, inside))
-    return F.struct(
-        F.when(F.size(read) > 0, good / F.size(read)).otherwise(1.0).alias("score"), F.size(read).alias("checked"),
-        good.alias("in_range"),
-    )
+    counts = let(F.filter(pairs, lambda p: p["x"].isNotNull()), lambda read: F.struct(
+        F.size(read).alias("checked"), F.size(F.filter(read, inside)).alias("in_range")
+    ))
+    return let(counts, lambda c: F.struct(
+        F.when(c["checked"] > 0, c["in_range"] / c["checked"]).otherwise(1.0).alias("score"),
+        c["checked"].alias("checked"), c["in_range"].alias("in_range"),
+    ))
 
 
 def term_band(text: Column, v: Vocabulary = DEFAULT) -> Column:
     """1.0 for 5–20 % of lexicon terms per word, 0.7 below, 0.8 above."""
     n = word_count(text)
     density = F.when(n > 0, count_contained(F.lower(text), v.technical_terms) / n).otherwise(0.0)
-    return F.when(density.between(0.05, 0.2), 1.0).when(density < 0.05, 0.7).otherwise(0.8)
+    return let(density, lambda d: F.when(d.between(0.05, 0.2), 1.0).when(d < 0.05, 0.7).otherwise(0.8))
 
 
 def known_errors(text: Column, v: Vocabulary = DEFAULT) -> Column:
@@ -234,27 +245,28 @@ def aspects(question: Column, v: Vocabulary = DEFAULT) -> Column:
 def completeness(question: Column, answer: Column, v: Vocabulary = DEFAULT) -> Column:
     """Share of aspects with a keyword in the answer; × 0.7 below twenty words."""
     asked = aspects(question, v)
-    low = F.lower(answer)
-    met = F.size(F.filter(asked, lambda k: F.exists(k, lambda w: F.contains(low, w))))
-    share = F.when(F.size(asked) > 0, met / F.size(asked)).otherwise(0.8)
+    met = let(F.lower(answer), lambda low: F.transform(asked, lambda k: F.exists(k, lambda w: F.contains(low, w))))
+    share = let(met, lambda m: F.when(
+        F.size(m) > 0, F.size(F.filter(m, lambda b: b)) / F.size(m)
+    ).otherwise(0.8))
     return F.least(F.lit(1.0), F.when(word_count(answer) < 20, share * 0.7).otherwise(share))
 
 
 def clarity(answer: Column, v: Vocabulary = DEFAULT) -> Column:
     """Mean of sentence length, connectives and jargon balance."""
-    lengths = F.transform(sentences_plain(answer), word_count)
-    mean = F.aggregate(lengths, F.lit(0), lambda a, x: a + x) / F.size(lengths)
-    length = (
-        F.when(F.size(lengths) == 0, 0.5).when(mean.between(15, 25), 1.0).when(mean < 15, 0.8)
-        .otherwise(F.greatest(F.lit(0.5), 1.0 - (mean - 25) * 0.02))
-    )
+    mean = let(F.transform(sentences_plain(answer), word_count), lambda n: F.when(
+        F.size(n) > 0, F.aggregate(n, F.lit(0), lambda a, x: a + x) / F.size(n)
+    ))
+    length = let(mean, lambda m: (
+        F.when(m.isNull(), 0.5).when(m.between(15, 25), 1.0).when(m < 15, 0.8)
+        .otherwise(F.greatest(F.lit(0.5), 1.0 - (m - 25) * 0.02))
+    ))
     linked = F.least(F.lit(1.0), count_contained(F.lower(answer), v.connectives) * 0.2 + 0.6)
     n = word_count(answer)
     jargon = F.size(F.filter(words(F.lower(answer)), lambda w: w.isin(*v.technical_terms)))
-    ratio = F.when(n > 0, jargon / n).otherwise(0.0)
-    balance = F.when(ratio.between(0.1, 0.2), 1.0).when(ratio < 0.1, 0.8).otherwise(
-        F.greatest(F.lit(0.6), 1.0 - (ratio - 0.2) * 2)
-    )
+    balance = let(F.when(n > 0, jargon / n).otherwise(0.0), lambda r: F.when(r.between(0.1, 0.2), 1.0).when(
+        r < 0.1, 0.8
+    ).otherwise(F.greatest(F.lit(0.6), 1.0 - (r - 0.2) * 2)))
     return (length + linked + balance) / 3
 
 

@@ -60,7 +60,7 @@ per_segment AS (
   SELECT response_id, segment_no, string_agg(source_id || ':' || kind, ',' ORDER BY o) AS cites, avg(confidence) AS confidence, count(*) AS n,
          bool_or(kind = 'explicit') AS e FROM cited_full GROUP BY ALL),
 tracked AS (
-  SELECT g.*, coalesce(cites, '') AS cites, round(confidence, 6) AS confidence,
+  SELECT g.*, coalesce(cites, '') AS cites, round(confidence, 10) AS confidence,
          CASE WHEN n IS NULL THEN 'none' WHEN e THEN 'direct' WHEN n > 1 AND confidence > 0.8 THEN 'synthesis'
               WHEN confidence > 0.7 THEN 'paraphrase' ELSE 'inference' END AS citation_type
   FROM segments g LEFT JOIN per_segment USING (response_id, segment_no))"""
@@ -75,7 +75,7 @@ SELECT response_id, segment_no, cites, confidence, citation_type FROM tracked"""
 def citation_tracking(spark, sf_dir):
     cites = F.array_join(F.transform("citations", lambda c: F.concat(c["source_id"], F.lit(":"), c["kind"])), ",")
     return tracked(spark, sf_dir).select(
-        "response_id", "segment_no", cites.alias("cites"), F.round("confidence", 6).alias("confidence"), "citation_type"
+        "response_id", "segment_no", cites.alias("cites"), "confidence", "citation_type"
     )
 
 
@@ -100,7 +100,7 @@ def citation_semantic(spark, sf_dir):
 SELECT t.response_id, round(coalesce(sum(length(text)) FILTER (citation_type <> 'none'), 0) / max(length(answer)), 6) AS coverage,
        CAST((SELECT count(DISTINCT source_id) FROM cited_full c WHERE c.response_id = t.response_id) AS INT) AS source_diversity,
        count(*) AS total_segments, count(*) FILTER (citation_type <> 'none') AS cited_segments,
-       count(*) FILTER (citation_type = 'none') AS uncited_segments, round(coalesce(avg(confidence), 0.0), 6) AS avg_confidence,
+       count(*) FILTER (citation_type = 'none') AS uncited_segments, round(coalesce(avg(confidence), 0.0), 10) AS avg_confidence,
        count(*) FILTER (citation_type = 'direct') AS direct, count(*) FILTER (citation_type = 'paraphrase') AS paraphrase,
        count(*) FILTER (citation_type = 'synthesis') AS synthesis, count(*) FILTER (citation_type = 'inference') AS inference
 FROM tracked t JOIN responses USING (response_id) GROUP BY t.response_id""")

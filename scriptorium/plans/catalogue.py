@@ -1,4 +1,4 @@
 """All registered queries; importing a module registers its queries."""
 
-from scriptorium.plans import answers, contexts, documents, questions, retrieval  # noqa: F401
+from scriptorium.plans import answers, contexts, dialogue, documents, operations, questions, retrieval  # noqa: F401
 from scriptorium.plans.registry import ORACLES, QUERIES  # noqa: F401

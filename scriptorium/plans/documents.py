@@ -345,10 +345,10 @@ def semantic_chunks(spark, sf_dir):
     """Whole semantic chunking: sentences, boundaries and titles to chunk rows."""
     docs = documents(spark, sf_dir)
     found = chunking.semantic_boundaries(docs)
-    titled = docs.select("doc_id", "text", F.transform(structure.section_array(F.col("text")), lambda s: s["title"]).alias("titles"))
+    titles = F.filter(F.transform(structure.section_array(F.col("text")), lambda s: s["title"]), lambda x: x != "")
+    titled = docs.select("doc_id", "text", titles.alias("titles"))
     packed = chunking.pack_semantic(
-        split_sentences(F.col("text"), "long"), F.coalesce("boundaries", F.array().cast("array<int>")),
-        F.filter("titles", lambda x: x != ""),
+        split_sentences(F.col("text"), "long"), F.coalesce("boundaries", F.array().cast("array<int>")), F.col("titles")
     )
     return titled.join(found, "doc_id", "left").select("doc_id", F.posexplode(packed).alias("chunk_index", "c")).select(
         "doc_id", "chunk_index", "c.content", "c.start", "c.end"

@@ -70,10 +70,7 @@ def sql_strip(text: str) -> str:
 
 
 def sql_embed(text: str) -> str:
-    bucket = (
-        "(instr('0123456789abcdef', substr(md5(t), 1, 1)) - 1) * 4"
-        " + (instr('0123456789abcdef', substr(md5(t), 2, 1)) - 1) % 4"
-    )
+    bucket = "CAST('0x' || substr(md5(t), 1, 2) AS INT) % 64"
     return (
         f"list_transform([list_transform({sql_tokens(text)}, lambda t: {bucket})], lambda b:"
         " list_transform(range(64), lambda i: CAST(len(list_filter(b, lambda x: x = i)) AS DOUBLE)))[1]"
