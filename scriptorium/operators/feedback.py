@@ -45,16 +45,26 @@ def performance(rated: DataFrame) -> DataFrame:
 
     ``success_rate_ref`` is the running figure that leaves the first feedback out once there are two.
     """
+    return performance_rates(performance_sums(rated))
+
+
+def performance_sums(rated: DataFrame) -> DataFrame:
+    """The sums behind ``performance``; the same aggregation runs in batch and on a stream."""
     order = F.struct("ts", "feedback_id")
     good = F.col("satisfied").cast("int")
     return rated.groupBy("question_type").agg(
-        F.avg("rating").alias("avg_rating"), F.count("*").alias("total_feedback"), F.sum(good).alias("_good"),
-        F.min_by(good, order).alias("_first"), F.min_by("question_length", order).alias("optimal_length"),
-    ).select(
+        F.avg("rating").alias("avg_rating"), F.count("*").alias("total_feedback"), F.sum(good).alias("good"),
+        F.min_by(good, order).alias("first_good"), F.min_by("question_length", order).alias("optimal_length"),
+    )
+
+
+def performance_rates(sums: DataFrame) -> DataFrame:
+    return sums.select(
         "question_type", F.round("avg_rating", 6).alias("avg_rating"), "total_feedback",
-        F.round(F.when(F.col("total_feedback") > 1, (F.col("_good") - F.col("_first")) / (F.col("total_feedback") - 1))
-                .otherwise(F.col("_first").cast("double")), 6).alias("success_rate_ref"),
-        F.round(F.col("_good") / F.col("total_feedback"), 6).alias("success_rate"), "optimal_length",
+        F.round(F.when(
+            F.col("total_feedback") > 1, (F.col("good") - F.col("first_good")) / (F.col("total_feedback") - 1)
+        ).otherwise(F.col("first_good").cast("double")), 6).alias("success_rate_ref"),
+        F.round(F.col("good") / F.col("total_feedback"), 6).alias("success_rate"), "optimal_length",
     )
 
 
@@ -75,7 +85,7 @@ def pattern_candidates(rated: DataFrame) -> DataFrame:
     return liked.unionAll(sourced)
 
 
-def _update_map(candidate_no: Column) -> Column:
+def update_map(candidate_no: Column) -> Column:
     """One candidate as a map on (confidence, number): confidence → clamp(c + add, low, high); number → keep·v + plus.
 
     The first candidate of a pattern is a constant map, so the composition needs no start value.
@@ -96,7 +106,7 @@ def _update_map(candidate_no: Column) -> Column:
     )
 
 
-def _then(a: Column, b: Column) -> Column:
+def then(a: Column, b: Column) -> Column:
     """The map that applies ``a`` and then ``b``."""
     def clamp(x: Column) -> Column:
         return F.least(b["high"], F.greatest(b["low"], x))
@@ -110,7 +120,7 @@ def _then(a: Column, b: Column) -> Column:
 
 
 def _compose(maps: Column) -> Column:
-    return F.aggregate(F.slice(maps, F.lit(2), F.greatest(F.size(maps) - 1, F.lit(0))), F.get(maps, F.lit(0)), _then)
+    return F.aggregate(F.slice(maps, F.lit(2), F.greatest(F.size(maps) - 1, F.lit(0))), F.get(maps, F.lit(0)), then)
 
 
 def compose_updates(numbered: DataFrame, segment: int = SEGMENT, levels: int = 3) -> DataFrame:
@@ -137,7 +147,7 @@ def consolidate(candidates: DataFrame, segment: int = SEGMENT, **options) -> Dat
     )
     typed = candidates.join(small_side(first), "pattern_id").withColumn("question_type", F.col("_qt")).drop("_qt")
     numbered = number_rows(typed, ["pattern_id"], [F.col("ts"), F.col("feedback_id")], "no", **options)
-    done = compose_updates(numbered.withColumn("step", _update_map(F.col("no"))), segment)
+    done = compose_updates(numbered.withColumn("step", update_map(F.col("no"))), segment)
     return pattern_rows(done)
 
 

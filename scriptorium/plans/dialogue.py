@@ -153,8 +153,9 @@ feedback AS (
   FROM events LEFT JOIN turns ON conversation_id = user_id AND turn_no = 1)"""
 
 
-def feedback_rows(spark, sf_dir):
-    events = event_rows(spark, sf_dir)
+def feedback_rows(spark, sf_dir, events=None):
+    """Feedback from the events table, or from a stream of it."""
+    events = event_rows(spark, sf_dir) if events is None else events
     first = t.turns(spark, sf_dir).where("turn_no = 1").select(F.col("conversation_id").alias("user_id"), "question", "answer")
     e = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -166,8 +167,8 @@ def feedback_rows(spark, sf_dir):
     )
 
 
-def rated(spark, sf_dir):
-    return feedback.features(feedback_rows(spark, sf_dir), TYPES, TERMS, TERMS)
+def rated(spark, sf_dir, events=None):
+    return feedback.features(feedback_rows(spark, sf_dir, events), TYPES, TERMS, TERMS)
 
 
 RATED = FEEDBACK + f""",

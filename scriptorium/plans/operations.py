@@ -13,7 +13,7 @@ from scriptorium.sources import files, index, records
 ACCESS = """
 access AS (
   SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key, CASE event_type WHEN 'purchase' THEN 'set' ELSE 'get' END AS kind, ts,
-         [1800, 3600, 86400][CAST(event_id % 3 + 1 AS INT)] AS ttl, [event_type, 't' || (event_id % 4)] AS tags, CAST(floor(value * 10) AS BIGINT) AS size
+         CAST([1800, 3600, 86400][CAST(event_id % 3 + 1 AS INT)] AS BIGINT) AS ttl, [event_type, 't' || (event_id % 4)] AS tags, CAST(floor(value * 10) AS BIGINT) AS size
   FROM events WHERE event_type IN ('purchase', 'view', 'click'))"""
 
 
@@ -87,9 +87,11 @@ log AS (
 errors AS (SELECT * FROM log WHERE op = 'error')"""
 
 
-def log(spark, sf_dir):
+def log(spark, sf_dir, events=None):
+    """The operation log from the events table, or from a stream of it."""
+    events = event_rows(spark, sf_dir) if events is None else events
     k = F.get_json_object("props", "$.k")
-    return event_rows(spark, sf_dir).select(
+    return events.select(
         F.col("event_id").alias("id"), F.col("event_type").alias("op"), "ts", F.col("value").alias("duration_ms"),
         ((F.col("event_type") != "error") & (F.col("event_id") % 17 != 0)).alias("success"),
         F.concat(F.lit("Err"), (k.cast("long") % 7).cast("string")).alias("error_type"),

@@ -29,14 +29,12 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def durable(df: DataFrame) -> DataFrame:

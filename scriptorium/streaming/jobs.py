@@ -15,7 +15,7 @@ from scriptorium.functions.cleaning import clean
 from scriptorium.functions.vectors import Embedder, bag_of_words
 from scriptorium.operators.chunking import chunk_id, pack_paragraphs
 from scriptorium.operators.embedding import embed_with_cache
-from scriptorium.operators.feedback import _then, _update_map, compose_updates
+from scriptorium.operators.feedback import compose_updates, performance_sums, then, update_map
 from scriptorium.scale import number_rows
 from scriptorium.sources.index import append_chunks, read_index
 
@@ -42,13 +42,8 @@ def index_documents(
 
 
 def running_ratings(rated: DataFrame) -> DataFrame:
-    """Mean, count and success rates per question type so far; equals the batch figures over the same rows."""
-    order = F.struct("ts", "feedback_id")
-    good = F.col("satisfied").cast("int")
-    return rated.groupBy("question_type").agg(
-        F.avg("rating").alias("avg_rating"), F.count("*").alias("total_feedback"), F.sum(good).alias("good"),
-        F.min_by(good, order).alias("first_good"), F.min_by("question_length", order).alias("optimal_length"),
-    )
+    """The sums of ratings per question type so far; the batch figures over the same rows."""
+    return performance_sums(rated)
 
 
 def update_patterns(candidates: DataFrame, path: str, checkpoint: str):
@@ -69,7 +64,7 @@ def update_patterns(candidates: DataFrame, path: str, checkpoint: str):
             }).drop("_qt")
         first_type = typed.groupBy("pattern_id").agg(F.min_by("question_type", "no").alias("_t"))
         typed = typed.join(first_type, "pattern_id").withColumn("question_type", F.col("_t")).drop("_t")
-        steps = typed.withColumn("step", _update_map(F.col("no") + F.col("offset")))
+        steps = typed.withColumn("step", update_map(F.col("no") + F.col("offset")))
         fresh = compose_updates(steps)
         if state is not None:
             old = state.select("pattern_id", "pattern_type", "question_type", F.col("step").alias("old"))
@@ -77,7 +72,7 @@ def update_patterns(candidates: DataFrame, path: str, checkpoint: str):
             fresh = joined.select(
                 "pattern_id", "pattern_type", "question_type",
                 F.when(F.col("old").isNull(), F.col("step")).when(F.col("step").isNull(), F.col("old"))
-                .otherwise(_then(F.col("old"), F.col("step"))).alias("step"),
+                .otherwise(then(F.col("old"), F.col("step"))).alias("step"),
             )
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_no}")
 
@@ -88,6 +83,13 @@ def _state_before(spark: SparkSession, path: str, batch_no: int) -> DataFrame |
     return None if batch_no == 0 else read_index(spark, f"{path}/batch={batch_no - 1}")
 
 
+def last_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state table."""
+    every = spark.read.parquet(path)
+    newest = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == newest).drop("batch")
+
+
 def closing_sessions(turns: DataFrame, idle: str = "24 hours", lateness: str = LATENESS) -> DataFrame:
     """Conversation sessions, given out once the watermark is past ``idle`` after their last turn."""
     return turns.withWatermark("ts", lateness).groupBy(F.session_window("ts", idle), "conversation_id").agg(
