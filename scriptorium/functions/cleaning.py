@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import strip
+from scriptorium.functions.text import let, mentions_any, strip
 from scriptorium.lexicons import ALLOWED_SYMBOLS, CORRECTIONS, GLUED_WORDS
 
 LOWER = "a-záàâãéêíóôõúç"
@@ -57,15 +57,23 @@ def apply_steps(text: Column, steps: Sequence[tuple[str, str]]) -> Column:
     return text
 
 
+def space_out(text: Column) -> Column:
+    """The spacing steps; texts without a small letter before a capital skip the search for glued words."""
+    steps = spacing_steps()
+    joined = apply_steps(text, steps[:4])
+    parted = let(joined, lambda x: F.when(x.rlike("[a-z][A-Z]"), apply_steps(x, steps[4:5])).otherwise(x))
+    return apply_steps(parted, steps[5:])
+
+
 def correct(text: Column, corrections: Sequence[tuple[str, str]] = CORRECTIONS) -> Column:
-    """Replace listed misspellings; text without any of them skips the chain."""
-    any_of = "(?iu)" + "|".join(wrong for wrong, _ in corrections)
-    fixed = apply_steps(text, [(f"(?iu){wrong}", right) for wrong, right in corrections])
-    return F.when(text.rlike(any_of), fixed).otherwise(text)
+    """Replace listed misspellings in any case; text without any of them skips the chain."""
+    fixes = [(f"(?iu){wrong}", right) for wrong, right in corrections]
+    return let(text, lambda x: F.when(
+        mentions_any(x, [wrong for wrong, _ in corrections]), apply_steps(x, fixes)
+    ).otherwise(x))
 
 
 def clean(text: Column) -> Column:
     """The whole chain; null becomes empty."""
     repaired = repair_encoding(F.coalesce(text, F.lit("")))
-    spaced = apply_steps(repaired, spacing_steps())
-    return strip(apply_steps(correct(spaced), operator_steps() + final_steps()))
+    return strip(apply_steps(correct(space_out(repaired)), operator_steps() + final_steps()))

@@ -39,6 +39,12 @@ def contains_any(text: Column, terms: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(t) for t in terms], F.lit(False))
 
 
+def mentions_any(text: Column, terms: Iterable[str]) -> Column:
+    """Whether the lower-cased text contains a term; lower-cased once, also inside a lambda."""
+    wanted = list(terms)
+    return let(F.lower(text), lambda low: contains_any(low, wanted))
+
+
 def count_contained(text: Column, terms: Iterable[str]) -> Column:
     return reduce(lambda a, b: a + b, [text.contains(t).cast("int") for t in terms], F.lit(0))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium import lexicons as lex
 from scriptorium.functions.rules import Rule, classify, first_match
-from scriptorium.functions.text import contains_any, strip, tokens, word_count, words
+from scriptorium.functions.text import contains_any, let, mentions_any, strip, tokens, words
 
 
 def priority_section(
@@ -24,8 +24,21 @@ def page_type(text: Column, rules: Sequence[Rule] = lex.PAGE_TYPE_RULES) -> Colu
     return classify(text, rules, "general")
 
 
-def line_section(line: Column, patterns=lex.SECTION_PATTERNS) -> Column:
-    return first_match(line, patterns, "body")
+def line_section(line: Column, patterns=lex.SECTION_PATTERNS, hints: Sequence[str] | None = lex.SECTION_HINTS) -> Column:
+    """Label of the first pattern group that matches.
+
+    All groups after the first need one of the ``hints``, so lines without any skip their expressions.
+    """
+    if hints is None:
+        return first_match(line, patterns, "body")
+    head = patterns[0][0]
+
+    def label(x: Column) -> Column:
+        first = first_match(x, patterns[:1], "body")
+        rest = F.when(mentions_any(x, hints), first_match(x, patterns[1:], "body")).otherwise("body")
+        return F.when(first == head, head).otherwise(rest)
+
+    return let(line, label)
 
 
 def section_importance(section: Column, weights=lex.SECTION_IMPORTANCE) -> Column:
@@ -50,13 +63,15 @@ def has_terms(text: Column, terms: Sequence[str]) -> Column:
 
 
 def complexity(question: Column, terms: Sequence[str] = lex.COMPLEXITY_TERMS) -> Column:
-    n = word_count(question)
-    known = F.size(F.filter(words(F.lower(question)), lambda w: w.isin(*terms)))
-    return F.when(n < 5, "simple").when((n < 15) & (known <= 1), "moderate").otherwise("complex")
+    def level(said: Column) -> Column:
+        known = F.size(F.filter(said, lambda w: w.isin(*terms)))
+        return F.when(F.size(said) < 5, "simple").when((F.size(said) < 15) & (known <= 1), "moderate").otherwise("complex")
+
+    return let(words(F.lower(question)), level)
 
 
 def term_density(text: Column, terms: Sequence[str] = lex.TRAINING_TERMS) -> Column:
     """min(10 · share of lexicon tokens, 1)."""
-    found = tokens(text)
-    known = F.size(F.filter(found, lambda w: w.isin(*terms)))
-    return F.when(F.size(found) > 0, F.least(known / F.size(found) * 10, F.lit(1.0))).otherwise(0.0)
+    return let(tokens(text), lambda found: F.when(F.size(found) > 0, F.least(
+        F.size(F.filter(found, lambda w: w.isin(*terms))) / F.size(found) * 10, F.lit(1.0)
+    )).otherwise(0.0))

@@ -101,7 +101,7 @@ def update_map(candidate_no: Column) -> Column:
         F.when(first, start).when(positive, 1.0).otherwise(1.0 - LOSS).alias("high"),
         F.when(first, 0.0).when(positive, KEEP).otherwise(1.0).alias("keep"),
         F.when(first, F.col("number")).when(positive, F.col("number") * NEW).otherwise(0.0).alias("plus"),
-        F.when(first | positive, F.struct("label", "flag")).alias("last"),
+        F.when(first | positive, F.struct("label", "flag")).alias("last"), F.col("question_type").alias("question_type"),
         F.lit(1).cast("long").alias("support"),
     )
 
@@ -115,6 +115,7 @@ def then(a: Column, b: Column) -> Column:
         (a["add"] + b["add"]).alias("add"), clamp(a["low"] + b["add"]).alias("low"),
         clamp(a["high"] + b["add"]).alias("high"), (a["keep"] * b["keep"]).alias("keep"),
         (a["plus"] * b["keep"] + b["plus"]).alias("plus"), F.coalesce(b["last"], a["last"]).alias("last"),
+        a["question_type"].alias("question_type"),
         (a["support"] + b["support"]).alias("support"),
     )
 
@@ -124,11 +125,11 @@ def _compose(maps: Column) -> Column:
 
 
 def compose_updates(numbered: DataFrame, segment: int = SEGMENT, levels: int = 3) -> DataFrame:
-    """One composed map per pattern from ``(pattern_id, pattern_type, question_type, no, step)``.
+    """One composed map per pattern from ``(pattern_id, pattern_type, no, step)``.
 
     Each level folds at most ``segment`` consecutive maps in one group.
     """
-    keys = ["pattern_id", "pattern_type", "question_type"]
+    keys = ["pattern_id", "pattern_type"]
     maps = numbered.select(*keys, F.col("no").cast("long").alias("no"), "step")
     for _ in range(levels):
         maps = maps.groupBy(*keys, F.floor((F.col("no") - 1) / segment).cast("long").alias("part")).agg(
@@ -142,18 +143,14 @@ def consolidate(candidates: DataFrame, segment: int = SEGMENT, **options) -> Dat
 
     A source pattern keeps the question type of its first candidate.
     """
-    first = candidates.groupBy("pattern_id").agg(
-        F.min_by("question_type", F.struct("ts", "feedback_id")).alias("_qt")
-    )
-    typed = candidates.join(small_side(first), "pattern_id").withColumn("question_type", F.col("_qt")).drop("_qt")
-    numbered = number_rows(typed, ["pattern_id"], [F.col("ts"), F.col("feedback_id")], "no", **options)
+    numbered = number_rows(candidates, ["pattern_id"], [F.col("ts"), F.col("feedback_id")], "no", **options)
     done = compose_updates(numbered.withColumn("step", update_map(F.col("no"))), segment)
     return pattern_rows(done)
 
 
 def pattern_rows(composed: DataFrame) -> DataFrame:
     return composed.select(
-        "pattern_id", "pattern_type", "question_type", F.col("step.support").alias("support_count"),
+        "pattern_id", "pattern_type", F.col("step.question_type").alias("question_type"), F.col("step.support").alias("support_count"),
         F.round(F.col("step.low"), 6).alias("confidence"), F.round("step.plus", 6).alias("number"),
         F.col("step.last.label").alias("label"), F.col("step.last.flag").alias("flag"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.rules import Rule, classify
 from scriptorium.functions.text import (
-    contains_any, count_contained, let, sentences_plain, tokens, word_count, words,
+    count_contained, let, mentions_any, sentences_plain, tokens, word_count, words,
 )
 from scriptorium.functions.vectors import Embedder, bag_of_words, cosine
 from scriptorium.lexicons import CRITIQUE_TYPES
@@ -116,7 +116,7 @@ def relevance(question: Column, answer: Column, v: Vocabulary = DEFAULT, embedde
 def claims(answer: Column, v: Vocabulary = DEFAULT, limit: int = 5) -> Column:
     """First sentences with a factual indicator."""
     return F.slice(F.filter(
-        sentences_plain(answer), lambda s: (F.length(s) >= 10) & contains_any(F.lower(s), v.claim_indicators)
+        sentences_plain(answer), lambda s: (F.length(s) >= 10) & mentions_any(s, v.claim_indicators)
     ), 1, limit)
 
 

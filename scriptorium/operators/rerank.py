@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import tokens, words
+from scriptorium.functions.text import let, tokens, words
 from scriptorium.operators.fusion import keyword_boost
 from scriptorium.scale import top_rows
 
@@ -16,9 +16,9 @@ Scorer = Callable[[Column, Column], Column]
 
 def lexical_overlap(query: Column, content: Column) -> Column:
     """Default pair score: share of the query's distinct tokens found in the content."""
-    asked = F.array_distinct(tokens(query))
-    shared = F.size(F.array_intersect(asked, tokens(content)))
-    return F.when(F.size(asked) > 0, shared / F.size(asked)).otherwise(0.0)
+    return let(F.array_distinct(tokens(query)), lambda asked: F.when(
+        F.size(asked) > 0, F.size(F.array_intersect(asked, tokens(content))) / F.size(asked)
+    ).otherwise(0.0))
 
 
 def rerank(
@@ -35,7 +35,7 @@ def rerank(
         "pair_score": F.round(1 / (1 + F.exp(-score)), digits),
     })
     mixed = F.col("similarity") * similarity_weight + F.col("pair_score") * score_weight
-    rated = rated.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)), digits))
+    rated = rated.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)), digits + 3))
     return top_rows(rated, keys, [-F.col("similarity"), F.col("rank")], k, "new_rank")
 
 
@@ -68,5 +68,5 @@ def multi_stage(
 ) -> DataFrame:
     """Keyword boost, pair scoring, diversity."""
     boosted = keyword_boost(hits, F.col("query_text"), high, medium)
-    lifted = boosted.withColumn("similarity", F.round("boosted", 6)).drop("boosted")
+    lifted = boosted.withColumn("similarity", F.round("boosted", 9)).drop("boosted")
     return diverse(rerank(lifted, keys, k, scorer), keys, rank="new_rank")

@@ -34,41 +34,59 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
+SLACK = 1e-5
+
+
 def _scan(
     block: pd.DataFrame, k: int, floor: float | None, id_name: str, keys: list[str], digits: int,
     centres: np.ndarray | None, probe: int,
 ):
-    """Task function: keep k running best per query over all batches of the partition."""
+    """Task function: keep k running best per query over all batches of the partition.
+
+    One matrix product per batch finds the few pairs near or above each query's current k-th best; only those are
+    scored and rounded, then merged.
+    """
     q = _matrix(block["vec"])
-    q_sq = (q * q).sum(axis=1)
-    cells = None if centres is None else np.argsort(-(_unit(q) @ centres.T), axis=1, kind="stable")[:, :probe]
+    q_sq, q_unit = (q * q).sum(axis=1), _unit(q)
+    cells = None if centres is None else np.argsort(-(q_unit @ centres.T), axis=1, kind="stable")[:, :probe]
+
+    def exact(qi: np.ndarray, v: np.ndarray) -> np.ndarray:
+        scale = np.sqrt(q_sq[qi] * (v * v).sum(axis=1))
+        raw = np.divide((q[qi] * v).sum(axis=1), scale, out=np.zeros(len(qi)), where=scale > 0)
+        return np.floor(raw * 10.0**digits + 0.5) / 10.0**digits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[tuple | None] = [None] * len(q)
+        bound = np.full(len(q), -np.inf if floor is None else floor)
         for batch in batches:
             if batch.empty:
                 continue
             v = _matrix(batch["vec"])
             ids = batch[id_name].to_numpy()
-            scale = np.sqrt(q_sq[:, None] * (v * v).sum(axis=1)[None, :])
-            raw = np.divide(q @ v.T, scale, out=np.zeros_like(scale), where=scale > 0)
-            sims = np.floor(raw * 10.0**digits + 0.5) / 10.0**digits
-            home = None if centres is None else np.argmax(_unit(v) @ centres.T, axis=1)
-            for i in range(len(q)):
-                bound = -np.inf if floor is None else floor
-                if kept[i] is not None and len(kept[i][0]) >= k:
-                    bound = kept[i][0][-1]
-                wanted = sims[i] >= bound
-                if home is not None:
-                    wanted &= np.isin(home, cells[i])
-                hit = np.flatnonzero(wanted)
-                if not len(hit):
-                    continue
-                row, own = sims[i][hit], ids[hit]
+            near = q_unit @ _unit(v).T
+            if cells is not None:
+                home = np.argmax(_unit(v) @ centres.T, axis=1)
+                for i in range(len(q)):
+                    near[i, ~np.isin(home, cells[i])] = -np.inf
+            least = bound
+            if len(ids) > k and any(b is None for b in kept):
+                least = np.maximum(bound, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+            qi, vi = np.nonzero((near >= (least - SLACK)[:, None]) & (near > -np.inf))
+            if not len(qi):
+                continue
+            sims = exact(qi, v[vi])
+            starts = np.searchsorted(qi, np.arange(len(q) + 1))
+            for i in np.unique(qi):
+                row, own = sims[starts[i]:starts[i + 1]], ids[vi[starts[i]:starts[i + 1]]]
+                if floor is not None:
+                    own, row = own[row >= floor], row[row >= floor]
+                    if not len(row):
+                        continue
                 if kept[i] is not None:
-                    row = np.concatenate([kept[i][0], row])
-                    own = np.concatenate([kept[i][1], own])
+                    row, own = np.concatenate([kept[i][0], row]), np.concatenate([kept[i][1], own])
                 kept[i] = _best(row, own, k)
+                if len(kept[i][0]) >= k:
+                    bound[i] = kept[i][0][-1]
         for i, best in enumerate(kept):
             if best is None:
                 continue

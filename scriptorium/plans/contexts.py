@@ -18,7 +18,7 @@ OVERLAP = (
 def rerank_sql(source: str, keys: str, similarity: str = "similarity") -> str:
     return f"""
 rated AS (SELECT *, {similarity} AS original_similarity, round(1 / (1 + exp(-({OVERLAP}))), 6) AS pair_score FROM {source}),
-mixed AS (SELECT * EXCLUDE (similarity), round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, original_similarity * 0.3::DOUBLE + pair_score * 0.7::DOUBLE)), 6) AS similarity FROM rated),
+mixed AS (SELECT * EXCLUDE (similarity), round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, original_similarity * 0.3::DOUBLE + pair_score * 0.7::DOUBLE)), 9) AS similarity FROM rated),
 reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY similarity DESC, rank) AS INT) AS new_rank FROM mixed)"""
 
 
@@ -69,7 +69,7 @@ def boost_sql(source: str) -> str:
 
     factor = f"pow(1.2::DOUBLE, {both(TERMS[:5])}) * pow(1.1::DOUBLE, {both(TERMS[5:])})"
     return f"""
-boosted AS (SELECT * EXCLUDE (similarity, f), round(CASE WHEN f > 1 THEN least(1.0::DOUBLE, similarity * f) ELSE similarity END, 6) AS similarity
+boosted AS (SELECT * EXCLUDE (similarity, f), round(CASE WHEN f > 1 THEN least(1.0::DOUBLE, similarity * f) ELSE similarity END, 9) AS similarity
             FROM (SELECT *, {factor} AS f FROM {source}))"""
 
 

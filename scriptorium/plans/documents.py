@@ -43,10 +43,8 @@ DOC_TEXT = "SELECT doc_id, text FROM documents"
 SELECT doc_id, md5({t.sql_strip(q.replace_chain('text', cleaning.spacing_steps() + cleaning.operator_steps()))}) AS clean_md5
 FROM documents""")
 def text_clean_spacing(spark, sf_dir):
-    steps = cleaning.spacing_steps() + cleaning.operator_steps()
-    return documents(spark, sf_dir).select(
-        "doc_id", F.md5(cleaning.strip(cleaning.apply_steps(F.col("text"), steps))).alias("clean_md5")
-    )
+    spaced = cleaning.apply_steps(cleaning.space_out(F.col("text")), cleaning.operator_steps())
+    return documents(spark, sf_dir).select("doc_id", F.md5(cleaning.strip(spaced)).alias("clean_md5"))
 
 
 @query("text_clean")

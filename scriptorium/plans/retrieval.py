@@ -161,13 +161,13 @@ asked_hits AS (SELECT hits.*, text AS query_text FROM hits JOIN benchmark ON ite
 
 
 @query("boost_query_terms", "WITH" + t.HITS + "," + ASKED + f"""
-SELECT query_id, chunk_id, term_matches, round(least(1.0, similarity * (1 + term_matches * 0.1::DOUBLE)), 6) AS boosted,
-       CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(least(1.0, similarity * (1 + term_matches * 0.1::DOUBLE)), 6) DESC, rank) AS INT) AS new_rank
+SELECT query_id, chunk_id, term_matches, round(least(1.0, similarity * (1 + term_matches * 0.1::DOUBLE)), 9) AS boosted,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(least(1.0, similarity * (1 + term_matches * 0.1::DOUBLE)), 9) DESC, rank) AS INT) AS new_rank
 FROM (SELECT *, len(list_filter({sql_in(TERMS)}, lambda x: contains(lower(query_text), x) AND contains(lower(content), x)))::INT AS term_matches
       FROM asked_hits)""")
 def boost_query_terms(spark, sf_dir):
     boosted = fusion.boost_terms(asked_hits(spark, sf_dir), F.col("query_text"), TERMS)
-    boosted = boosted.withColumn("boosted", F.round("boosted", 6))
+    boosted = boosted.withColumn("boosted", F.round("boosted", 9))
     return top_rows(boosted, ["query_id"], [-F.col("boosted"), F.col("rank")], t.TOP_K, "new_rank").select(
         "query_id", "chunk_id", "term_matches", "boosted", "new_rank"
     )
@@ -175,7 +175,7 @@ def boost_query_terms(spark, sf_dir):
 
 @query("boost_keywords", "WITH" + t.HITS + "," + ASKED + f"""
 SELECT query_id, chunk_id, round(f, 6) AS technical_boost,
-       round(CASE WHEN f > 1 THEN least(1.0, similarity * f) ELSE similarity END, 6) AS boosted
+       round(CASE WHEN f > 1 THEN least(1.0, similarity * f) ELSE similarity END, 9) AS boosted
 FROM (SELECT *, pow(1.2::DOUBLE, len(list_filter({sql_in(TERMS[:5])}, lambda x: contains(lower(query_text), x) AND contains(lower(content), x))))
          * pow(1.1::DOUBLE, len(list_filter({sql_in(TERMS[5:])}, lambda x: contains(lower(query_text), x) AND contains(lower(content), x)))) AS f
       FROM asked_hits)""")
@@ -183,7 +183,7 @@ def boost_keywords(spark, sf_dir):
     boosted = fusion.keyword_boost(asked_hits(spark, sf_dir), F.col("query_text"), TERMS[:5], TERMS[5:])
     return boosted.select(
         "query_id", "chunk_id", F.round("technical_boost", 6).alias("technical_boost"),
-        F.round("boosted", 6).alias("boosted"),
+        F.round("boosted", 9).alias("boosted"),
     )
 
 
@@ -204,14 +204,14 @@ def sectioned_hits(spark, sf_dir):
 
 @query("boost_sections", "WITH" + t.HITS + "," + SECTIONED + """
 SELECT query_id, chunk_id, section, round(f, 6) AS priority_boost,
-       round(CASE WHEN f > 1 THEN least(1.0, similarity * f) ELSE similarity END, 6) AS boosted
+       round(CASE WHEN f > 1 THEN least(1.0, similarity * f) ELSE similarity END, 9) AS boosted
 FROM (SELECT *, (CASE section WHEN 'abstract' THEN 1.4 WHEN 'definition' THEN 1.5 WHEN 'equation' THEN 1.2 ELSE 1.0 END)::DOUBLE
               * (CASE source WHEN 'src1' THEN 1.3 WHEN 'src2' THEN 1.1 ELSE 1.0 END)::DOUBLE AS f FROM sectioned)""")
 def boost_sections(spark, sf_dir):
     boosted = fusion.boost_sections(sectioned_hits(spark, sf_dir), SECTION_WEIGHTS, SOURCE_WEIGHTS)
     return boosted.select(
         "query_id", "chunk_id", "section", F.round("priority_boost", 6).alias("priority_boost"),
-        F.round("boosted", 6).alias("boosted"),
+        F.round("boosted", 9).alias("boosted"),
     )
 
 

@@ -180,6 +180,12 @@ def last_known(
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when they come in fewer partitions than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows of each key.  Spark cuts to ``k`` before the shuffle, so hot keys stay small."""
     w = Window.partitionBy(*keys).orderBy(*order)

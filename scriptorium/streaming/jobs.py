@@ -16,7 +16,7 @@ from scriptorium.functions.vectors import Embedder, bag_of_words
 from scriptorium.operators.chunking import chunk_id, pack_paragraphs
 from scriptorium.operators.embedding import embed_with_cache
 from scriptorium.operators.feedback import compose_updates, performance_sums, then, update_map
-from scriptorium.scale import number_rows
+from scriptorium.scale import number_rows, spread
 from scriptorium.sources.index import append_chunks, read_index
 
 LATENESS = "1 hour"
@@ -28,15 +28,16 @@ def index_documents(
 ):
     """Clean, chunk, embed and append arriving ``documents(doc_id, source, text)``."""
     def add(batch: DataFrame, _: int) -> None:
-        cleaned = batch.select("doc_id", "source", clean(F.col("text")).alias("content"))
+        cleaned = spread(batch).select("doc_id", "source", clean(F.col("text")).alias("content"))
         packed = cleaned.select(
             "doc_id", "source", F.posexplode(pack_paragraphs(F.col("content"), size, separator=separator)).alias("chunk_index", "c")
-        ).select("doc_id", "source", "chunk_index", F.col("c.content").alias("text"))
+        ).select("doc_id", "source", "chunk_index", F.col("c.content").alias("text")).persist()
         vectors, _new = embed_with_cache(packed, None, embedder)
         append_chunks(vectors.select(
             chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "doc_id", "source",
             "chunk_index", F.col("text").alias("content"), "vec",
         ), path)
+        packed.unpersist()
 
     return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
@@ -56,21 +57,16 @@ def update_patterns(candidates: DataFrame, path: str, checkpoint: str):
         state = _state_before(spark, path, batch_no)
         numbered = number_rows(batch, ["pattern_id"], [F.col("ts"), F.col("feedback_id")], "no")
         if state is None:
-            typed = numbered.withColumn("offset", F.lit(0))
+            placed = numbered.withColumn("offset", F.lit(0))
         else:
-            known = state.select("pattern_id", F.col("question_type").alias("_qt"), F.lit(1).alias("offset"))
-            typed = numbered.join(known, "pattern_id", "left").withColumns({
-                "question_type": F.coalesce("_qt", "question_type"), "offset": F.coalesce("offset", F.lit(0)),
-            }).drop("_qt")
-        first_type = typed.groupBy("pattern_id").agg(F.min_by("question_type", "no").alias("_t"))
-        typed = typed.join(first_type, "pattern_id").withColumn("question_type", F.col("_t")).drop("_t")
-        steps = typed.withColumn("step", update_map(F.col("no") + F.col("offset")))
-        fresh = compose_updates(steps)
+            known = state.select("pattern_id", F.lit(1).alias("offset"))
+            placed = numbered.join(known, "pattern_id", "left").fillna(0, ["offset"])
+        fresh = compose_updates(placed.withColumn("step", update_map(F.col("no") + F.col("offset"))))
         if state is not None:
-            old = state.select("pattern_id", "pattern_type", "question_type", F.col("step").alias("old"))
-            joined = old.join(fresh, ["pattern_id", "pattern_type", "question_type"], "full_outer")
+            old = state.select("pattern_id", "pattern_type", F.col("step").alias("old"))
+            joined = old.join(fresh, ["pattern_id", "pattern_type"], "full_outer")
             fresh = joined.select(
-                "pattern_id", "pattern_type", "question_type",
+                "pattern_id", "pattern_type",
                 F.when(F.col("old").isNull(), F.col("step")).when(F.col("step").isNull(), F.col("old"))
                 .otherwise(then(F.col("old"), F.col("step"))).alias("step"),
             )
