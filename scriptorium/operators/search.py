@@ -35,6 +35,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 SLACK = 1e-5
+QUERY_TILE = 512
 
 
 def _scan(
@@ -55,6 +56,19 @@ def _scan(
         raw = np.divide((q[qi] * v).sum(axis=1), scale, out=np.zeros(len(qi)), where=scale > 0)
         return np.floor(raw * 10.0**digits + 0.5) / 10.0**digits
 
+    def merge(qi: np.ndarray, own: np.ndarray, sims: np.ndarray, kept: list, bound: np.ndarray) -> None:
+        found, starts = np.unique(qi, return_index=True)
+        for i, rows, names in zip(found, np.split(sims, starts[1:]), np.split(own, starts[1:])):
+            if floor is not None:
+                rows, names = rows[rows >= floor], names[rows >= floor]
+            if kept[i] is not None:
+                rows, names = np.concatenate([kept[i][0], rows]), np.concatenate([kept[i][1], names])
+            if not len(rows):
+                continue
+            kept[i] = _best(rows, names, k)
+            if len(kept[i][0]) >= k:
+                bound[i] = kept[i][0][-1]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[tuple | None] = [None] * len(q)
         bound = np.full(len(q), -np.inf if floor is None else floor)
@@ -63,30 +77,20 @@ def _scan(
                 continue
             v = _matrix(batch["vec"])
             ids = batch[id_name].to_numpy()
-            near = q_unit @ _unit(v).T
-            if cells is not None:
-                home = np.argmax(_unit(v) @ centres.T, axis=1)
-                for i in range(len(q)):
-                    near[i, ~np.isin(home, cells[i])] = -np.inf
-            least = bound
-            if len(ids) > k and any(b is None for b in kept):
-                least = np.maximum(bound, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
-            qi, vi = np.nonzero((near >= (least - SLACK)[:, None]) & (near > -np.inf))
-            if not len(qi):
-                continue
-            sims = exact(qi, v[vi])
-            starts = np.searchsorted(qi, np.arange(len(q) + 1))
-            for i in np.unique(qi):
-                row, own = sims[starts[i]:starts[i + 1]], ids[vi[starts[i]:starts[i + 1]]]
-                if floor is not None:
-                    own, row = own[row >= floor], row[row >= floor]
-                    if not len(row):
-                        continue
-                if kept[i] is not None:
-                    row, own = np.concatenate([kept[i][0], row]), np.concatenate([kept[i][1], own])
-                kept[i] = _best(row, own, k)
-                if len(kept[i][0]) >= k:
-                    bound[i] = kept[i][0][-1]
+            v_unit = _unit(v)
+            home = None if cells is None else np.argmax(v_unit @ centres.T, axis=1)
+            for low in range(0, len(q), QUERY_TILE):
+                tile = slice(low, low + QUERY_TILE)
+                near = q_unit[tile] @ v_unit.T
+                if home is not None:
+                    for i, row in enumerate(near):
+                        row[~np.isin(home, cells[low + i])] = -np.inf
+                least = bound[tile]
+                if len(ids) > k and any(b is None for b in kept[tile]):
+                    least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+                qi, vi = np.nonzero((near >= (least - SLACK)[:, None]) & (near > -np.inf))
+                if len(qi):
+                    merge(qi + low, ids[vi], exact(qi + low, v[vi]), kept, bound)
         for i, best in enumerate(kept):
             if best is None:
                 continue

@@ -111,12 +111,17 @@ def conversation_enhanced_questions(spark, sf_dir):
 last AS (SELECT conversation_id, max(ts) AS last_activity, count(*) AS turns FROM turns GROUP BY 1)
 SELECT conversation_id, epoch(last_activity)::BIGINT AS last_activity, turns, last_activity < TIMESTAMP '2024-01-04' - INTERVAL 24 HOUR AS expired FROM last""")
 def conversation_expiry(spark, sf_dir):
-    as_of = F.lit("2024-01-04").cast("timestamp")
+    as_of = F.timestamp_seconds(F.lit(1704326400))
     return conversations.expired(t.turns(spark, sf_dir), as_of).withColumn("last_activity", F.unix_seconds("last_activity"))
 
 
 def event_rows(spark, sf_dir):
-    return t.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events with their local times read as UTC, whatever the session's zone."""
+    return with_utc(t.read(spark, sf_dir, "events"))
+
+
+def with_utc(events):
+    return events.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts))"))
 
 
 @query("idle_sessions", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import feedback
 from scriptorium.plans import tables as t
-from scriptorium.plans.dialogue import PATTERNS, PERFORMANCE, RATED, rated
+from scriptorium.plans.dialogue import PATTERNS, PERFORMANCE, RATED, rated, with_utc
 from scriptorium.plans.operations import log
 from scriptorium.plans.registry import query
 from scriptorium.session import checkpoint_dir
@@ -26,7 +26,7 @@ def stream(spark, sf_dir, name: str):
 
 
 def event_stream(spark, sf_dir):
-    return stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return with_utc(stream(spark, sf_dir, "events"))
 
 
 @query("stream_ratings", "WITH" + RATED + PERFORMANCE)

@@ -3,12 +3,14 @@
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 from pathlib import Path
 
 import duckdb
 
+STRICT = bool(os.environ.get("CHECK_STRICT"))
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
@@ -29,7 +31,7 @@ def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else (v if STRICT else round(v, 6)) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     if isinstance(v, datetime.datetime):
