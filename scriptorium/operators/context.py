@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.functions.text import count_contained, sentences_guarded, word_count, words
+from scriptorium.functions.text import count_contained, sentences_guarded, words
 from scriptorium.functions.vectors import Embedder, bag_of_words, cosine
 from scriptorium.lexicons import COMPRESSION_TERMS
 

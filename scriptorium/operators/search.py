@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.scale import BROADCAST_ROWS, top_rows
+from scriptorium.session import durable
 
 QUERY_BLOCK = 4096
 
@@ -119,18 +120,19 @@ def nearest(
     and task.  More queries than one block mean more passes over the corpus, never a larger block.  The
     similarity floor is tested before ranking.
     """
-    wanted = queries.select(*keys, "vec")
+    wanted, vectors = queries.select(*keys, "vec"), corpus.select(id_name, "vec")
     first = wanted.limit(block + 1).toPandas()
     if len(first) <= block:
         blocks = iter([first])
     else:
+        # Several passes: compute the vectors once and read them back from the shared folder.
+        wanted, vectors = durable(wanted), durable(vectors)
         count = math.ceil(wanted.count() / block * 1.25)
         spread = F.pmod(F.xxhash64(*keys), F.lit(count))
         blocks = (wanted.where(spread == i).toPandas() for i in range(count))
     key_fields = ", ".join(f"`{n}` {wanted.schema[n].dataType.simpleString()}" for n in keys)
     id_type = corpus.schema[id_name].dataType.simpleString()
     schema = f"{key_fields}, `{id_name}` {id_type}, similarity double"
-    vectors = corpus.select(id_name, "vec")
     hits = None
     for rows in blocks:
         if rows.empty:

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from scriptorium import lexicons as lex
 from scriptorium.functions import cleaning
 from scriptorium.functions.rules import rule
-from scriptorium.functions.text import split_sentences, tokens, word_count
-from scriptorium.functions.vectors import bag_of_words
+from scriptorium.functions.text import count_contained, split_sentences, word_count
 from scriptorium.operators import chunking, classify, structure
 from scriptorium.plans import sqltext as q
 from scriptorium.plans import tables as t
@@ -388,7 +387,7 @@ attributes AS (
 def attributes(spark, sf_dir):
     low = F.lower("content")
     rows = t.chunks(spark, sf_dir).withColumn("section", classify.line_section(cleaning.strip(F.col("content"))))
-    hit = structure.F.size(structure.F.array_compact(F.array(*[F.when(low.contains(x), F.lit(x)) for x in TERMS])))
+    hit = count_contained(low, TERMS)
     section = F.col("section")
     return rows.withColumn("hit", hit).select(
         "chunk_id", "content", "section", F.length("content").alias("chunk_length"),

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions.vectors import bag_of_words
 from scriptorium.operators import oplog, reuse
 from scriptorium.plans import sqltext as q
 from scriptorium.plans import tables as t

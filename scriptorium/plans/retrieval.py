@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions.vectors import bag_of_words, cosine
+from scriptorium.functions.vectors import cosine
 from scriptorium.operators import fusion, search
 from scriptorium.plans import tables as t
 from scriptorium.plans.registry import query

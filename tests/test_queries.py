@@ -16,7 +16,7 @@ def con():
 def test_query(spark, con, name):
     problem, rows = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF_DIR)
     assert problem is None
-    assert rows > 0 or name in {"citation_explicit", "label_none"}
+    assert rows > 0
 
 
 def test_entry(spark):
