@@ -7,6 +7,7 @@ from scriptorium.plans import sqltext as q
 from scriptorium.plans import tables as t
 from scriptorium.plans.dialogue import event_rows
 from scriptorium.plans.registry import query
+from scriptorium.session import new_folder
 from scriptorium.sources import files, index, records
 
 ACCESS = """
@@ -233,3 +234,33 @@ def file_smallest(spark, sf_dir):
 def directory_scan(spark, sf_dir):
     found = files.scan_directory(spark, sf_dir, ["parquet"])
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "extension")
+
+
+@query("index_append", "WITH" + t.CHUNKS + "SELECT chunk_id, doc_id, page FROM chunks")
+def index_append(spark, sf_dir):
+    """Index the chunks of labelled documents, then append all chunks: each is stored once."""
+    path = new_folder(spark)
+    rows = t.chunks(spark, sf_dir)
+    labelled = t.read(spark, sf_dir, "labels").select("doc_id")
+    index.append_chunks(rows.join(labelled, "doc_id", "left_semi").select(rows.columns), path)
+    index.append_chunks(rows, path)
+    return index.read_index(spark, path).select("chunk_id", "doc_id", "page")
+
+
+@query("index_reindex_policy", "WITH" + t.CHUNKS + "SELECT chunk_id, source FROM chunks")
+def index_reindex_policy(spark, sf_dir):
+    """An index of one page is kept by a plain reindex and replaced by a forced one."""
+    path = new_folder(spark)
+    rows = t.chunks(spark, sf_dir)
+    index.reindex(rows.where("page = 1"), path)
+    index.reindex(rows.where("page = 2"), path)
+    index.reindex(rows, path, force=True)
+    return index.read_index(spark, path).select("chunk_id", "source")
+
+
+@query("index_export", "WITH" + t.CHUNKS + "SELECT chunk_id, doc_id, content FROM chunks")
+def index_export(spark, sf_dir):
+    """Exported as JSON and read back."""
+    path = new_folder(spark)
+    index.export_index(t.chunks(spark, sf_dir).select("chunk_id", "doc_id", "content"), path)
+    return spark.read.schema("chunk_id string, doc_id long, content string").json(path)

@@ -1,7 +1,5 @@
 """Registered queries: streaming jobs run over the given tables until nothing is left."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from scriptorium.operators import feedback
@@ -9,16 +7,11 @@ from scriptorium.plans import tables as t
 from scriptorium.plans.dialogue import PATTERNS, PERFORMANCE, RATED, rated, with_utc
 from scriptorium.plans.operations import log
 from scriptorium.plans.registry import query
-from scriptorium.session import checkpoint_dir
+from scriptorium.session import new_folder
 from scriptorium.sources.index import read_index
 from scriptorium.streaming import jobs
 
 
-def folder(spark) -> str:
-    """A new folder under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-
 def stream(spark, sf_dir, name: str):
     """A table of the directory as a file stream."""
     schema = t.read(spark, sf_dir, name).schema
@@ -31,14 +24,14 @@ def event_stream(spark, sf_dir):
 
 @query("stream_ratings", "WITH" + RATED + PERFORMANCE)
 def stream_ratings(spark, sf_dir):
-    at = folder(spark)
+    at = new_folder(spark)
     sums = jobs.running_ratings(rated(spark, sf_dir, event_stream(spark, sf_dir)))
     return feedback.performance_rates(jobs.run_to_end(sums, f"{at}/out", f"{at}/state", "complete"))
 
 
 @query("stream_patterns", "WITH RECURSIVE" + PATTERNS + "SELECT * FROM patterns")
 def stream_patterns(spark, sf_dir):
-    at = folder(spark)
+    at = new_folder(spark)
     candidates = feedback.pattern_candidates(rated(spark, sf_dir, event_stream(spark, sf_dir)))
     jobs.update_patterns(candidates, f"{at}/out", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return feedback.pattern_rows(jobs.last_patterns(spark, f"{at}/out"))
@@ -50,7 +43,7 @@ s AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY epoc
 SELECT user_id AS conversation_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 86400000000 AS closed, count(*) AS turns FROM s GROUP BY user_id, n
 HAVING epoch_us(max(ts)) + 86400000000 <= (SELECT epoch_us(max(ts)) FROM events) // 1000 * 1000 - 3600000000""")
 def stream_sessions(spark, sf_dir):
-    at = folder(spark)
+    at = new_folder(spark)
     turns = event_stream(spark, sf_dir).select(F.col("user_id").alias("conversation_id"), "ts")
     done = jobs.run_to_end(jobs.closing_sessions(turns), f"{at}/out", f"{at}/state")
     return done.withColumns({"started": F.unix_micros("started"), "closed": F.unix_micros("closed")})
@@ -60,7 +53,7 @@ def stream_sessions(spark, sf_dir):
 WITH e AS (SELECT epoch_us(ts) // 3600000000 * 3600000000 AS w, ts, 'Err' || (CAST(json_extract(props, '$.k') AS BIGINT) % 7) AS error_type FROM events WHERE event_type = 'error')
 SELECT w AS window_start, error_type, count(*) AS errors FROM e WHERE w + 3600000000 <= (SELECT epoch_us(max(ts)) FROM e) - 3600000000 GROUP BY ALL""")
 def stream_errors(spark, sf_dir):
-    at = folder(spark)
+    at = new_folder(spark)
     errors = log(spark, sf_dir, event_stream(spark, sf_dir)).where("op = 'error'")
     done = jobs.run_to_end(jobs.rolling_errors(errors), f"{at}/out", f"{at}/state")
     return done.withColumn("window_start", F.unix_micros("window_start"))
@@ -70,7 +63,7 @@ def stream_errors(spark, sf_dir):
 SELECT md5(text) AS text_md5, array_to_string(list_transform({t.sql_embed('any_value(text)')}, lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ',') AS counts
 FROM documents GROUP BY md5(text)""")
 def stream_embed_once(spark, sf_dir):
-    at = folder(spark)
+    at = new_folder(spark)
     texts = stream(spark, sf_dir, "documents").select("text", F.timestamp_seconds(F.lit(1704067200)).alias("ts"))
     done = jobs.run_to_end(jobs.embed_once(texts), f"{at}/out", f"{at}/state")
     counts = F.array_join(F.transform("vec", lambda x: x.cast("string")), ",")
@@ -79,7 +72,7 @@ def stream_embed_once(spark, sf_dir):
 
 @query("stream_index")
 def stream_index(spark, sf_dir):
-    at = folder(spark)
+    at = new_folder(spark)
     documents = stream(spark, sf_dir, "documents").select("doc_id", "source", "text")
     jobs.index_documents(documents, f"{at}/out", f"{at}/state", 300, "\n").trigger(availableNow=True).start().awaitTermination()
     return read_index(spark, f"{at}/out").drop("vec")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so lost executors cost nothing."""
     checkpoint_dir(df.sparkSession)
