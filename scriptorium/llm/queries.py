@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontamination, lines, oracles, packing
+from scriptorium.llm import decontamination, lines, oracles, packing, toxicity
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.tag(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select(
+        "row.doc_id", (toxicity.crc_text(F.col("row.doc_id")) % 5 == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans",
+    )
