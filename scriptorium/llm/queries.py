@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontamination, lines, oracles, packing, toxicity
+from scriptorium.llm import decontamination, jaccard, lines, oracles, packing, toxicity
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", (toxicity.crc_text(F.col("row.doc_id")) % 5 == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans",
     )
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
