@@ -32,9 +32,10 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Equality of the named columns in which null equals null."""
+def left_join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """All rows of ``left`` with the other columns of ``right`` where the named ones agree; null equals null."""
+    other = right.withColumnsRenamed({n: f"_other_{n}" for n in names})
     on = F.lit(True)
     for n in names:
-        on = on & left[n].eqNullSafe(right[n])
-    return on
+        on = on & F.col(n).eqNullSafe(F.col(f"_other_{n}"))
+    return left.join(other, on, "left").drop(*[f"_other_{n}" for n in names])

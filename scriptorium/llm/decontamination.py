@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import lower_ascii, same, text_key
+from scriptorium.llm.common import left_join, lower_ascii, text_key
 
 #: Separates words: every ASCII character but digits and letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,7 +62,7 @@ def contamination(
         F.size(words(F.col(text))).alias("n_words"),
     )
     found = hits(docs, _held(item_windows(items, item_id, item_text, size)), doc_id, text)
-    out = base.join(found, same(base, found, ["id", "key"]), "left")
+    out = left_join(base, found, ["id", "key"])
     none = F.array().cast("array<struct<start:int,length:int>>")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0))
     return out.select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import same, text_key, written
+from scriptorium.llm.common import left_join, text_key, written
 
 #: 2^12 registers: relative error 1.6 %; lines within six times that around the threshold are counted exactly.
 LG_K, MARGIN = 12, 0.1
@@ -55,7 +55,7 @@ def without_boilerplate(
     base = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key")
     )
-    out = base.join(gone, same(base, gone, ["id", "key"]), "left")
+    out = left_join(base, gone, ["id", "key"])
     lines = F.split(F.col("row")[text], "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontamination, jaccard, lines, oracles, packing, substrings, toxicity
+from scriptorium.llm import decontamination, jaccard, lines, oracles, packing, pii, substrings, toxicity
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op9_private_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.private_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    base = F.array_join(pii.named("base"), ",")
+    every = F.array_join(F.concat(pii.named("base"), pii.named("terms", "term")), ",")
+    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
