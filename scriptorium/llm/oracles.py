@@ -40,3 +40,10 @@ kept_lines AS (SELECT d.*, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed,
 
 LINES = f"""WITH {lines()}
 SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM kept_lines"""
+
+
+WARC = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS lead, count(*) OVER (PARTITION BY payload_digest) AS n FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM lead AS again FROM m)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN lead END AS refers_to FROM r"""

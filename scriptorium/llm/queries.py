@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontamination, jaccard, lines, oracles, packing, pii, substrings, toxicity
+from scriptorium.llm import decontamination, jaccard, lines, oracles, packing, pii, substrings, toxicity, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.array_join(pii.named("base"), ",")
     every = F.array_join(F.concat(pii.named("base"), pii.named("terms", "term")), ",")
     return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
+@query("op5_warc", oracles.WARC)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("uri")
