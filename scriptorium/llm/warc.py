@@ -149,7 +149,9 @@ class WarcReader(DataSourceReader):
             names = sorted(x.base_name for x in found if x.base_name.endswith((".warc", ".warc.gz")))
         return [File(n) for n in names]
 
-    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's way to read no files
+            return
         fs, root = pafs.FileSystem.from_uri(self.path)
         name = f"{root}/{partition.name}"
         if name.endswith(".gz"):
