@@ -47,3 +47,44 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS lead, count(*
 r AS (SELECT *, payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM lead AS again FROM m)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN lead END AS refers_to FROM r"""
+
+#: Tool calls derived from the turns: assistant turns are calls, user turns the results of the turn before.
+MESSAGES = """SELECT conv_id, turn, role, text,
+  CASE WHEN role = 'assistant' THEN concat('call_', conv_id, '_', turn) END AS call_id,
+  CASE WHEN role = 'assistant' THEN CASE length(text) % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'compute' ELSE 'search' END END AS tool,
+  CASE WHEN role <> 'assistant' THEN NULL
+    WHEN length(text) % 13 = 0 THEN concat('{"query": ', length(text))
+    WHEN length(text) % 11 = 0 THEN '{"strict": "yes", "op": 1}'
+    WHEN length(text) % 4 = 1 THEN concat('{"strict": true,  "id": ', length(text) % 5, '}')
+    WHEN length(text) % 4 = 2 THEN concat('{"values": [', turn, ', ', length(text), '], "op":"sum"}')
+    ELSE concat('{ "query":"q', length(text), '", "limit": ', length(text) % 50, ' }') END AS arguments,
+  CASE WHEN role = 'assistant' AND length(text) % 2 = 0 THEN concat('call_', conv_id, '_', turn - 2) END AS after,
+  CASE WHEN role = 'user' AND turn > 0 THEN concat('call_', conv_id, '_', turn - 1) END AS result_for
+FROM conversations"""
+
+
+CHAT = f"""WITH RECURSIVE m AS ({MESSAGES}),
+c AS (SELECT * FROM m WHERE call_id IS NOT NULL),
+chain AS (
+  SELECT c.conv_id, c.call_id, 0 AS level, c.after IS NOT NULL AS dangling FROM c WHERE c.after IS NULL OR c.after NOT IN (SELECT call_id FROM c)
+  UNION ALL SELECT c.conv_id, c.call_id, chain.level + 1, false FROM c JOIN chain ON c.after = chain.call_id),
+answers AS (SELECT result_for, count(*) AS n FROM m WHERE result_for IS NOT NULL GROUP BY 1),
+j AS (SELECT m.conv_id, m.turn, m.role, m.text, m.tool, m.arguments, m.after,
+  CASE WHEN m.call_id IS NOT NULL THEN 'call' WHEN m.result_for IS NOT NULL THEN 'result' ELSE 'text' END AS kind,
+  coalesce(m.call_id, m.result_for) AS call_id, chain.level, coalesce(chain.dangling, false) AS dangling, chain.call_id IS NOT NULL AS known, answers.n AS n
+  FROM m LEFT JOIN chain ON chain.call_id = coalesce(m.call_id, m.result_for) LEFT JOIN answers ON answers.result_for = coalesce(m.call_id, m.result_for))
+SELECT conv_id, turn, role, kind, call_id,
+  CASE kind WHEN 'call' THEN CASE WHEN n > 0 THEN 'answered' ELSE 'unanswered' END WHEN 'result' THEN CASE WHEN known THEN 'linked' ELSE 'orphan' END END AS status,
+  CAST(level AS BIGINT) AS level,
+  concat_ws('; ', CASE WHEN kind <> 'call' THEN NULL WHEN length(text) % 13 = 0 THEN 'not an object'
+    WHEN length(text) % 11 = 0 THEN CASE tool WHEN 'search' THEN 'query is missing; limit is missing' WHEN 'lookup' THEN 'id is missing; strict is not boolean'
+      ELSE 'op is not string; values is missing' END
+    WHEN tool = 'lookup' AND length(text) % 5 = 0 THEN 'id is below 1' END, CASE WHEN kind = 'call' AND dangling THEN 'dangling' END) AS errors,
+  concat('{{', CASE WHEN kind = 'call' THEN concat('"after":', CASE WHEN after IS NULL THEN 'null' ELSE to_json(after) END, ',"arguments":',
+    CASE WHEN length(text) % 13 = 0 THEN to_json(arguments) WHEN length(text) % 11 = 0 THEN '{{"op":1,"strict":"yes"}}'
+      WHEN tool = 'lookup' THEN concat('{{"id":', length(text) % 5, ',"strict":true}}')
+      WHEN tool = 'compute' THEN concat('{{"op":"sum","values":[', turn, ',', length(text), ']}}')
+      ELSE concat('{{"limit":', length(text) % 50, ',"query":"q', length(text), '"}}') END, ',') ELSE '' END,
+    CASE WHEN kind <> 'text' THEN concat('"call_id":', to_json(call_id), ',') ELSE '' END,
+    '"content":', to_json(text), ',"role":', to_json(role), CASE WHEN kind = 'call' THEN concat(',"tool":', to_json(tool)) ELSE '' END, '}}') AS message
+FROM j"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontamination, jaccard, lines, oracles, packing, pii, substrings, toxicity, warc
+from scriptorium.llm import chat, decontamination, jaccard, lines, oracles, packing, pii, substrings, toxicity, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_warc", oracles.WARC)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("uri")
+
+
+@query("op8_chat_formatting", oracles.CHAT)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = spark.sql(oracles.MESSAGES.replace("{", "{{").replace("}", "}}").replace("FROM conversations", "FROM {t}"), t=table(spark, sf_dir, "conversations"))
+    return chat.linked(messages).withColumn("errors", F.array_join("errors", "; "))
