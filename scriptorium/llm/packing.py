@@ -12,6 +12,7 @@ between blanks.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,13 +26,17 @@ CAPACITY, END_ID = 4096, 2
 #: Cost of attention against that of everything linear, per token and token.
 QUADRATIC = 1 / 4096
 #: Tokens packed together, and words kept encoded per worker: both bound memory only.
-WINDOW, CACHE = 1 << 20, 400_000
+WINDOW, CACHE = 1 << 20, 500_000
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+#: Words whose parts before the tokenizer are known: letters, then perhaps a run of marks.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -39,17 +44,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}  # of plain words: letters in lower case, and runs of marks
+        self.caseless = len({tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in ("WORD", "word")}) == 1
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known = {"": b""}
-        new = list(set().union(*parts).difference(self.known))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in found)))
+        if len(self.parts) > CACHE:
+            self.parts = {"": b""}
+        self.learn(list(set().union(*parts).difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
+    def learn(self, words: list[str]) -> None:
+        """Encode new words: the parts of plain ones together, cut apart where each ends; other words alone."""
+        plain = [(w, m[1].lower(), m[2]) for w in words if (m := PLAIN.fullmatch(w))] if self.caseless and self.ends.any() else []
+        new = list({p for _, *both in plain for p in both}.difference(self.parts))
+        groups = [new[i : i + 1000] for i in range(0, len(new), 1000)]
+        for group, x in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(x.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            for p, a, b in zip(group, [0, *stops], stops, strict=False):
+                self.parts[p] = raw[a:b]
+        for w, letters, marks in plain:
+            self.known[w] = self.parts[letters] + self.parts[marks]
+        rest = [w for w in words if w not in self.known]
+        for w, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[w] = np.array(x.ids, "<u4").tobytes()
+
 
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""
