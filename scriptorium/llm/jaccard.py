@@ -135,7 +135,7 @@ def _packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = bytesets.utf8(batch.column(0))
-            for f, e in bytesets.chunks(offsets, 4 * bytesets.CHUNK):
+            for f, e in bytesets.chunks(offsets, 2 * bytesets.CHUNK):
                 sets, ends = shingle_sets(body[offsets[f] : offsets[e]], offsets[f : e + 1] - offsets[f])
                 a, _ = digests(sets, ends)
                 k, which = keys(sets, ends)
