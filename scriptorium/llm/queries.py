@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, decontamination, jaccard, lines, oracles, packing, pii, substrings, toxicity, warc
+from scriptorium.llm import bm25, chat, decontamination, jaccard, lines, oracles, packing, pii, substrings, toxicity, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = spark.sql(oracles.MESSAGES.replace("{", "{{").replace("}", "}}").replace("FROM conversations", "FROM {t}"), t=table(spark, sf_dir, "conversations"))
     return chat.linked(messages).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("op1_topk_search")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 20 == 0))
