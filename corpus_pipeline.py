@@ -5,19 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import decontamination, lines, packing
+from scriptorium.llm import decontamination, jaccard, lines, packing, toxicity
 from scriptorium.llm.common import table, written
 from scriptorium.llm.queries import tokenizer_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field trained on the labels scores below one half."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more sources share; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
     return lines.clean_documents(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group linked by a Jaccard similarity of 0.9 or more."""
+    return jaccard.one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -29,7 +38,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("line_dedup", line_dedup), ("decontamination", decontaminate), ("packing", pack),
+    ("toxicity", drop_toxic), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate), ("packing", pack),
 ]
 
 #: Scores, near-duplicate groups and token ids have no SQL form; tests hold the stages against brute force.
