@@ -221,53 +221,53 @@ SIMULATION_SUFFIX = " simulador"
 
 # ---- Fixed values: bilingual query optimiser. ----
 OPTIMISER_SYNONYMS = {
-    "insim": ("INSIM", "INSIM-FT"),
-    "insim-ft": ("INSIM", "INSIM-FT-3D"),
-    "eclipse": ("ECLIPSE", "Schlumberger Eclipse"),
-    "cmg": ("CMG", "Computer Modelling Group"),
-    "permeabilidade": ("permeability", "k"),
-    "permeability": ("permeabilidade", "k"),
-    "porosidade": ("porosity", "phi"),
-    "porosity": ("porosidade", "phi"),
-    "saturação": ("saturation", "sw"),
-    "saturation": ("saturação", "sw"),
-    "viscosidade": ("viscosity", "mu"),
-    "viscosity": ("viscosidade", "mu"),
-    "densidade": ("density", "rho"),
-    "density": ("densidade", "rho"),
-    "compressibilidade": ("compressibility", "expansibilidade"),
-    "compressibility": ("compressibilidade", "expansion"),
-    "simulador": ("simulator", "modelo numérico"),
-    "simulator": ("simulador", "numerical model"),
-    "grid": ("malha", "mesh"),
-    "malha": ("grid", "mesh"),
-    "timestep": ("passo de tempo", "dt"),
-    "passo de tempo": ("timestep", "dt"),
-    "poço": ("well", "wellbore"),
-    "well": ("poço", "wellbore"),
-    "produção": ("production", "extração"),
-    "production": ("produção", "extraction"),
-    "injeção": ("injection", "injetor"),
-    "injection": ("injeção", "injector"),
-    "óleo": ("oil", "petróleo"),
-    "oil": ("óleo", "petróleo"),
-    "gás": ("gas", "hidrocarboneto gasoso"),
-    "gas": ("gás", "gaseous hydrocarbon"),
-    "água": ("water", "fase aquosa"),
-    "water": ("água", "aqueous phase"),
-    "pvt": ("PVT", "propriedades pvt"),
-    "material balance": ("balanço de materiais", "balanço material"),
-    "balanço de materiais": ("material balance", "material balance equation"),
-    "decline curve": ("curva de declínio", "análise de declínio"),
-    "curva de declínio": ("decline curve", "decline analysis"),
-    "recovery factor": ("fator de recuperação", "fr"),
-    "fator de recuperação": ("recovery factor", "rf"),
-    "md": ("milidarcy", "millidarcy"),
-    "cp": ("centipoise", "viscosidade"),
-    "bbl": ("barrel", "barril"),
-    "scf": ("standard cubic feet", "pé cúbico padrão"),
-    "psi": ("pounds per square inch", "libra por polegada quadrada"),
-    "bar": ("bar pressure", "pressão em bar"),
+    "insim": ("INSIM", "INSIM-FT", "INSIM-FT-3D", "Interwell Numerical Simulation", "Fast Track"),
+    "insim-ft": ("INSIM", "INSIM-FT-3D", "Interwell Numerical Simulation Fast Track", "simulação interpoços"),
+    "eclipse": ("ECLIPSE", "Schlumberger Eclipse", "simulador Eclipse", "reservoir simulator"),
+    "cmg": ("CMG", "Computer Modelling Group", "IMEX", "STARS", "GEM"),
+    "permeabilidade": ("permeability", "k", "conductividade hidráulica", "facilidade de fluxo", "perm"),
+    "permeability": ("permeabilidade", "k", "hydraulic conductivity", "flow capacity"),
+    "porosidade": ("porosity", "phi", "φ", "espaço poroso", "volume de poros"),
+    "porosity": ("porosidade", "phi", "φ", "pore space", "pore volume"),
+    "saturação": ("saturation", "sw", "so", "sg", "saturação de água", "saturação de óleo"),
+    "saturation": ("saturação", "sw", "so", "sg", "water saturation", "oil saturation"),
+    "viscosidade": ("viscosity", "mu", "μ", "resistência ao fluxo"),
+    "viscosity": ("viscosidade", "mu", "μ", "flow resistance"),
+    "densidade": ("density", "rho", "ρ", "peso específico", "massa específica"),
+    "density": ("densidade", "rho", "ρ", "specific weight", "specific mass"),
+    "compressibilidade": ("compressibility", "expansibilidade", "compressão"),
+    "compressibility": ("compressibilidade", "expansion", "compression"),
+    "simulador": ("simulator", "modelo numérico", "software de simulação", "numerical model"),
+    "simulator": ("simulador", "numerical model", "simulation software"),
+    "grid": ("malha", "mesh", "células", "discretização", "gridding"),
+    "malha": ("grid", "mesh", "células", "discretização", "gridding"),
+    "timestep": ("passo de tempo", "dt", "incremento temporal", "time increment"),
+    "passo de tempo": ("timestep", "dt", "time increment", "temporal step"),
+    "poço": ("well", "wellbore", "furo", "perfuração"),
+    "well": ("poço", "wellbore", "borehole", "hole"),
+    "produção": ("production", "extração", "recuperação", "producing"),
+    "production": ("produção", "extraction", "recovery", "producing"),
+    "injeção": ("injection", "injetor", "injetividade", "injector"),
+    "injection": ("injeção", "injector", "injectivity"),
+    "óleo": ("oil", "petróleo", "crude", "hidrocarboneto líquido", "petroleum"),
+    "oil": ("óleo", "petróleo", "crude", "liquid hydrocarbon", "petroleum"),
+    "gás": ("gas", "hidrocarboneto gasoso", "fase gasosa", "natural gas"),
+    "gas": ("gás", "gaseous hydrocarbon", "gas phase", "natural gas"),
+    "água": ("water", "fase aquosa", "salmoura", "brine", "aqueous phase"),
+    "water": ("água", "aqueous phase", "brine"),
+    "pvt": ("PVT", "propriedades pvt", "pressure volume temperature", "análise pvt"),
+    "material balance": ("balanço de materiais", "balanço material", "equação de balanço", "material balance equation"),
+    "balanço de materiais": ("material balance", "material balance equation", "mass balance"),
+    "decline curve": ("curva de declínio", "análise de declínio", "declínio de produção", "decline analysis"),
+    "curva de declínio": ("decline curve", "decline analysis", "production decline"),
+    "recovery factor": ("fator de recuperação", "fr", "eficiência de recuperação", "recovery efficiency"),
+    "fator de recuperação": ("recovery factor", "rf", "recovery efficiency"),
+    "md": ("milidarcy", "millidarcy", "permeabilidade", "permeability unit"),
+    "cp": ("centipoise", "viscosidade", "viscosity unit"),
+    "bbl": ("barrel", "barril", "volume unit"),
+    "scf": ("standard cubic feet", "pé cúbico padrão", "gas volume"),
+    "psi": ("pounds per square inch", "libra por polegada quadrada", "pressure unit"),
+    "bar": ("bar pressure", "pressão em bar", "pressure unit"),
 }
 OPTIMISER_CONTEXTS = {
     "darcy": "lei de darcy fluxo permeabilidade",

@@ -84,13 +84,17 @@ def optimise(
     question_words: Sequence[str] = lex.QUESTION_WORDS,
     definition_words: Sequence[str] = lex.DEFINITION_QUESTION_WORDS,
     explanation_word: str = lex.EXPLANATION_QUESTION_WORD,
-    limit: int = 5,
+    limit: int | None = None,
+    options_per_term: int | None = None,
 ) -> DataFrame:
-    """Lower-cased query, synonym swaps (two per term), context suffixes and rewritten questions; ordered, distinct."""
+    """Lower-cased query, synonym swaps, context suffixes and rewritten questions; ordered, distinct.
+
+    All variants, or the first ``limit``, with all synonyms of a term, or its first ``options_per_term``.
+    """
     raw, low = F.lower("text"), strip(F.lower("text"))
     swaps = []
     for term, options in synonyms.items():
-        for option in options[:2]:
+        for option in options[:options_per_term]:
             new = F.replace(raw, F.lit(term), F.lit(option))
             swaps.append(F.when(raw.contains(term) & (new != raw), new))
     suffixed = [F.when(raw.contains(t), F.concat(raw, F.lit(" " + c))) for t, c in contexts.items()]
@@ -105,9 +109,9 @@ def optimise(
             rewritten.append(F.when(starts, F.concat(F.lit("explicação "), bare)))
     plain = F.when(~contains_any(low, question_words), F.concat(F.lit("conceito "), low))
     every = F.array_compact(F.array(low, *swaps, *suffixed, *rewritten, plain))
-    return queries.select(
-        "query_id", F.posexplode(F.slice(F.array_distinct(every), 1, limit)).alias("variant_no", "query_text")
-    )
+    variants = F.array_distinct(every)
+    variants = F.slice(variants, 1, limit) if limit else variants
+    return queries.select("query_id", F.posexplode(variants).alias("variant_no", "query_text"))
 
 
 def query_terms(

@@ -176,7 +176,7 @@ def recommend(questions: DataFrame, patterns: DataFrame) -> tuple[DataFrame, Dat
     """Adjustments and mean confidence for ``questions(…, question_type, has_terms, complexity)``.
 
     Patterns meet the distinct feature combinations, of which there are few, never the questions: any equal
-    condition makes a pattern apply; the last pattern by id sets a key; keys are routed by name.
+    condition makes a pattern apply, and so does having none; the last pattern by id sets a key; keys are routed by name.
     """
     combo = ["question_type", "has_terms", "complexity"]
     usable = patterns.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support_count") >= MIN_SUPPORT))
@@ -186,7 +186,11 @@ def recommend(questions: DataFrame, patterns: DataFrame) -> tuple[DataFrame, Dat
         F.lit("complexity_level"), F.col("complexity"),
     )).alias("key", "value"))
     wanted = usable.select("pattern_id", "confidence", "adjustments", F.explode("conditions").alias("key", "value"))
-    applied = wanted.join(small_side(facts), ["key", "value"]).dropDuplicates([*combo, "pattern_id"])
+    matched = wanted.join(small_side(facts), ["key", "value"]).select(*combo, "pattern_id", "confidence", "adjustments")
+    # a pattern without conditions stands beside every combination, of which there are few
+    free = usable.where(F.coalesce(F.size("conditions"), F.lit(0)) <= 0).select("pattern_id", "confidence", "adjustments", F.lit("").alias("_all"))
+    everywhere = free.join(small_side(combos.withColumn("_all", F.lit(""))), "_all").select(*combo, "pattern_id", "confidence", "adjustments")
+    applied = matched.unionByName(everywhere).dropDuplicates([*combo, "pattern_id"])
     settings = applied.select(*combo, "pattern_id", F.explode("adjustments").alias("setting", "to"))
     name = F.col("setting")
     routed = settings.groupBy(*combo, "setting").agg(F.max_by("to", "pattern_id").alias("to")).withColumn(

@@ -73,9 +73,9 @@ def boost_sections(
     })
 
 
-def fusion_key(content: Column, source: Column, page: Column) -> Column:
-    """Identity of a hit across variants."""
-    text = F.concat(F.substring(content, 1, 100), source.cast("string"), page.cast("string"))
+def fusion_key(content: Column, source: Column, page: Column, prefix: int | None = None) -> Column:
+    """Identity of a hit across variants, from the whole content or its first ``prefix`` characters."""
+    text = F.concat(F.substring(content, 1, prefix) if prefix else content, source.cast("string"), page.cast("string"))
     return F.substring(F.md5(text), 1, 12)
 
 

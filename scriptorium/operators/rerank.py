@@ -23,13 +23,16 @@ def lexical_overlap(query: Column, content: Column) -> Column:
 
 def rerank(
     hits: DataFrame, keys: Sequence[str], k: int | None = None, scorer: Scorer | None = lexical_overlap,
-    similarity_weight: float = 0.3, score_weight: float = 0.7, content_length: int = 512, digits: int = 6,
+    similarity_weight: float = 0.3, score_weight: float = 0.7, content_length: int | None = None, digits: int = 6,
 ) -> DataFrame:
-    """0.3 · similarity + 0.7 · sigmoid(score), clamped, ranked per query as ``new_rank``; no scorer passes through."""
+    """0.3 · similarity + 0.7 · sigmoid(score), clamped, ranked per query as ``new_rank``; no scorer passes through.
+
+    The scorer reads the whole content, or its first ``content_length`` characters if given.
+    """
     k = k or 2**31 - 1
     if scorer is None:
         return top_rows(hits, keys, [F.col("rank")], k, "new_rank")
-    score = scorer(F.col("query_text"), F.substring("content", 1, content_length))
+    score = scorer(F.col("query_text"), F.substring("content", 1, content_length) if content_length else F.col("content"))
     rated = hits.withColumns({
         "original_similarity": F.col("similarity"),
         "pair_score": F.round(1 / (1 + F.exp(-score)), digits),
@@ -64,9 +67,9 @@ def diverse(hits: DataFrame, keys: Sequence[str], threshold: float = 0.8, rank:
 
 def multi_stage(
     hits: DataFrame, keys: Sequence[str], high: Sequence[str], medium: Sequence[str], k: int | None = None,
-    scorer: Scorer | None = lexical_overlap,
+    scorer: Scorer | None = lexical_overlap, content_length: int | None = None,
 ) -> DataFrame:
     """Keyword boost, pair scoring, diversity."""
     boosted = keyword_boost(hits, F.col("query_text"), high, medium)
     lifted = boosted.withColumn("similarity", F.round("boosted", 9)).drop("boosted")
-    return diverse(rerank(lifted, keys, k, scorer), keys, rank="new_rank")
+    return diverse(rerank(lifted, keys, k, scorer, content_length=content_length), keys, rank="new_rank")

@@ -13,8 +13,8 @@ YEAR_MIN, YEAR_MAX = 1900, 2026
 NAME_PATTERN = r"^[A-Za-záàâãäéèêëíìîïóòôõöúùûüçñ'\-]+$"
 
 
-def valid_year(year: Column) -> Column:
-    return F.coalesce(year.between(YEAR_MIN, YEAR_MAX), F.lit(False))
+def valid_year(year: Column, latest: int = YEAR_MAX) -> Column:
+    return F.coalesce(year.between(YEAR_MIN, latest), F.lit(False))
 
 
 def valid_field(value: Column) -> Column:

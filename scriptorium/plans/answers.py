@@ -14,7 +14,7 @@ MINIMUM = 0.6
 @query("citation_sources", "WITH" + t.RESPONSES + """
 SELECT response_id, source_no, source_id, name, page, excerpt, score, CAST(length(content) AS INT) AS length FROM sources""")
 def citation_sources(spark, sf_dir):
-    prepared = citations.prepare_sources(F.col("sources"))
+    prepared = citations.prepare_sources(F.col("sources"), excerpt=200)
     return t.responses(spark, sf_dir).select("response_id", F.inline(prepared))
 
 
@@ -67,7 +67,7 @@ tracked AS (
 
 
 def tracked(spark, sf_dir):
-    return citations.track(t.responses(spark, sf_dir), MINIMUM)
+    return citations.track(t.responses(spark, sf_dir), MINIMUM, excerpt=200)
 
 
 @query("citation_tracking", "WITH" + t.RESPONSES + "," + TRACKED + """
@@ -83,7 +83,7 @@ def citation_tracking(spark, sf_dir):
 SELECT e.response_id, e.segment_no, source_id, 0.95::DOUBLE AS confidence FROM explicit e JOIN sources s USING (response_id, source_no)""")
 def citation_explicit(spark, sf_dir):
     rows = t.responses(spark, sf_dir).select(
-        "response_id", citations.prepare_sources(F.col("sources")).alias("p"), F.inline(citations.segments(F.col("answer")))
+        "response_id", citations.prepare_sources(F.col("sources"), excerpt=200).alias("p"), F.inline(citations.segments(F.col("answer")))
     )
     found = rows.select("response_id", "segment_no", F.explode(citations.explicit_citations(F.col("text"), F.col("p"))).alias("c"))
     return found.select("response_id", "segment_no", "c.source_id", "c.confidence")

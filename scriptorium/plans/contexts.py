@@ -25,7 +25,7 @@ reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY simi
 @query("rerank_pairs", "WITH" + t.HITS + ", " + ASKED + "," + rerank_sql("asked_hits", "query_id") + """
 SELECT query_id, chunk_id, original_similarity, pair_score, similarity, new_rank FROM reranked WHERE new_rank <= 5""")
 def rerank_pairs(spark, sf_dir):
-    ranked = rerank.rerank(asked_hits(spark, sf_dir), ["query_id"], 5)
+    ranked = rerank.rerank(asked_hits(spark, sf_dir), ["query_id"], 5, content_length=512)
     return ranked.select("query_id", "chunk_id", "original_similarity", "pair_score", "similarity", "new_rank")
 
 
@@ -39,7 +39,7 @@ VARIANT_HITS = "variant_hits AS (SELECT hits.*, query_text FROM hits JOIN query_
 @query("rerank_batch", "WITH" + t.HITS + ", " + VARIANT_HITS + "," + rerank_sql("variant_hits", "query_id, variant_no") + """
 SELECT query_id, variant_no, chunk_id, similarity, new_rank FROM reranked WHERE new_rank <= 5""")
 def rerank_batch(spark, sf_dir):
-    ranked = rerank.rerank(variant_hits(spark, sf_dir), ["query_id", "variant_no"], 5)
+    ranked = rerank.rerank(variant_hits(spark, sf_dir), ["query_id", "variant_no"], 5, content_length=512)
     return ranked.select("query_id", "variant_no", "chunk_id", "similarity", "new_rank")
 
 
@@ -77,7 +77,7 @@ boosted AS (SELECT * EXCLUDE (similarity, f), round(CASE WHEN f > 1 THEN least(1
        + rerank_sql("boosted", "query_id") + "," + diverse_sql("reranked", "new_rank", 0.8) + """
 SELECT a.query_id, a.chunk_id, a.similarity, a.new_rank FROM reranked a JOIN walk ON walk.query_id = a.query_id AND walk.r = a.new_rank WHERE kept""")
 def rerank_multi_stage(spark, sf_dir):
-    kept = rerank.multi_stage(asked_hits(spark, sf_dir), ["query_id"], TERMS[:5], TERMS[5:])
+    kept = rerank.multi_stage(asked_hits(spark, sf_dir), ["query_id"], TERMS[:5], TERMS[5:], content_length=512)
     return kept.select("query_id", "chunk_id", "similarity", "new_rank")
 
 
@@ -95,7 +95,7 @@ SELECT query_id, doc_key, fusion_score, similarity, new_rank FROM reranked WHERE
 def full_search(spark, sf_dir):
     """Fuse all variants to 2k candidates, re-rank against the original query, keep k = 5."""
     hits = t.hits(spark, sf_dir).withColumn(
-        "doc_key", fusion.fusion_key(F.col("content"), F.col("source"), F.col("page"))
+        "doc_key", fusion.fusion_key(F.col("content"), F.col("source"), F.col("page"), prefix=100)
     )
     candidates = fusion.reciprocal_rank(hits, "doc_key", limit=10).select(
         "query_id", "doc_key", "fusion_score", F.col("fused_rank").alias("rank")
@@ -106,7 +106,7 @@ def full_search(spark, sf_dir):
     )
     asked = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     searched = candidates.join(one, ["query_id", "doc_key"]).join(asked, "query_id")
-    return rerank.rerank(searched, ["query_id"], 5).select("query_id", "doc_key", "fusion_score", "similarity", "new_rank")
+    return rerank.rerank(searched, ["query_id"], 5, content_length=512).select("query_id", "doc_key", "fusion_score", "similarity", "new_rank")
 
 
 COMBINED = ASKED + """,

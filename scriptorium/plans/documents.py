@@ -295,7 +295,7 @@ SENTENCE_UNITS = f"""
     f"CASE WHEN length(open) + length(u) > 512 AND open <> '' THEN {t.sql_strip('open')} END", "'full'", "'last'",
 ) + ")")
 def chunk_training_sentences(spark, sf_dir):
-    packed = chunking.pack_sentences(F.col("text"), size=512, overlap=64)
+    packed = chunking.pack_sentences(F.col("text"), size=512, overlap=64, keep_all=False)
     return documents(spark, sf_dir).select("doc_id", F.posexplode(packed).alias("chunk_index", "content"))
 
 

@@ -102,18 +102,18 @@ def log(spark, sf_dir, events=None):
 @query("error_totals", "WITH" + LOG + """
 SELECT count(*) AS unique_errors, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT error_type || ': ' || substr(message, 1, 100), count(*) AS n FROM errors GROUP BY 1)""")
 def error_totals(spark, sf_dir):
-    return oplog.error_totals(log(spark, sf_dir).where("op = 'error'"))
+    return oplog.error_totals(log(spark, sf_dir).where("op = 'error'"), width=100)
 
 
 @query("error_most_common", "WITH" + LOG + """
 SELECT error_type || ': ' || substr(message, 1, 100) AS error_key, count(*) AS occurrences FROM errors GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def error_most_common(spark, sf_dir):
-    return oplog.common_errors(log(spark, sf_dir).where("op = 'error'"))
+    return oplog.common_errors(log(spark, sf_dir).where("op = 'error'"), width=100)
 
 
 @query("error_recent", "WITH" + LOG + "SELECT id, epoch_us(ts) AS ts, error_type, message FROM errors ORDER BY ts DESC, id DESC LIMIT 10")
 def error_recent(spark, sf_dir):
-    found = oplog.recent_errors(log(spark, sf_dir).where("op = 'error'"))
+    found = oplog.recent_errors(log(spark, sf_dir).where("op = 'error'"), buffer=100)
     return found.select("id", F.unix_micros("ts").alias("ts"), "error_type", "message")
 
 
@@ -204,7 +204,7 @@ def index_flat_metadata(spark, sf_dir):
     rows = t.chunks(spark, sf_dir).select(
         "chunk_id", "page", F.array("source", F.col("page").cast("string")).alias("tags"), F.struct(F.col("doc_id").alias("doc")).alias("ref")
     )
-    return index.flat_metadata(rows)
+    return index.flat_metadata(rows, limit=100)
 
 
 @query("log_scan", """

@@ -96,7 +96,7 @@ alls AS (
 firsts AS (SELECT query_id, list_filter(list_zip(v, range(len(v))), lambda x: list_position(v, x[1]) = x[2] + 1)[1:5] AS f FROM alls)
 SELECT query_id, CAST(unnest(range(len(f))) AS INT) AS variant_no, unnest(list_transform(f, lambda x: x[1])) AS query_text FROM firsts""")
 def query_optimiser(spark, sf_dir):
-    return expansion.optimise(texts(spark, sf_dir), SYNONYMS, CONTEXTS, WORDS, ("the", "que"), "in")
+    return expansion.optimise(texts(spark, sf_dir), SYNONYMS, CONTEXTS, WORDS, ("the", "que"), "in", limit=5, options_per_term=2)
 
 
 @query("query_terms_and_units", f"""

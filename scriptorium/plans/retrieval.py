@@ -100,7 +100,7 @@ fused_top AS (
 
 def keyed_hits(spark, sf_dir):
     hits = t.hits(spark, sf_dir)
-    return hits.withColumn("doc_key", fusion.fusion_key(F.col("content"), F.col("source"), F.col("page")))
+    return hits.withColumn("doc_key", fusion.fusion_key(F.col("content"), F.col("source"), F.col("page"), prefix=100))
 
 
 @query("fusion_quality", "WITH" + t.HITS + "," + FUSED + """

@@ -64,7 +64,7 @@ def number_rows(
     small = SMALL_ROWS if small is None else small
     if at_most(df, small):
         w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w))
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.withColumn("_range", _range_no(order, _bounds(df, order, parts), df))
     w = Window.partitionBy(*keys, "_range").orderBy(*order)
@@ -76,7 +76,7 @@ def number_rows(
     )
     same = [local[k].eqNullSafe(offsets[k]) for k in keys] + [local["_range"] == offsets["_range"]]
     return local.join(offsets, same).select(
-        *[local[c] for c in df.columns], (F.col("_before") + F.col("_local")).cast("int").alias(name)
+        *[local[c] for c in df.columns], (F.col("_before") + F.col("_local")).cast("bigint").alias(name)
     )
 
 
@@ -189,4 +189,4 @@ def spread(df: DataFrame) -> DataFrame:
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows of each key.  Spark cuts to ``k`` before the shuffle, so hot keys stay small."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    return df.withColumn(name, F.row_number().over(w).cast("bigint")).where(F.col(name) <= k)

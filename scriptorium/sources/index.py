@@ -34,14 +34,14 @@ def reindex(chunks: DataFrame, path: str, force: bool = False) -> None:
     chunks.write.mode("overwrite" if force else "ignore").parquet(path)
 
 
-def flat_metadata(df: DataFrame, limit: int = 100) -> DataFrame:
-    """Atomic columns as they are; any other as ``<name>_str``, its JSON cut to ``limit`` characters."""
+def flat_metadata(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Atomic columns as they are; any other as ``<name>_str``, its JSON, cut to ``limit`` characters if one is given."""
     def flat(f: T.StructField) -> Column:
         if isinstance(f.dataType, ATOMIC):
             return F.col(f.name)
         nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
         text = F.to_json(f.name) if nested else F.col(f.name).cast("string")
-        return F.substring(text, 1, limit).alias(f"{f.name}_str")
+        return (F.substring(text, 1, limit) if limit else text).alias(f"{f.name}_str")
 
     return df.select(*[flat(f) for f in df.schema.fields])
 
