@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,18 +15,28 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text worked on at once; a longer text is worked on alone.
 CHUNK = 2_000_000
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+def process_cache() -> dict:
+    """What a Python worker keeps from task to task.
+
+    The package's functions travel to workers by value, so a module's own global would be new in every task, and travel too.
+    """
+    name = "scriptorium_process_cache"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and INVERSE to the powers 0 to n, at least."""
-    if len(_powers[0]) <= n:
+    held = process_cache()
+    if len(held.get("powers", ((),))[0]) <= n:
         size = 1 << int(n + 1).bit_length()
-        for k, b in enumerate((BASE, INVERSE)):
+        both = []
+        for b in (BASE, INVERSE):
             out = np.full(size, b, np.uint64)
             out[0] = 1
-            _powers[k] = np.cumprod(out, dtype=np.uint64)
-    return _powers[0], _powers[1]
+            both.append(np.cumprod(out, dtype=np.uint64))
+        held["powers"] = tuple(both)
+    return held["powers"]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from scriptorium.session import new_folder
 
 LENGTH, GRAM = 50, 24
 #: Bytes of a shard and of what a bucket gathers, and of contexts in one suffix array: they bound memory only.
-SHARD_BYTES, BUCKET_BYTES, RUN_BYTES = 4_000_000, 16_000_000, 24_000_000
+SHARD_BYTES, BUCKET_BYTES, RUN_BYTES, STEP_BYTES = 3_000_000, 2_000_000, 1_000_000, 500_000
 
 U = np.uint64
 KEY = U(0xFFFFFFFFFFFF0000)  # keys travel as six bytes
@@ -46,7 +46,17 @@ class Anchors:
 
 
 def anchors(body: np.ndarray, offsets: np.ndarray) -> Anchors:
-    """All anchors of the documents in ``body``; strings never cross a boundary."""
+    """All anchors of the documents in ``body``, found a few documents at a time; strings never cross a boundary."""
+    parts = []
+    for f, e in bytesets.chunks(offsets, STEP_BYTES):
+        a = _anchors(body[offsets[f] : offsets[e]], offsets[f : e + 1] - offsets[f])
+        parts.append((a.key, a.first + offsets[f], a.last + offsets[f], a.doc + f))
+    if not parts:
+        parts = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    return Anchors(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _anchors(body: np.ndarray, offsets: np.ndarray) -> Anchors:
     n, wide = len(body), LENGTH - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < LENGTH:
@@ -173,8 +183,9 @@ def least_ids(body: np.ndarray, begin: np.ndarray, sizes: np.ndarray, ids: np.nd
     out = np.zeros(int(strings.sum()), np.int64)
     where = np.cumsum(strings) - strings
     total = np.cumsum(sizes + 1)
-    runs = []
-    for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(total // RUN_BYTES)) + 1):
+    runs, parts = [], np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(total // RUN_BYTES)) + 1)
+    several = len(parts) > 1
+    for part in parts:
         size = sizes[part]
         at = np.cumsum(size + 1) - (size + 1)
         text = np.zeros(int((size + 1).sum()), np.uint16)  # a zero ends each context
@@ -198,17 +209,17 @@ def least_ids(body: np.ndarray, begin: np.ndarray, sizes: np.ndarray, ids: np.nd
         id_of = ids[part][np.searchsorted(where[part], slot, "right") - 1]
         least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, id_of)
-        one = order[keep][change]
-        window = (text[one[:, None] + np.arange(LENGTH)] - 1).astype(np.uint8)
-        runs.append((np.ascontiguousarray(window).view(f"S{LENGTH}").ravel(), least, group, slot))
-    for i, (strings_i, least_i, *_) in enumerate(runs):
+        text8 = (text - 1).astype(np.uint8)
+        window = np.lib.stride_tricks.sliding_window_view(text8, LENGTH)[order[keep][change]] if several else np.zeros((0, LENGTH), np.uint8)
+        runs.append((window.view(f"S{LENGTH}").ravel(), least, group, slot))
+    for i, (strings_i, least_i, *_) in enumerate(runs if several else ()):
         for strings_j, least_j, *_ in runs[i + 1 :]:
             at = np.minimum(np.searchsorted(strings_j, strings_i), len(strings_j) - 1)
             same = np.flatnonzero(strings_j[at] == strings_i)
             both = np.minimum(least_i[same], least_j[at[same]])
             least_i[same], least_j[at[same]] = both, both
     # a second round carries what later runs gave the earlier ones to all
-    for i, (strings_i, least_i, *_) in enumerate(runs):
+    for i, (strings_i, least_i, *_) in enumerate(runs if several else ()):
         for strings_j, least_j, *_ in runs[:i] + runs[i + 1 :]:
             at = np.minimum(np.searchsorted(strings_j, strings_i), len(strings_j) - 1)
             same = np.flatnonzero(strings_j[at] == strings_i)
@@ -263,7 +274,7 @@ def _contexts(ids: np.ndarray, body: np.ndarray, offsets: np.ndarray, shared: np
     a = anchors(body, offsets)
     use = np.flatnonzero(has(shared, a.key))
     key, first, last, doc = a.key[use], a.first[use], a.last[use], a.doc[use]
-    content = bytesets.mix(bytesets.span_hash(bytesets.sums(body), first, last + LENGTH) + (last - first).astype(np.uint64))
+    content = bytesets.mix(bytesets.hashes_in_row(body, first, last + LENGTH) + (last - first).astype(np.uint64))
     order = np.lexsort((ids[doc], content, key))
     new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])]) if len(use) else np.zeros(0, bool)
     number = np.zeros(len(use), np.int64)
@@ -287,7 +298,7 @@ def _send_contexts(buckets: int):
             "base": pa.array([int(i) for i, _ in part], pa.int32()),
             "keys": pa.array([pack_keys(key[i:j]) for i, j in part], pa.binary()),
             "sizes": pa.array([size[i:j].astype(np.uint8).tobytes() for i, j in part], pa.binary()),
-            "body": pa.array([b"".join(raw[i:j]) for i, j in part], pa.binary()),
+            "body": pa.array([pa.compress(b"".join(raw[i:j]), "zstd", asbytes=True) for i, j in part], pa.binary()),
             "ids": pa.array([ids[doc[lead[i:j]]].tobytes() for i, j in part], pa.binary()),
         })
 
@@ -297,12 +308,13 @@ def _send_contexts(buckets: int):
 def _judge(table: pa.Table) -> pa.Table:
     """For every context sent: runs of strings with the least id that has them."""
     raw = {n: table[n].to_pylist() for n in ("keys", "sizes", "body", "ids")}
+    lengths = [int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in raw["sizes"]]
     key = np.concatenate([unpack_keys(x) for x in raw["keys"]])
     size = np.concatenate([np.frombuffer(x, np.uint8) for x in raw["sizes"]]).astype(np.int64)
-    body = np.concatenate([np.frombuffer(x, np.uint8) for x in raw["body"]])
+    body = np.concatenate([np.frombuffer(pa.decompress(x, n, "zstd", asbytes=True), np.uint8) for x, n in zip(raw.pop("body"), lengths)])
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in raw["ids"]])
     begin = np.cumsum(size) - size
-    content = bytesets.mix(bytesets.span_hash(bytesets.sums(body), begin, begin + size) + size.astype(np.uint64))
+    content = bytesets.mix(bytesets.hashes_in_row(body, begin, begin + size) + size.astype(np.uint64))
     order = np.lexsort((ids, content, key))
     k, c = key[order], content[order]
     new_key = np.concatenate([[True], k[1:] != k[:-1]])
@@ -316,8 +328,12 @@ def _judge(table: pa.Table) -> pa.Table:
     who, start, stop, least = [np.flatnonzero(~differs)], [], [], [ids[lead[~differs]]]
     start.append(np.zeros(len(who[0]), np.int64))
     stop.append(size[lead[~differs]] - LENGTH + 1)
-    some = np.flatnonzero(differs)
-    if len(some):
+    different = np.flatnonzero(differs)
+    # equal strings have one anchor, so what lies under different anchors is sorted apart; only a hot one takes several runs
+    other = np.concatenate([[True], k[new][different][1:] != k[new][different][:-1]]) if len(different) else np.zeros(0, bool)
+    volume = np.cumsum(size[lead[different]]) // RUN_BYTES
+    leader = np.maximum.accumulate(np.where(other, np.arange(len(different)), 0))
+    for some in np.split(different, np.flatnonzero(np.diff(volume[leader])) + 1) if len(different) else ():
         low, strings = least_ids(body, begin[lead[some]], size[lead[some]], ids[lead[some]])
         owner = np.repeat(np.arange(len(some)), strings)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
@@ -388,7 +404,7 @@ def _sharded(docs: DataFrame, volume: int) -> tuple[DataFrame, str]:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // (4 * SHARD_BYTES) + 1)
     shard = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(4 * buckets)).cast("int")
     name = f"shards_{uuid.uuid4().hex}"
-    docs.withColumn("shard", shard).repartition(buckets, "shard").write.bucketBy(buckets, "shard").option("path", new_folder(spark)).saveAsTable(name)
+    docs.withColumn("shard", shard).repartition(buckets, "shard").write.bucketBy(buckets, "shard").options(path=new_folder(spark), compression="zstd").saveAsTable(name)
     return spark.table(name), name
 
 

@@ -38,7 +38,7 @@ def planted():
     return rows + [(310, rows[-2][1][1000:9000]), rows[3]]
 
 
-@pytest.mark.parametrize("run_bytes", [24_000_000, 2_000])
+@pytest.mark.parametrize("run_bytes", [2_000_000, 300])
 def test_removal_against_brute_force(spark, monkeypatch, run_bytes):
     monkeypatch.setattr(substrings, "RUN_BYTES", run_bytes)
     rows = planted()
