@@ -71,11 +71,25 @@ def find_authors(text: Column, first: int = 20, limit: int = 5) -> Column:
     return F.slice(F.array_distinct(F.filter(names, valid_author)), 1, limit)
 
 
-def split_authors(raw: Column, limit: int = 5) -> Column:
-    """Names of an author string split at ``;``, ``and`` and ``&``, without honorifics."""
+def split_authors(raw: Column, limit: int | None = None) -> Column:
+    """Names of an author string split at ``;``, ``and`` and ``&``, without honorifics: all, or the first ``limit``."""
     parts = F.split(raw, r"(?i)\s*;\s*|\s+and\s+|\s*&\s*")
     named = F.transform(parts, lambda p: strip(F.regexp_replace(strip(p), HONORIFIC, "")))
-    return F.slice(F.filter(named, lambda p: p != ""), 1, limit)
+    found = F.filter(named, lambda p: p != "")
+    return F.slice(found, 1, limit) if limit else found
+
+
+def clean_name(name: Column) -> Column:
+    """A name with single blanks, each word with a capital first and small letters after."""
+    parts = F.filter(F.split(name, r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), " ")
+
+
+def split_author_field(raw: Column, limit: int | None = None) -> Column:
+    """Names of a metadata field split at ``;``, ``&``, ``and`` and ``e``, cleaned: all, or the first ``limit``; none for null."""
+    parts = F.transform(F.split(F.coalesce(raw, F.lit("")), r"[;&]|\s+and\s+|\s+e\s+"), clean_name)
+    found = F.filter(parts, lambda p: p != "")
+    return F.slice(found, 1, limit) if limit else found
 
 
 def base_name(filename: Column) -> Column:
@@ -109,7 +123,7 @@ def extract_metadata(documents: DataFrame) -> DataFrame:
         if name not in documents.columns:
             documents = documents.withColumn(name, F.lit(None).cast("string"))
     info_year = F.regexp_extract("info_date", r"D:(\d{4})", 1).try_cast("int")
-    listed = F.slice(F.filter(split_authors(F.col("info_author"), 1000), valid_author), 1, 5)
+    listed = F.slice(F.filter(split_authors(F.col("info_author")), valid_author), 1, 5)
     rows = documents.withColumns({
         "_t": F.when(valid_field(F.col("info_title")), strip(F.col("info_title"))),
         "_a": F.when(valid_field(F.col("info_author")) & (F.size(listed) > 0), listed),

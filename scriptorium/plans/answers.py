@@ -208,7 +208,7 @@ FROM (SELECT doc_id, 'Dr. ' || replace(text, ',', ';') AS head FROM documents)""
 def author_splitting(spark, sf_dir):
     raw = F.concat(F.lit("Dr. "), F.replace("text", F.lit(","), F.lit(";")))
     return t.read_spread(spark, sf_dir, "documents").select(
-        "doc_id", F.array_join(bibliography.split_authors(raw), "|").alias("authors")
+        "doc_id", F.array_join(bibliography.split_authors(raw, limit=5), "|").alias("authors")
     )
 
 

@@ -25,11 +25,12 @@ def load_documents(spark: SparkSession, directory: str) -> DataFrame:
     """Documents ``(path, part, content)`` of every file in a directory.
 
     csv files give one document per row as ``name: value`` lines, json files one per object, anything else its whole
-    text.  A file that cannot be read gives no rows.
+    text.  A file that cannot be read gives no rows; ``unread_documents`` names it.
     """
     reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     path = F.col("_metadata.file_path").alias("path")
-    plain = reader.text(directory, wholetext=True).select(path, F.col("value").alias("content"))
+    # the extension is a property of the file, so files of other kinds are left out before their bytes are read
+    plain = reader.text(directory, wholetext=True).where(~extension(F.col("_metadata.file_path")).isin("csv")).select(path, F.col("value").alias("content"))
     whole = plain.where(~extension(F.col("path")).isin("csv", "json")).select(
         "path", F.lit(0).cast("long").alias("part"), "content"
     )
@@ -38,25 +39,35 @@ def load_documents(spark: SparkSession, directory: str) -> DataFrame:
         F.from_json("content", "array<string>"),
         F.when(F.from_json("content", "map<string,string>").isNotNull(), F.array("content")),
     )).alias("part", "content")).select("path", F.col("part").cast("long").alias("part"), "content")
-    lines = reader.option("pathGlobFilter", "*.[cC][sS][vV]").text(directory).select(
-        path, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"),
-        F.col("value").alias("line"),
-    )
-    return whole.unionAll(parsed).unionAll(_csv_rows(lines)).where(F.trim("content") != "")
+    return whole.unionAll(parsed).unionAll(_csv_rows(reader, directory)).where(F.trim("content") != "")
+
+
+def unread_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """Paths of the files that gave no document though they are not empty: unreadable or malformed ones."""
+    files = spark.read.format("binaryFile").load(directory).select("path")
+    read = load_documents(spark, directory).select("path").distinct()
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    return files.join(read.select(plain(F.col("path")).alias("_read")), plain(F.col("path")) == F.col("_read"), "left_anti")
 
 
-def _csv_rows(lines: DataFrame) -> DataFrame:
-    """Rows of csv files, each with its own file's header; large files are read in splits."""
-    def fields(line: Column) -> Column:
-        raw = F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-        return F.transform(raw, lambda f: F.regexp_replace(F.regexp_replace(f, r'^"|"$', ""), '""', '"'))
+def _csv_rows(reader, directory: str) -> DataFrame:
+    """Rows of csv files, each with its own file's header; quoted fields may hold line breaks.
 
-    heads = lines.where(F.col("block") == 0).groupBy("path").agg(
-        F.min_by("line", "line_no").alias("head"), F.min("line_no").alias("head_no")
-    ).select("path", fields(F.col("head")).alias("names"), "head_no")
-    rows = lines.join(small_side(heads), "path").where((F.col("line_no") != F.col("head_no")) & (F.trim("line") != ""))
-    pairs = F.zip_with("names", fields(F.col("line")), lambda n, v: F.concat_ws(": ", n, v))
-    return rows.select("path", F.col("line_no").alias("part"), F.array_join(pairs, "\n").alias("content"))
+    Such files are not split, so the position of a row in its file is the same however they are dealt.
+    """
+    path = F.col("_metadata.file_path").alias("path")
+    files = reader.option("pathGlobFilter", "*.[cC][sS][vV]")
+    widest = files.text(directory).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    names = [f"c{i}" for i in range(widest)]
+    rows = files.schema(", ".join(f"{n} string" for n in names)).option("multiLine", "true").option("escape", '"').csv(directory).select(
+        path, F.monotonically_increasing_id().alias("row_no"), F.array(*[F.coalesce(n, F.lit("")) for n in names]).alias("fields"),
+        F.concat_ws("", *names).alias("whole"),
+    )
+    heads = rows.groupBy("path").agg(F.min_by("fields", "row_no").alias("names"), F.min("row_no").alias("head_no"))
+    filled = F.filter("names", lambda n: n != "")
+    body = rows.join(small_side(heads), "path").where((F.col("row_no") != F.col("head_no")) & (F.trim("whole") != ""))
+    pairs = F.zip_with(filled, F.slice("fields", 1, F.size(filled)), lambda n, v: F.concat_ws(": ", n, v))
+    return body.select("path", (F.col("row_no") - F.col("head_no")).alias("part"), F.array_join(pairs, "\n").alias("content"))
 
 
 def at_most_size(files: DataFrame, limit: float, size: str = "length") -> DataFrame:

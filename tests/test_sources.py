@@ -70,3 +70,30 @@ def test_log_lines(spark):
     df = spark.createDataFrame([('{"level": "ERROR", "message": "m", "duration_ms": 3.5}',)], "value string")
     row = records.parse_log(df).first()
     assert (row.level, row.message, row.timestamp, row.extra) == ("ERROR", "m", None, {"duration_ms": "3.5"})
+
+
+def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note,name\n1,"x\ny, ""z""",ana\n\n2,,beto\n')
+    (tmp_path / "b.csv").write_text("only\n" + "\n".join(map(str, range(50))) + "\n")
+    (tmp_path / "c.json").write_text("not json")
+    (tmp_path / "d.csv").write_text("")
+    docs = files.load_documents(spark, str(tmp_path)).withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1)).collect()
+    assert sorted(r.content for r in docs if r.file == "a.csv") == ['id: 1\nnote: x\ny, "z"\nname: ana', "id: 2\nnote: \nname: beto"]
+    assert sorted((r.part, r.content) for r in docs if r.file == "b.csv") == [(i + 1, f"only: {i}") for i in range(50)]
+    unread = sorted(r.path.rsplit("/", 1)[1] for r in files.unread_documents(spark, str(tmp_path)).collect())
+    assert unread == ["c.json"]
+
+
+def test_given_tables_survive_csv_json_and_text(spark, tmp_path):
+    nation = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    names = nation.columns
+    want = sorted("\n".join(f"{c}: {'' if r[c] is None else r[c]}" for c in names) for r in nation.collect())
+    for form in ("csv", "json"):
+        folder = str(tmp_path / form)
+        (nation.coalesce(1).write.option("header", "true").option("escape", '"').csv(folder) if form == "csv" else nation.coalesce(2).write.json(folder))
+    got = files.load_documents(spark, str(tmp_path / "csv"))
+    assert sorted(r.content for r in got.collect() if r.path.endswith(".csv")) == want
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("text is not null").limit(5)
+    texts.coalesce(1).write.text(str(tmp_path / "text"))
+    loaded = [r.content for r in files.load_documents(spark, str(tmp_path / "text")).collect() if r.path.endswith(".txt")]
+    assert "".join(loaded).rstrip("\n") == "\n".join(r.text for r in texts.collect()).rstrip("\n")

@@ -74,3 +74,10 @@ def test_patterns_without_conditions_apply_to_every_question(spark):
         ("what", "response_length"), ("what", "citation_style"), ("what", "boost_source"), ("how", "response_length"), ("how", "citation_style"),
     }
     assert {r.question_type: r.patterns for r in confidence.collect()} == {"what": 3, "how": 2}
+
+
+def test_author_field(spark):
+    from scriptorium.operators import bibliography
+
+    got = one(spark, bibliography.split_author_field(F.lit("joão  silva e MARIA s. souza; p. lima & Ana and  bob e  ")), bibliography.split_author_field(F.lit(None).cast("string")))
+    assert got[0] == ["João Silva", "Maria S. Souza", "P. Lima", "Ana", "Bob"] and got[1] == []
