@@ -64,7 +64,7 @@ SELECT md5(text) AS text_md5, array_to_string(list_transform({t.sql_embed('any_v
 FROM documents GROUP BY md5(text)""")
 def stream_embed_once(spark, sf_dir):
     at = new_folder(spark)
-    texts = stream(spark, sf_dir, "documents").select("text", F.timestamp_seconds(F.lit(1704067200)).alias("ts"))
+    texts = stream(spark, sf_dir, "documents").select("text", F.timestamp_seconds(F.lit(1704067200) + F.coalesce("doc_id", F.lit(0))).alias("ts"))
     done = jobs.run_to_end(jobs.embed_once(texts), f"{at}/out", f"{at}/state")
     counts = F.array_join(F.transform("vec", lambda x: x.cast("string")), ",")
     return done.select("text_md5", counts.alias("counts"))

@@ -16,9 +16,12 @@ def new_chunks(chunks: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """The index, or nothing where there is none yet; any other trouble is an error."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

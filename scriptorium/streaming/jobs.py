@@ -17,7 +17,7 @@ from scriptorium.operators.chunking import chunk_id, pack_paragraphs
 from scriptorium.operators.embedding import embed_with_cache
 from scriptorium.operators.feedback import compose_updates, performance_sums, then, update_map
 from scriptorium.scale import number_rows, spread
-from scriptorium.sources.index import append_chunks, read_index
+from scriptorium.sources.index import append_chunks, new_chunks, read_index
 
 LATENESS = "1 hour"
 
@@ -32,11 +32,11 @@ def index_documents(
         packed = cleaned.select(
             "doc_id", "source", F.posexplode(pack_paragraphs(F.col("content"), size, separator=separator)).alias("chunk_index", "c")
         ).select("doc_id", "source", "chunk_index", F.col("c.content").alias("text")).persist()
-        vectors, _new = embed_with_cache(packed, None, embedder)
-        append_chunks(vectors.select(
-            chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "doc_id", "source",
-            "chunk_index", F.col("text").alias("content"), "vec",
-        ), path)
+        named = packed.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text")))
+        index = read_index(batch.sparkSession, path)
+        # what the index holds is dropped before it is embedded again
+        vectors, _new = embed_with_cache(named if index is None else new_chunks(named, index), None, embedder)
+        append_chunks(vectors.select("chunk_id", "doc_id", "source", "chunk_index", F.col("text").alias("content"), "vec"), path)
         packed.unpersist()
 
     return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
@@ -76,7 +76,13 @@ def update_patterns(candidates: DataFrame, path: str, checkpoint: str):
 
 
 def _state_before(spark: SparkSession, path: str, batch_no: int) -> DataFrame | None:
-    return None if batch_no == 0 else read_index(spark, f"{path}/batch={batch_no - 1}")
+    """None for the first batch; a later one without its predecessor's state would forget all patterns, so it fails."""
+    if batch_no == 0:
+        return None
+    state = read_index(spark, f"{path}/batch={batch_no - 1}")
+    if state is None:
+        raise ValueError(f"the state of batch {batch_no - 1} is missing under {path}")
+    return state
 
 
 def last_patterns(spark: SparkSession, path: str) -> DataFrame:

@@ -72,3 +72,40 @@ def test_late_rows_are_dropped(spark, tmp_path):
         out = jobs.run_to_end(jobs.rolling_errors(stream), f"{tmp_path}/out", f"{tmp_path}/state")
     got = {(str(r.window_start), r.errors) for r in out.collect()}
     assert ("2024-01-01 00:00:00", 1) in got and ("2024-01-01 06:00:00", 1) in got
+
+
+def test_known_chunks_are_not_embedded_again(spark, tmp_path):
+    docs = read(spark, SF_DIR, "documents")
+    docs.limit(20).coalesce(1).write.parquet(f"{tmp_path}/in")
+    count = spark.sparkContext.accumulator(0)
+
+    def embedder(text):
+        @F.udf("array<double>")
+        def one(t):
+            count.add(1)
+            return [float(len(t))]
+
+        return one(text)
+
+    for state in ("one", "two"):
+        stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
+        jobs.index_documents(stream, f"{tmp_path}/out", f"{tmp_path}/{state}", 300, "\n", embedder).trigger(availableNow=True).start().awaitTermination()
+        if state == "one":
+            first = count.value
+    assert count.value == first > 0
+
+
+def test_missing_state_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError):
+        jobs._state_before(spark, f"{tmp_path}/none", 3)
+    assert jobs._state_before(spark, f"{tmp_path}/none", 0) is None
+
+
+def test_only_a_missing_path_means_no_index(spark, tmp_path):
+    from scriptorium.sources.index import read_index
+
+    assert read_index(spark, f"{tmp_path}/none") is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet at all, and long enough to have a footer")
+    with pytest.raises(Exception, match="footer|Parquet|parquet"):
+        read_index(spark, f"{tmp_path}/bad").count()
