@@ -20,11 +20,13 @@ from pyspark.sql.types import StructType
 from scriptorium.llm import bytesets
 
 #: The training sample: documents of either label, and the longest text in it.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1_500, 3_000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1_000, 2_000, 10_000
 #: Tokens per sequence, and prefixes that are features (0: the whole word).
 STEP, PREFIXES = 64, (0, 4, 5, 6)
 #: Times a feature must be more frequent in toxic documents, and its least number of neighbourhoods there: that, or so many per toxic document.
 RATIO, LEAST, LEAST_SHARE = 20.0, 4, 0.015
+#: Toxic documents that must share it.
+SPREAD = 3
 #: Features with fewer neighbourhoods in the sample get no weight.
 SUPPORT = 3
 
@@ -113,22 +115,26 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.5,
     doc, _, _, hashes = tokens(body, offsets)
     toxic_docs, clean_docs = int(label.sum()), int((~label).sum())
     keys, feats = np.unique(hashes, return_inverse=True)
-    feats, size = feats.reshape(hashes.shape), len(keys)
+    feats, size = feats.astype(np.int32).reshape(hashes.shape), len(keys)
     model = Model(keys[:0], np.zeros(0), -4.0, np.array([[0.98, 0.02], [0.5, 0.5]]), toxic_docs / max(1, len(texts)) / 10)
     if not toxic_docs or not len(doc):
         return model
     # copies repeat a word beside the same words, so a feature's support is the number of its distinct neighbourhoods
-    word = hashes[:, 0]
+    word = hashes[:, 0].copy()
+    del hashes
     beside = bytesets.mix(np.roll(word, 1) * np.uint64(3) + np.roll(word, -1))
-    pair = bytesets.mix(beside[:, None] ^ (feats.astype(np.uint64) * np.uint64(bytesets.BASE)))
-    found = [feats[m].ravel()[np.unique(pair[m], return_index=True)[1]] for m in (label[doc], ~label[doc])]
-    in_toxic, in_clean = (np.bincount(x, minlength=size) for x in found)
+    in_toxic, in_clean = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for k in range(feats.shape[1]):
+        for m, into in ((label[doc], in_toxic), (~label[doc], in_clean)):
+            pair = bytesets.mix(beside[m] ^ (feats[m, k].astype(np.uint64) * np.uint64(bytesets.BASE)))
+            into += np.bincount(feats[m, k][np.unique(pair, return_index=True)[1]], minlength=size)
     known = in_toxic + in_clean >= SUPPORT
     odds = ((in_toxic + 0.1) / max(1, label[doc].sum())) / ((in_clean + 0.5) / max(1, (~label[doc]).sum()))
-    telling = (odds >= RATIO) & (in_toxic >= max(LEAST, LEAST_SHARE * toxic_docs))
+    in_docs = np.bincount(np.unique((doc[label[doc], None] * size + feats[label[doc]]).ravel()) % size, minlength=size)
+    telling = (odds >= RATIO) & (in_docs >= SPREAD) & (in_toxic >= max(LEAST, LEAST_SHARE * toxic_docs))
     gold = telling[feats].any(1) & label[doc]
     row, col, n = rows_of(doc, len(texts))
-    there, y, grid = np.zeros((n, STEP), bool), np.zeros((n, STEP), bool), np.zeros((n, STEP, len(PREFIXES)), np.int64)
+    there, y, grid = np.zeros((n, STEP), bool), np.zeros((n, STEP), bool), np.zeros((n, STEP, len(PREFIXES)), np.int32)
     there[row, col], y[row, col], grid[row, col] = True, gold, feats
     rng = np.random.default_rng(7)
     # every row with a toxic token, and as many others three times over
