@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.bytesets import process_cache
+
 CAPACITY, END_ID = 4096, 2
 #: Cost of attention against that of everything linear, per token and token.
 QUADRATIC = 1 / 4096
@@ -30,9 +32,6 @@ WINDOW, CACHE = 1 << 20, 500_000
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_encoders: dict[str, "Encoder"] = {}
-
-
 #: Words whose parts before the tokenizer are known: letters, then perhaps a run of marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
@@ -80,9 +79,10 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    held = process_cache().setdefault("encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
