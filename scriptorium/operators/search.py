@@ -17,7 +17,7 @@ QUERY_BLOCK = 4096
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+    return np.concatenate(column.to_numpy()).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +46,7 @@ def _scan(
     """Task function: keep k running best per query over all batches of the partition.
 
     One matrix product per batch finds the few pairs near or above each query's current k-th best; only those are
-    scored and rounded, then merged.
+    scored and rounded, then merged.  With ``centres``, the rows of a cell meet only the queries that probe it.
     """
     q = _matrix(block["vec"])
     q_sq, q_unit = (q * q).sum(axis=1), _unit(q)
@@ -70,6 +70,17 @@ def _scan(
             if len(kept[i][0]) >= k:
                 bound[i] = kept[i][0][-1]
 
+    def offer(asking: np.ndarray, v: np.ndarray, v_unit: np.ndarray, ids: np.ndarray, kept: list, bound: np.ndarray) -> None:
+        for low in range(0, len(asking), QUERY_TILE):
+            tile = asking[low : low + QUERY_TILE]
+            near = q_unit[tile] @ v_unit.T
+            least = bound[tile]
+            if len(ids) > k and any(kept[i] is None for i in tile):
+                least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+            qi, vi = np.nonzero(near >= (least - SLACK)[:, None])
+            if len(qi):
+                merge(tile[qi], ids[vi], exact(tile[qi], v[vi]), kept, bound)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[tuple | None] = [None] * len(q)
         bound = np.full(len(q), -np.inf if floor is None else floor)
@@ -79,19 +90,13 @@ def _scan(
             v = _matrix(batch["vec"])
             ids = batch[id_name].to_numpy()
             v_unit = _unit(v)
-            home = None if cells is None else np.argmax(v_unit @ centres.T, axis=1)
-            for low in range(0, len(q), QUERY_TILE):
-                tile = slice(low, low + QUERY_TILE)
-                near = q_unit[tile] @ v_unit.T
-                if home is not None:
-                    for i, row in enumerate(near):
-                        row[~np.isin(home, cells[low + i])] = -np.inf
-                least = bound[tile]
-                if len(ids) > k and any(b is None for b in kept[tile]):
-                    least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
-                qi, vi = np.nonzero((near >= (least - SLACK)[:, None]) & (near > -np.inf))
-                if len(qi):
-                    merge(qi + low, ids[vi], exact(qi + low, v[vi]), kept, bound)
+            if cells is None:
+                offer(np.arange(len(q)), v, v_unit, ids, kept, bound)
+                continue
+            home = np.argmax(v_unit @ centres.T, axis=1)
+            for c in np.unique(home):
+                mine = home == c
+                offer(np.flatnonzero((cells == c).any(axis=1)), v[mine], v_unit[mine], ids[mine], kept, bound)
         for i, best in enumerate(kept):
             if best is None:
                 continue
@@ -158,12 +163,13 @@ def cell_centres(corpus: DataFrame, id_name: str, cells: int) -> np.ndarray:
 
 
 def approximate(
-    queries: DataFrame, corpus: DataFrame, k: int, keys: list[str], id_name: str, cells: int = 16, probe: int = 8,
+    queries: DataFrame, corpus: DataFrame, k: int, keys: list[str], id_name: str, cells: int = 16, probe: int = 12,
     **options,
 ) -> DataFrame:
     """Top ``k`` among the rows whose nearest cell is one of the ``probe`` cells nearest to the query.
 
-    Scored exactly; a full cell costs scan time only, since a task never holds more than a batch.
+    Scored exactly; rows of other cells are not multiplied with the query.  A full cell costs scan time only, since a task
+    never holds more than a batch.
     """
     centres = cell_centres(corpus, id_name, cells)
     return nearest(queries, corpus, k, keys, id_name, centres=centres, probe=probe, **options)

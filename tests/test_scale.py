@@ -112,7 +112,6 @@ def test_approximate_recall(spark):
     exact = {(r.query_id, r.variant_no, r.vec_id) for r in t.vector_hits(spark, SF_DIR).collect()}
     near = search.approximate(
         t.vector_queries(spark, SF_DIR), t.vector_corpus(spark, SF_DIR), t.TOP_K, ["query_id", "variant_no"], "vec_id",
-        cells=16, probe=12,
     )
     found = {(r.query_id, r.variant_no, r.vec_id) for r in near.collect()}
     assert len(exact & found) / len(exact) >= 0.9
