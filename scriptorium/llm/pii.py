@@ -160,6 +160,11 @@ def private_spans(
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string,told:double>>")))
 
 
+def of_kind(kind: str):
+    """Test of a span."""
+    return lambda s: s["kind"] == kind
+
+
 def named(spans, kind: str | None = None):
     """``kind:start:end`` of each span."""
     label = (lambda s: s["kind"]) if kind is None else (lambda s: F.lit(kind))

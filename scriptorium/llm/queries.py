@@ -77,7 +77,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_private_data")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.private_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    counts = [F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
     base = F.array_join(pii.named("base"), ",")
     every = F.array_join(F.concat(pii.named("base"), pii.named("terms", "term")), ",")
     return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))

@@ -71,3 +71,15 @@ def test_contexts_must_differ_and_common_words_stay(spark):
     assert all(out[i] == {"quellon"} for i in range(4)) and not any(out[10 + i] for i in range(60))
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
     assert clean[0] == "today  writes from [email] quite often" and clean[10] == rows[4][1]
+
+
+def test_query_counts_kinds(spark):
+    from scriptorium.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op9_private_data"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in want) for x in PLAIN)
