@@ -11,7 +11,8 @@ strings have equal anchors wherever they stand.  Consecutive strings with one an
    least id that has it.
 5. Shards cover the strings whose least id is below the document's own.
 
-A hot passage costs each shard one context per anchor, whatever the number of its documents; texts move once.
+A hot passage costs each shard one context per anchor, whatever the number of its documents; where very many different
+contexts share an anchor, as at the edge of such a passage, each string goes to the bucket of its own hash.  Texts move once.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ LENGTH, GRAM = 50, 24
 #: Bytes of a shard and of what a bucket gathers, and of contexts in one suffix array: they bound memory only.
 SHARD_BYTES, BUCKET_BYTES, RUN_BYTES, STEP_BYTES = 3_000_000, 2_000_000, 1_000_000, 500_000
 
+#: Contexts of one anchor in a shard from which the anchor is hot: its strings are then dealt one by one, by their own hash.
+HOT = 256
+
 U = np.uint64
 KEY = U(0xFFFFFFFFFFFF0000)  # keys travel as six bytes
 
@@ -245,12 +249,16 @@ def _send_keys(buckets: int):
         order = np.lexsort((ids[a.doc], a.key))
         key, who = a.key[order], ids[a.doc][order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        # a hash of several documents goes twice: that is all a bucket needs to know
-        second = np.zeros(len(key), bool)
-        second[1:] = new[:-1] & ~new[1:]
+        # a hash of several documents goes twice, a hot one three times: that is all a bucket needs to know
         first = np.flatnonzero(new)
         many = first[np.maximum.reduceat(who, first) != np.minimum.reduceat(who, first)] if len(first) else first
-        sent = np.sort(np.concatenate([key[first], key[many]]))
+        content = _content(body, a.first, a.last)
+        each = np.lexsort((content, a.key))
+        k, c = a.key[each], content[each]
+        distinct = k[np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])] if len(k) else k
+        names, times = np.unique(distinct, return_counts=True)
+        hot = np.intersect1d(names[times >= HOT], key[many])
+        sent = np.sort(np.concatenate([key[first], key[many], hot]))
         bucket, cut = _cuts(sent, buckets)
         shard = table["shard"][0].as_py()
         return pa.table({
@@ -265,19 +273,43 @@ def _find_shared(table: pa.Table) -> pa.Table:
     lists = [unpack_keys(x) for x in table["keys"].to_pylist()]
     both = np.sort(np.concatenate(lists))
     shared = np.unique(both[1:][both[1:] == both[:-1]])
-    told = [pack_keys(np.unique(x[has(shared, x)])) for x in lists]
-    return pa.table({"shard": table["shard"], "keys": pa.array(told, pa.binary())})
+    third = [np.unique(x[2:][x[2:] == x[:-2]]) for x in lists]
+    hot = np.unique(np.concatenate(third))
+    told = [np.unique(x[has(shared, x)]) for x in lists]
+    return pa.table({
+        "shard": table["shard"], "keys": pa.array([pack_keys(x) for x in told], pa.binary()),
+        "hot": pa.array([pack_keys(x[has(hot, x)]) for x in told], pa.binary()),
+    })
+
+
+def _content(body: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the contexts from the first to the last start."""
+    return bytesets.mix(bytesets.hashes_in_row(body, first, last + LENGTH) + (last - first).astype(np.uint64))
 
 
-def _contexts(ids: np.ndarray, body: np.ndarray, offsets: np.ndarray, shared: np.ndarray):
-    """Occurrences of shared anchors, their context numbers, and the distinct contexts: sorted by key, then content."""
+def _all_keys(column) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *[unpack_keys(x) for x in column.to_pylist()]]))
+
+
+def _contexts(ids: np.ndarray, body: np.ndarray, offsets: np.ndarray, shared: np.ndarray, hot: np.ndarray):
+    """Occurrences of shared anchors, their context numbers, and the distinct contexts: sorted by key, then content.
+
+    A hot anchor's strings are contexts of their own, with their own hash as key.
+    """
     a = anchors(body, offsets)
     use = np.flatnonzero(has(shared, a.key))
     key, first, last, doc = a.key[use], a.first[use], a.last[use], a.doc[use]
-    content = bytesets.mix(bytesets.hashes_in_row(body, first, last + LENGTH) + (last - first).astype(np.uint64))
+    times = np.where(has(hot, key), last - first + 1, 1)
+    own = np.repeat(np.arange(len(use)), times)
+    if len(own) > len(use):
+        alone = times[own] > 1
+        start = first[own] + np.where(alone, np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times), 0)
+        first, last, doc = start, np.where(alone, start, last[own]), doc[own]
+        key = np.where(alone, _content(body, first, last) & KEY, key[own])
+    content = _content(body, first, last)
     order = np.lexsort((ids[doc], content, key))
-    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])]) if len(use) else np.zeros(0, bool)
-    number = np.zeros(len(use), np.int64)
+    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])]) if len(key) else np.zeros(0, bool)
+    number = np.zeros(len(key), np.int64)
     number[order] = np.cumsum(new) - 1
     lead = order[new]
     return first, last, doc, number, lead, key[lead]
@@ -286,8 +318,8 @@ def _contexts(ids: np.ndarray, body: np.ndarray, offsets: np.ndarray, shared: np
 def _send_contexts(buckets: int):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         ids, body, offsets = _read(table) if table.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpack_keys(x) for x in told["keys"].to_pylist()]]))
-        first, last, doc, _, lead, key = _contexts(ids, body, offsets, shared)
+        shared, hot = _all_keys(told["keys"]), _all_keys(told["hot"])
+        first, last, doc, _, lead, key = _contexts(ids, body, offsets, shared, hot)
         bucket, cut = _cuts(key, buckets)
         begin, size = first[lead], last[lead] - first[lead] + LENGTH
         raw = [body[b : b + s].tobytes() for b, s in zip(begin.tolist(), size.tolist())]
@@ -300,6 +332,9 @@ def _send_contexts(buckets: int):
             "sizes": pa.array([size[i:j].astype(np.uint8).tobytes() for i, j in part], pa.binary()),
             "body": pa.array([pa.compress(b"".join(raw[i:j]), "zstd", asbytes=True) for i, j in part], pa.binary()),
             "ids": pa.array([ids[doc[lead[i:j]]].tobytes() for i, j in part], pa.binary()),
+            # what the shard was told comes back to it with the answer to its first row
+            "shared": pa.array([pack_keys(shared) if not i else b"" for i in range(len(part))], pa.binary()),
+            "hot": pa.array([pack_keys(hot) if not i else b"" for i in range(len(part))], pa.binary()),
         })
 
     return run
@@ -356,7 +391,7 @@ def _judge(table: pa.Table) -> pa.Table:
         out["stops"].append(stop[rows].astype(np.uint8).tobytes())
         out["least"].append(least[rows].tobytes())
         at += n
-    return pa.table({"shard": table["shard"], **{n: pa.array(x, pa.binary()) for n, x in out.items()}, "keys": pa.array(raw["keys"], pa.binary())})
+    return pa.table({"shard": table["shard"], **{n: pa.array(x, pa.binary()) for n, x in out.items()}, "shared": table["shared"], "hot": table["hot"]})
 
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -368,8 +403,7 @@ def _cover(table: pa.Table, judged: pa.Table) -> pa.Table:
         return pa.table({"id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], kind), "kept": pa.array([], pa.string())})
     lost = table.filter(pa.compute.is_null(table["id"]))
     ids, body, offsets = _read(table)
-    shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *[unpack_keys(x) for x in judged["keys"].to_pylist()]]))
-    first, _, doc, number, _, _ = _contexts(ids, body, offsets, shared)
+    first, _, doc, number, _, _ = _contexts(ids, body, offsets, _all_keys(judged["shared"]), _all_keys(judged["hot"]))
     of = {n: np.concatenate([np.zeros(0, t), *[np.frombuffer(x, t) for x in judged[n].to_pylist()]]) for n, t in (("numbers", np.int32), ("starts", np.uint8), ("stops", np.uint8), ("least", np.int64))}
     by = np.argsort(of["numbers"], kind="stable")
     start, stop, least = of["starts"][by].astype(np.int64), of["stops"][by].astype(np.int64), of["least"][by]
@@ -420,10 +454,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     shards, _ = _sharded(src, volume)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), volume // 2 // BUCKET_BYTES + 1)
     keys = shards.groupBy("shard").applyInArrow(_send_keys(buckets), "bucket int, shard int, keys binary")
-    told = keys.groupBy("bucket").applyInArrow(_find_shared, "shard int, keys binary")
+    told = keys.groupBy("bucket").applyInArrow(_find_shared, "shard int, keys binary, hot binary")
     sent = shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(
-        _send_contexts(buckets), "bucket int, shard int, base int, keys binary, sizes binary, body binary, ids binary"
+        _send_contexts(buckets), "bucket int, shard int, base int, keys binary, sizes binary, body binary, ids binary, shared binary, hot binary"
     )
-    judged = sent.groupBy("bucket").applyInArrow(_judge, "shard int, numbers binary, starts binary, stops binary, least binary, keys binary")
+    judged = sent.groupBy("bucket").applyInArrow(_judge, "shard int, numbers binary, starts binary, stops binary, least binary, shared binary, hot binary")
     out = shards.groupBy("shard").cogroup(judged.groupBy("shard")).applyInArrow(_cover, f"id long, n_bytes long, spans {SPANS}, kept string")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "spans", F.col("kept").alias("kept_sha256"))

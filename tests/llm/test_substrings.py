@@ -38,9 +38,10 @@ def planted():
     return rows + [(310, rows[-2][1][1000:9000]), rows[3]]
 
 
-@pytest.mark.parametrize("run_bytes", [2_000_000, 300])
-def test_removal_against_brute_force(spark, monkeypatch, run_bytes):
+@pytest.mark.parametrize(("run_bytes", "hot"), [(2_000_000, 256), (300, 256), (2_000_000, 3)])
+def test_removal_against_brute_force(spark, monkeypatch, run_bytes, hot):
     monkeypatch.setattr(substrings, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(substrings, "HOT", hot)
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as shard", "2 as id").repartition(4)
     got = substrings.repeats(docs).collect()
