@@ -13,7 +13,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def process_cache() -> dict:

@@ -28,7 +28,7 @@ CAPACITY, END_ID = 4096, 2
 #: Cost of attention against that of everything linear, per token and token.
 QUADRATIC = 1 / 4096
 #: Tokens packed together, and words kept encoded per worker: both bound memory only.
-WINDOW, CACHE = 1 << 20, 500_000
+WINDOW, CACHE = 1 << 20, 250_000
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
