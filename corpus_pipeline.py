@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by a Jaccard similarity of 0.9 or more."""
-    return jaccard.one_of_each(docs)
+    """One document, that of the least id, of each group linked by a Jaccard similarity of 0.8 or more between shingles of five words."""
+    return jaccard.one_of_each(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

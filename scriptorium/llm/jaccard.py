@@ -1,7 +1,7 @@
 """Documents linked by the Jaccard similarity of their word shingles.
 
-Candidates come from exact pigeonholes: two sets with J >= 0.9 differ in at most ``min // 9`` shingles, so if the hash range
-is cut into one part more than that, they agree in a whole part.  Sets of like size (a band) are cut alike, and the hash of
+Candidates come from exact pigeonholes: two sets with J >= p / 100 differ in at most ``min * (100 - p) // p`` shingles (a ninth
+of the smaller for 90), so if the hash range is cut into one part more than that, they agree in a whole part.  Sets of like size (a band) are cut alike, and the hash of
 each part's content is a key; equal keys, gathered in packed binary rows, give edges to the least set of a key, and their
 components are clusters.  A cluster's sets are verified through an R-tree of count vectors: shingles are hashed into GROUPS
 groups, the counts are points, and the sum of coordinate minima with a node's upper corner bounds the overlap with
@@ -23,7 +23,8 @@ from scriptorium.llm import bytesets
 from scriptorium.llm.common import written
 from scriptorium.llm.graphs import components
 
-SHINGLE = 3
+#: Words of a shingle, and the least similarity of a link in hundredths.
+SHINGLE, PERCENT = 3, 90
 #: Counts per vector, points per R-tree leaf, leaves per inner node.
 GROUPS, LEAF, FAN = 16, 8, 16
 #: Bytes of sets verified together, bytes of keys gathered in a bucket, and ids up to which a set of them is broadcast.
@@ -34,24 +35,31 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def shingle_sets(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after the other, and the n + 1 places where they begin."""
+def shingle_sets(body: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one after the other, and the n + 1 places where they begin.
+
+    A text of fewer words than a shingle is one shingle of all its words.
+    """
     low = bytesets.LOWER[body]
     start, end = bytesets.runs(~SPACE[low], offsets)
     word = bytesets.span_hash(bytesets.sums(low), start, end)
     n = len(offsets) - 1
     first = np.searchsorted(start, offsets[:-1], "left")
     count = np.searchsorted(start, offsets[1:], "left") - first
-    padded = np.concatenate([word, np.zeros(SHINGLE, np.uint64)])
-    three = bytesets.mix(padded[:-3] + bytesets.mix(padded[1:-2] + bytesets.mix(padded[2:-1] + U(1))))
+    padded = np.concatenate([word, np.zeros(shingle, np.uint64)])
+    hashed = np.ones(len(word), np.uint64)
+    for i in reversed(range(shingle)):
+        hashed = bytesets.mix(padded[i : i + len(word)] + hashed)
     sets = []
     for f, c in zip(first.tolist(), count.tolist()):
-        if c >= SHINGLE:
-            a = np.sort(three[f : f + c - SHINGLE + 1])
+        if c >= shingle:
+            a = np.sort(hashed[f : f + c - shingle + 1])
             sets.append(a[np.concatenate([[True], a[1:] != a[:-1]])])
         elif c:
-            whole = bytesets.mix(word[f] + (bytesets.mix(word[f + 1] + U(5)) if c == 2 else U(9)))
-            sets.append(np.array([whole], np.uint64))
+            whole = np.array([5 + c], np.uint64)
+            for i in reversed(range(f, f + c)):
+                whole = bytesets.mix(word[i : i + 1] + whole)
+            sets.append(whole)
         else:
             sets.append(np.zeros(0, np.uint64))
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
@@ -72,31 +80,31 @@ def digests(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 @lru_cache
-def bands() -> np.ndarray:
-    """Least sizes of the bands; a band spans a factor of about 1.37."""
-    out = [1]
+def bands(percent: int = PERCENT) -> np.ndarray:
+    """Least sizes of the bands; a band spans a factor of about 1.37, or all sizes that can be near its least."""
+    out, factor = [1], max(137, -(-10000 // percent))
     while out[-1] < 1 << 40:
-        out.append(out[-1] * 137 // 100 + 1)
+        out.append(out[-1] * factor // 100 + 1)
     return np.array(out, np.int64)
 
 
-def keys(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys(sets: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Keys and the number of the set each belongs to.
 
     A set has the keys of its own band, and of the next if a set there can be near enough.  A part without shingles is a
     key only for a set with so few others that all of them may differ.
     """
-    low, size = bands(), np.diff(ends)
+    low, size = bands(percent), np.diff(ends)
     own = np.searchsorted(low, size, "right") - 1
     out_keys, out_sets = [], []
     for step in (0, 1):
         band = own + step
-        use = np.flatnonzero((size > 0) & ((10 * size >= 9 * low[band]) if step else True))
+        use = np.flatnonzero((size > 0) & ((100 * size >= percent * low[band]) if step else True))
         if not len(use):
             continue
         which = np.repeat(use, size[use])
         at = np.arange(len(which)) - np.repeat(np.cumsum(size[use]) - size[use], size[use]) + ends[which]
-        x, parts = sets[at], ((low[band + 1] - 1) // 9 + 1).astype(np.uint64)
+        x, parts = sets[at], ((low[band + 1] - 1) * (100 - percent) // percent + 1).astype(np.uint64)
         part = ((x >> U(32)) * parts[which]) >> U(32)
         new = np.concatenate([[True], (part[1:] != part[:-1]) | (which[1:] != which[:-1])])
         begin = np.flatnonzero(new)
@@ -105,7 +113,7 @@ def keys(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out_keys.append(bytesets.mix(content ^ tag))
         out_sets.append(which[begin])
         filled = np.bincount(which[begin], minlength=len(size))
-        for k in use[filled[use] <= size[use] // 9].tolist():
+        for k in use[filled[use] <= size[use] * (100 - percent) // percent].tolist():
             have = part[begin][which[begin] == k]
             empty = np.setdiff1d(np.arange(int(parts[k]), dtype=np.uint64), have)
             out_keys.append(bytesets.mix(bytesets.mix(empty + (U(int(band[k])) << U(40)) + U(3)) ^ U(0xE3779B97F4A7C15)))
@@ -113,7 +121,7 @@ def keys(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_keys), np.concatenate(out_sets)) if out_keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _digest_rows(docs: DataFrame) -> DataFrame:
+def _digest_rows(docs: DataFrame, shingle: int) -> DataFrame:
     """id, n_shingles and digest (a, b) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +129,7 @@ def _digest_rows(docs: DataFrame) -> DataFrame:
             body, offsets = bytesets.utf8(batch.column(1))
             found = []
             for f, e in bytesets.chunks(offsets):
-                sets, ends = shingle_sets(body[offsets[f] : offsets[e]], offsets[f : e + 1] - offsets[f])
+                sets, ends = shingle_sets(body[offsets[f] : offsets[e]], offsets[f : e + 1] - offsets[f], shingle)
                 found.append((np.diff(ends), *digests(sets, ends)))
             n, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n", "a", "b"])
@@ -129,16 +137,16 @@ def _digest_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, a long, b long")
 
 
-def _packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
+def _packed_keys(docs: DataFrame, buckets: int, shingle: int, percent: int) -> DataFrame:
     """Rows (bucket, keys, sets) with the sorted keys of many documents, 8 bytes each, and the sets they belong to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = bytesets.utf8(batch.column(0))
             for f, e in bytesets.chunks(offsets, 2 * bytesets.CHUNK):
-                sets, ends = shingle_sets(body[offsets[f] : offsets[e]], offsets[f : e + 1] - offsets[f])
+                sets, ends = shingle_sets(body[offsets[f] : offsets[e]], offsets[f : e + 1] - offsets[f], shingle)
                 a, _ = digests(sets, ends)
-                k, which = keys(sets, ends)
+                k, which = keys(sets, ends, percent)
                 once = np.zeros(len(a), bool)
                 once[np.unique(a, return_index=True)[1]] = True
                 k, who = k[once[which]], a[which[once[which]]]
@@ -173,7 +181,8 @@ def _shared_keys(table: pa.Table) -> pa.Table:
 class CountTree:
     """A packed R-tree of count vectors; a search gives the points whose overlap with a vector may reach what they need."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT):
+        self.percent = percent
         self.order = np.lexsort((*points.T[::-1], sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = []
@@ -188,10 +197,10 @@ class CountTree:
         at = None
         for corner, least, width in reversed(self.levels):
             at = np.arange(len(corner)) if at is None else at[at < len(corner)]
-            may = 19 * np.minimum(corner[at], point).sum(1) >= 9 * (least[at] + size)
+            may = (100 + self.percent) * np.minimum(corner[at], point).sum(1) >= self.percent * (least[at] + size)
             at = (at[may][:, None] * width + np.arange(width)).ravel()
         at = np.arange(len(self.points)) if at is None else at[at < len(self.points)]
-        may = 19 * np.minimum(self.points[at], point).sum(1) >= 9 * (self.sizes[at] + size)
+        may = (100 + self.percent) * np.minimum(self.points[at], point).sum(1) >= self.percent * (self.sizes[at] + size)
         return self.order[at[may]]
 
 
@@ -200,36 +209,39 @@ def vector(values: np.ndarray) -> np.ndarray:
     return np.bincount((values >> U(60)).astype(np.int64), minlength=GROUPS)[:GROUPS]
 
 
-def connecting_links(sets: list[np.ndarray], left: np.ndarray) -> list[tuple[int, int]]:
+def connecting_links(sets: list[np.ndarray], left: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between sets marked ``left`` and any that join what no other has joined: a forest of at most len(sets) - 1."""
     sizes = np.array([len(s) for s in sets])
     points = np.stack([vector(s) for s in sets])
-    tree, label, out = CountTree(points, sizes), np.arange(len(sets)), []
+    tree, label, out = CountTree(points, sizes, percent), np.arange(len(sets)), []
     for q in np.flatnonzero(left).tolist():
         for x in tree.search(points[q], int(sizes[q])).tolist():
             if label[x] != label[q]:
                 both = len(np.intersect1d(sets[q], sets[x], assume_unique=True))
-                if 100 * both >= 90 * (sizes[q] + sizes[x] - both):
+                if 100 * both >= percent * (sizes[q] + sizes[x] - both):
                     label[label == label[x]] = label[q]
                     out.append((q, x))
     return out
 
 
-def _verify(table: pa.Table) -> pa.Table:
-    sets = [np.frombuffer(x, np.uint64) for x in table["values"].to_pylist()]
-    ids, side = table["rep"].to_pylist(), np.array(table["side"].to_pylist(), bool)
-    links = connecting_links(sets, side)
-    return pa.table({"u": pa.array([ids[q] for q, _ in links], pa.int64()), "v": pa.array([ids[x] for _, x in links], pa.int64())})
+def _verify(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in table["values"].to_pylist()]
+        ids, side = table["rep"].to_pylist(), np.array(table["side"].to_pylist(), bool)
+        links = connecting_links(sets, side, percent)
+        return pa.table({"u": pa.array([ids[q] for q, _ in links], pa.int64()), "v": pa.array([ids[x] for _, x in links], pa.int64())})
+
+    return run
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """The sets of the documents that stand for their class: cluster, chunks, chunk, rep, values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = bytesets.utf8(batch.column(0))
             for f, e in bytesets.chunks(offsets):
-                sets, ends = shingle_sets(body[offsets[f] : offsets[e]], offsets[f : e + 1] - offsets[f])
+                sets, ends = shingle_sets(body[offsets[f] : offsets[e]], offsets[f : e + 1] - offsets[f], shingle)
                 a, b = digests(sets, ends)
                 part = batch.slice(f, e - f)
                 mine = np.flatnonzero((a == part.column(1).to_numpy()) & (b == part.column(2).to_numpy()))
@@ -240,18 +252,18 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "rep long, cluster long, chunks int, values binary")
 
 
-def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least id reachable by links of J >= 0.9).
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least id reachable by links of J >= percent / 100).
 
-    Null, empty and blank texts have no shingles and link with nothing.  Rows of the same id are one document of several
+    Shingles are of ``shingle`` words.  Null, empty and blank texts have no shingles and link with nothing.  Rows of the same id are one document of several
     texts; rows without an id take no part: they are counted, and their component is null.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    each = written(_digest_rows(src))
+    each = written(_digest_rows(src, shingle))
     volume = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // 2 // BUCKET_BYTES + 1)
-    packed = _packed_keys(src.where(F.col("id").isNotNull()).select("text"), buckets)
+    packed = _packed_keys(src.where(F.col("id").isNotNull()).select("text"), buckets, shingle, percent)
     edges = packed.groupBy("bucket").applyInArrow(_shared_keys, "u long, v long")
     star = components(edges.distinct())
     cluster = star.unionByName(star.select(F.col("v").alias("u"), "v").distinct())
@@ -261,12 +273,12 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     chosen = written(members.join(volumes.where(F.col("size") > 1), "cluster").select(F.col("rep").alias("id"), "a", "b", "rep", "cluster", "chunks"))
     few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # rows of 44 bytes
     texts = src.join(F.broadcast(chosen) if few else chosen, "id").select("text", "a", "b", "rep", "cluster", "chunks")
-    sets = written(_sets(texts).dropDuplicates(["cluster", "rep", "values"]))
+    sets = written(_sets(texts, shingle).dropDuplicates(["cluster", "rep", "values"]))
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     dealt = sets.withColumn("mine", mine).select(
         "cluster", "rep", "values", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     ).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "values", (F.col("mine") <= F.col("other")).alias("side"))
-    links = dealt.groupBy("cluster", "i", "j").applyInArrow(_verify, "u long, v long")
+    links = dealt.groupBy("cluster", "i", "j").applyInArrow(_verify(percent), "u long, v long")
     joined = components(links).select(F.col("u").alias("rep"), F.col("v").alias("least"))
     named = classes.join(joined, "rep", "left").select("a", "b", F.coalesce("least", "rep").alias("component_id"))
     out = each.join(named, ["a", "b"], "left")
@@ -275,8 +287,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents of the least id of each component, unchanged; documents without an id all stay."""
-    least = linked(docs, doc_id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    least = linked(docs, doc_id, text, shingle, percent).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
     keep = written(least)
     return docs.where(F.col(doc_id).isNull()).unionByName(docs.join(keep, doc_id, "left_semi"))
