@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.session import new_folder
@@ -39,3 +41,13 @@ def left_join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     for n in names:
         on = on & F.col(n).eqNullSafe(F.col(f"_other_{n}"))
     return left.join(other, on, "left").drop(*[f"_other_{n}" for n in names])
+
+
+def ordered_positions(df: DataFrame, order: Sequence[Column], name: str, rows: int) -> DataFrame:
+    """1-based position of every row in a total order of the whole table of about ``rows`` rows, in ranges of that order."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 500_000 + 1)
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return local.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_before") + F.col("_local")).cast("long").alias(name))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bm25, chat, decontamination, jaccard, lines, oracles, packing, pii, substrings, toxicity, warc
+from scriptorium.llm import bm25, chat, decontamination, jaccard, lines, oracles, packing, pii, resampling, substrings, toxicity, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bm25.search(docs, docs.where(F.col("doc_id") % 20 == 0))
+
+
+@query("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
