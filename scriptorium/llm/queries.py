@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bm25, chat, decontamination, jaccard, lines, oracles, packing, pii, resampling, substrings, toxicity, warc
+from scriptorium.llm import bm25, chat, decontamination, jaccard, languages, lines, oracles, packing, pii, resampling, substrings, toxicity, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = toxicity.crc_text(F.col("doc_id")) % 3 == 1
+    out = languages.identify(docs, languages.samples(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
