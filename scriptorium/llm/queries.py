@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bm25, chat, decontamination, jaccard, languages, lines, oracles, packing, pii, resampling, substrings, toxicity, warc
+from scriptorium.llm import alignment, bm25, chat, decontamination, jaccard, languages, lines, oracles, packing, pii, resampling, substrings, toxicity, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +24,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op2_decontamination", oracles.DECONTAMINATION)
@@ -112,3 +112,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.crc_text(F.col("doc_id")) % 3 == 1
     out = languages.identify(docs, languages.samples(docs.where(~held_out)))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
