@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from test_jaccard import brute
+from test_near_duplicates import plain_components
 
 import corpus_pipeline
 from scriptorium.llm import oracles
@@ -53,7 +53,7 @@ def test_line_dedup_against_sql(steps):
 
 def test_one_document_of_each_group_stays(steps):
     docs, kept = steps["near_duplicates"]
-    groups = {c for _, _, c in brute([(r.doc_id, r.text) for r in docs.collect()])}
+    groups = {c for _, _, c in plain_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(groups)
     assert kept.exceptAll(docs).count() == 0
 
