@@ -181,16 +181,16 @@ def recommend(questions: DataFrame, patterns: DataFrame) -> tuple[DataFrame, Dat
     combo = ["question_type", "has_terms", "complexity"]
     usable = patterns.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support_count") >= MIN_SUPPORT))
     combos = questions.select(*combo).distinct()
+    # a pattern without conditions meets the empty fact, which every combination carries
     facts = combos.select(*combo, F.explode(F.create_map(
         F.lit("question_type"), F.col("question_type"), F.lit("has_technical_terms"), F.col("has_terms").cast("string"),
-        F.lit("complexity_level"), F.col("complexity"),
+        F.lit("complexity_level"), F.col("complexity"), F.lit(""), F.lit(""),
     )).alias("key", "value"))
-    wanted = usable.select("pattern_id", "confidence", "adjustments", F.explode("conditions").alias("key", "value"))
+    free = F.coalesce(F.size("conditions"), F.lit(0)) <= 0
+    conditions = F.when(free, F.create_map(F.lit(""), F.lit(""))).otherwise(F.col("conditions"))
+    wanted = usable.select("pattern_id", "confidence", "adjustments", F.explode(conditions).alias("key", "value"))
     matched = wanted.join(small_side(facts), ["key", "value"]).select(*combo, "pattern_id", "confidence", "adjustments")
-    # a pattern without conditions stands beside every combination, of which there are few
-    free = usable.where(F.coalesce(F.size("conditions"), F.lit(0)) <= 0).select("pattern_id", "confidence", "adjustments", F.lit("").alias("_all"))
-    everywhere = free.join(small_side(combos.withColumn("_all", F.lit(""))), "_all").select(*combo, "pattern_id", "confidence", "adjustments")
-    applied = matched.unionByName(everywhere).dropDuplicates([*combo, "pattern_id"])
+    applied = matched.dropDuplicates([*combo, "pattern_id"])
     settings = applied.select(*combo, "pattern_id", F.explode("adjustments").alias("setting", "to"))
     name = F.col("setting")
     routed = settings.groupBy(*combo, "setting").agg(F.max_by("to", "pattern_id").alias("to")).withColumn(

@@ -56,8 +56,9 @@ def test_export_and_examples(spark, tmp_path):
 
 def test_flat_metadata_cuts_nested_fields(spark):
     df = spark.sql("SELECT 1 AS a, true AS b, array(repeat('x', 200)) AS c, date'2020-01-02' AS d")
-    row = index.flat_metadata(df).first()
+    row = index.flat_metadata(df, 100).first()
     assert (row.a, row.b, len(row.c_str), row.d_str) == (1, True, 100, "2020-01-02")
+    assert len(index.flat_metadata(df).first().c_str) == 204
 
 
 def test_feedback_round_trip(spark):
