@@ -20,7 +20,17 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: its lineage ends there and its size is known to the planner."""
     folder = new_folder(df.sparkSession)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.written_to = folder
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` whose readers are done."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import written
+from scriptorium.llm.common import released, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -26,9 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = _least(both)
         large = written(
-            both.join(_least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            both.join(near, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, now = now, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        released(near, large, least, last)

@@ -2,31 +2,32 @@
 
 Candidates come from exact pigeonholes: two sets with J >= p / 100 differ in at most ``min * (100 - p) // p`` shingles (a ninth
 of the smaller for 90), so if the hash range is cut into one part more than that, they agree in a whole part.  Sets of like size (a band) are cut alike, and the hash of
-each part's content is a key; equal keys, gathered in packed binary rows, give edges to the least set of a key, and their
-components are clusters.  A cluster's sets are verified through an R-tree of count vectors: shingles are hashed into GROUPS
+each part's content is a key.  The least set of a key is the hub of all sets that have it, so two candidates always share a
+hub.  In each hub an R-tree of count vectors finds the pairs that may be linked: shingles are hashed into GROUPS
 groups, the counts are points, and the sum of coordinate minima with a node's upper corner bounds the overlap with
-everything below it.  Survivors are intersected exactly.  Equal sets are one class throughout; a large cluster is cut into
-chunks and verified chunk against chunk, each task giving only the links that connect.
+everything below it.  A pair with several hubs is left to the least of them.  Only sets that survive in a hub are sent there
+whole, and intersected exactly.  Equal sets are one class throughout; a large hub is cut into chunks and tested chunk against
+chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from scriptorium.llm import bytesets
-from scriptorium.llm.common import written
+from scriptorium.llm.common import released, written
 from scriptorium.llm.graphs import components
 
 #: Words of a shingle, and the least similarity of a link in hundredths.
 SHINGLE, PERCENT = 3, 90
 #: Counts per vector, points per R-tree leaf, leaves per inner node.
-GROUPS, LEAF, FAN = 16, 8, 16
+GROUPS, LEAF, FAN = 64, 8, 16
 #: Bytes of sets verified together, bytes of keys gathered in a bucket, and ids up to which a set of them is broadcast.
 CHUNK_BYTES, BUCKET_BYTES, BROADCAST_ROWS = 16_000_000, 16_000_000, 500_000
 
@@ -79,13 +80,15 @@ def digests(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a.view(np.int64), b.view(np.int64)
 
 
-@lru_cache
 def bands(percent: int = PERCENT) -> np.ndarray:
     """Least sizes of the bands; a band spans a factor of about 1.37, or all sizes that can be near its least."""
-    out, factor = [1], max(137, -(-10000 // percent))
-    while out[-1] < 1 << 40:
-        out.append(out[-1] * factor // 100 + 1)
-    return np.array(out, np.int64)
+    held = bytesets.process_cache().setdefault("bands", {})
+    if percent not in held:
+        out, factor = [1], max(137, -(-10000 // percent))
+        while out[-1] < 1 << 40:
+            out.append(out[-1] * factor // 100 + 1)
+        held[percent] = np.array(out, np.int64)
+    return held[percent]
 
 
 def keys(sets: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -206,36 +209,70 @@ class CountTree:
 
 def vector(values: np.ndarray) -> np.ndarray:
     """Shingles per group of a set."""
-    return np.bincount((values >> U(60)).astype(np.int64), minlength=GROUPS)[:GROUPS]
+    return np.bincount((values >> U(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
 
 
-def connecting_links(sets: list[np.ndarray], left: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links between sets marked ``left`` and any that join what no other has joined: a forest of at most len(sets) - 1."""
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def found_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT, forest: bool = True) -> list[tuple[int, int]]:
+    """Links between sets of side 0 and those of side 1, or among all if there is one side only.
+
+    All of them, or, for a forest, those that join what no other has joined.
+    """
     sizes = np.array([len(s) for s in sets])
     points = np.stack([vector(s) for s in sets])
-    tree, label, out = CountTree(points, sizes, percent), np.arange(len(sets)), []
-    for q in np.flatnonzero(left).tolist():
-        for x in tree.search(points[q], int(sizes[q])).tolist():
-            if label[x] != label[q]:
-                both = len(np.intersect1d(sets[q], sets[x], assume_unique=True))
-                if 100 * both >= percent * (sizes[q] + sizes[x] - both):
-                    label[label == label[x]] = label[q]
-                    out.append((q, x))
+    one = side.all() or not side.any()
+    right = np.arange(len(sets)) if one else np.flatnonzero(side)
+    tree, parent, out = CountTree(points[right], sizes[right], percent), list(range(len(sets))), []
+    for q in (right if one else np.flatnonzero(~side)).tolist():
+        for x in right[tree.search(points[q], int(sizes[q]))].tolist():
+            if (one and x <= q) or (forest and _root(parent, x) == _root(parent, q)):
+                continue
+            both = len(np.intersect1d(sets[q], sets[x], assume_unique=True))
+            if 100 * both >= percent * (sizes[q] + sizes[x] - both):
+                parent[_root(parent, x)] = _root(parent, q)
+                out.append((q, x))
     return out
 
 
-def _verify(percent: int):
+def _survivors(percent: int):
+    """Of a hub's chunks, the rows of sets that may be linked with one of the other side and share no lesser hub with it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        points = np.stack([np.frombuffer(x, "<u4") for x in table["vector"].to_pylist()]).astype(np.int64)
+        sizes, side = table["n"].to_numpy(), table["side"].to_numpy().astype(bool)
+        hub = table["hub"][0].as_py()
+        lesser = [frozenset(h for h in x if h < hub) for x in table["hubs"].to_pylist()]
+        one = side.all() or not side.any()
+        right = np.arange(len(sizes)) if one else np.flatnonzero(side)
+        tree, needed = CountTree(points[right], sizes[right], percent), np.zeros(len(sizes), bool)
+        for q in (right if one else np.flatnonzero(~side)).tolist():
+            near = right[tree.search(points[q], int(sizes[q]))]
+            for x in (near[~needed[near]] if needed[q] else near).tolist():
+                if x != q and not (needed[q] and needed[x]) and lesser[q].isdisjoint(lesser[x]):
+                    needed[q] = needed[x] = True
+        return table.select(["hub", "i", "j", "a", "rep", "side"]).filter(pa.array(needed))
+
+    return run
+
+
+def _verify(percent: int, forest: bool):
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in table["values"].to_pylist()]
-        ids, side = table["rep"].to_pylist(), np.array(table["side"].to_pylist(), bool)
-        links = connecting_links(sets, side, percent)
+        ids = table["rep"].to_pylist()
+        links = found_links(sets, table["side"].to_numpy().astype(bool), percent, forest)
         return pa.table({"u": pa.array([ids[q] for q, _ in links], pa.int64()), "v": pa.array([ids[x] for _, x in links], pa.int64())})
 
     return run
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The sets of the documents that stand for their class: cluster, chunks, chunk, rep, values."""
+def _sets(docs: DataFrame, shingle: int, vectors: bool) -> DataFrame:
+    """a and the values, or the count vector, of the sets of documents (text, a, b) that stand for their class."""
+    name = "vector" if vectors else "values"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,41 +282,83 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 a, b = digests(sets, ends)
                 part = batch.slice(f, e - f)
                 mine = np.flatnonzero((a == part.column(1).to_numpy()) & (b == part.column(2).to_numpy()))
-                rows = part.take(pa.array(mine))
-                values = pa.array([sets[ends[i] : ends[i + 1]].tobytes() for i in mine], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows.columns[3:], values], ["rep", "cluster", "chunks", "values"])
+                values = [sets[ends[i] : ends[i + 1]] for i in mine]
+                raw = pa.array([(vector(v).astype("<u4") if vectors else v).tobytes() for v in values], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(mine)), raw], ["a", name])
+
+    # a representative's id may have several rows of the same text
+    return docs.mapInArrow(run, f"a long, {name} binary").groupBy("a").agg(F.first(name).alias(name))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Rows of some 40 bytes, broadcast up to BROADCAST_ROWS of them."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    return docs.mapInArrow(run, "rep long, cluster long, chunks int, values binary")
+
+def _class_links(src: DataFrame, classes: DataFrame, shingle: int, percent: int, forest: bool) -> DataFrame:
+    """Links (u, v) between the representatives of classes (a, b, rep, n), as a written table."""
+    spark = src.sparkSession
+    volume = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // 2 // BUCKET_BYTES + 1)
+    packed = _packed_keys(src.select("text"), buckets, shingle, percent)
+    edges = written(packed.groupBy("bucket").applyInArrow(_shared_keys, "u long, v long").distinct())
+    members = edges.unionByName(edges.select(F.col("v").alias("u"), "v").distinct()).withColumnsRenamed({"u": "a", "v": "hub"})
+    named = members.join(classes.select("a", "b", "rep", "n"), "a")
+    volumes = named.groupBy("hub").agg((F.sum("n") * 8 / CHUNK_BYTES + 1).cast("int").alias("chunks"))
+    hubs = named.groupBy("a", "b", "rep", "n").agg(F.collect_list("hub").alias("hubs"))
+    chosen = written(hubs)
+    texts = src.join(_few(chosen.select(F.col("rep").alias("id"), "a", "b")), "id").select("text", "a", "b")
+    vectors = written(_sets(texts, shingle, True).join(chosen.drop("b"), "a"))
+    mine = F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")
+    spread = vectors.withColumn("hub", F.explode("hubs")).join(volumes, "hub").withColumn("mine", mine)
+    dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "a", "rep", "n", "vector", "hubs",
+        (F.col("mine") > F.col("other")).cast("int").alias("side"),
+    )
+    needed = written(dealt.groupBy("hub", "i", "j").applyInArrow(_survivors(percent), "hub long, i int, j int, a long, rep long, side int"))
+    left = written(needed.select("a").distinct().join(chosen, "a").select(F.col("rep").alias("id"), "a", "b"))
+    values = written(_sets(src.join(_few(left), "id").select("text", "a", "b"), shingle, False))
+    links = written(needed.join(values, "a").groupBy("hub", "i", "j").applyInArrow(_verify(percent, forest), "u long, v long"))
+    released(edges, chosen, vectors, needed, left, values)
+    return links
+
+
+def _classes(src: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Digests of every row, and the classes of equal sets, as written tables."""
+    each = written(_digest_rows(src, shingle))
+    return each, written(each.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+
+
+def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{doc_id} must be an integer, not {kind.simpleString()}")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets as pairs (u, v) of class representatives, u < v, each once; and the classes: doc_id, rep.
+
+    Documents of one class have equal sets and are linked with each other.  Rows as in ``linked``.
+    """
+    src = _source(docs, doc_id, text)
+    each, classes = _classes(src, shingle)
+    pairs = _class_links(src.where(F.col("id").isNotNull()), classes, shingle, percent, forest=False)
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return pairs, each.join(classes.select("a", "b", "rep"), ["a", "b"]).select(F.col("id").alias("doc_id"), "rep").where(F.col("doc_id").isNotNull())
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id reachable by links of J >= percent / 100).
 
     Shingles are of ``shingle`` words.  Null, empty and blank texts have no shingles and link with nothing.  Rows of the same id are one document of several
-    texts; rows without an id take no part: they are counted, and their component is null.
+    texts; rows without an id take no part: they are counted, and their component is null.  Ids must be integers.  An empty table
+    gives no rows; very long texts are hashed alone; other columns take no part.
     """
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    spark = docs.sparkSession
-    each = written(_digest_rows(src, shingle))
-    volume = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // 2 // BUCKET_BYTES + 1)
-    packed = _packed_keys(src.where(F.col("id").isNotNull()).select("text"), buckets, shingle, percent)
-    edges = packed.groupBy("bucket").applyInArrow(_shared_keys, "u long, v long")
-    star = components(edges.distinct())
-    cluster = star.unionByName(star.select(F.col("v").alias("u"), "v").distinct())
-    classes = written(each.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
-    members = classes.join(cluster.select(F.col("u").alias("a"), F.col("v").alias("cluster")), "a")
-    volumes = members.groupBy("cluster").agg((F.sum("n") * 8 / CHUNK_BYTES + 1).cast("int").alias("chunks"), F.count("*").alias("size"))
-    chosen = written(members.join(volumes.where(F.col("size") > 1), "cluster").select(F.col("rep").alias("id"), "a", "b", "rep", "cluster", "chunks"))
-    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # rows of 44 bytes
-    texts = src.join(F.broadcast(chosen) if few else chosen, "id").select("text", "a", "b", "rep", "cluster", "chunks")
-    sets = written(_sets(texts, shingle).dropDuplicates(["cluster", "rep", "values"]))
-    mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    dealt = sets.withColumn("mine", mine).select(
-        "cluster", "rep", "values", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    ).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "values", (F.col("mine") <= F.col("other")).alias("side"))
-    links = dealt.groupBy("cluster", "i", "j").applyInArrow(_verify(percent), "u long, v long")
-    joined = components(links).select(F.col("u").alias("rep"), F.col("v").alias("least"))
+    src = _source(docs, doc_id, text)
+    each, classes = _classes(src, shingle)
+    found = _class_links(src.where(F.col("id").isNotNull()), classes, shingle, percent, forest=True)
+    joined = components(found).select(F.col("u").alias("rep"), F.col("v").alias("least"))
     named = classes.join(joined, "rep", "left").select("a", "b", F.coalesce("least", "rep").alias("component_id"))
     out = each.join(named, ["a", "b"], "left")
     # of the texts of one id, each has the least component

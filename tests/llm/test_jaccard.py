@@ -1,6 +1,8 @@
 """The Jaccard join against brute force, its candidate keys, its tree, and components."""
 
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -105,3 +107,32 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (103, 100), (7, 7)] + [(500, k) for k in range(501, 700)]
     got = {r.u: r.v for r in graphs.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(2, 41)}, 101: 100, 103: 100, **{k: 500 for k in range(501, 700)}}
+
+
+def test_every_link_between_different_sets(spark):
+    rows = [r for r in planted(families=5) if r[0] is not None]
+    pairs, classes = jaccard.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    rep = {(r.doc_id, r.rep) for r in classes.collect()}
+    by_rep = {}
+    for d, t in rows:
+        s = frozenset(shingles(t))
+        if s:
+            by_rep[s] = min(d, by_rep.get(s, d))
+    assert rep == {(d, by_rep[frozenset(shingles(t))]) for d, t in rows if shingles(t)}
+    sets = list(by_rep.items())
+    want = {tuple(sorted((d, e))) for i, (s, d) in enumerate(sets) for t, e in sets[i + 1 :] if 100 * (b := len(s & t)) >= 90 * (len(s) + len(t) - b)}
+    assert sorted((r.u, r.v) for r in pairs.collect()) == sorted(want) and len(want) > 10
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError):
+        jaccard.linked(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_task_functions_need_no_installed_package(tmp_path):
+    from pyspark import cloudpickle
+
+    functions = [jaccard.keys, jaccard.shingle_sets, jaccard.found_links, jaccard._survivors(80), jaccard._verify(90, True)]
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(functions))
+    code = f"import sys, pickle; pickle.load(open({str(tmp_path / 'f.pkl')!r}, 'rb')); assert 'scriptorium.llm.jaccard' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
