@@ -26,6 +26,8 @@ from scriptorium.llm import bytesets
 
 #: Bound of the sample a language is learnt from: excerpts, and characters of each.
 ROWS, EXCERPT = 256, 256
+#: Parts of a language in which its least hashes are found first.
+SPLITS = 64
 #: Bytes that all automata of a worker may take: with very many languages their samples are cut to fit.
 TABLE_BYTES = 1 << 29
 #: Bytes parsed as one, bytes of text worked on at once, and the bits of evidence that double the odds of a language.
@@ -58,8 +60,10 @@ def samples(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     src = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER)).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"),
     )
-    w = Window.partitionBy("lang").orderBy("h")
-    chosen = src.select("lang", "h").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select("lang", "h")
+    chosen = src.select("lang", "h").distinct()
+    for keys in (["lang", F.pmod("h", F.lit(SPLITS))], ["lang"]):  # first in parts, since a language may hold most rows
+        w = Window.partitionBy(*keys).orderBy("h")
+        chosen = chosen.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select("lang", "h")
     start = F.pmod(F.col("h"), F.greatest(F.char_length("text") - excerpt + 1, F.lit(1))).cast("int") + 1
     taken = src.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.lower(F.substring("text", start, F.lit(excerpt))).alias("t"))
     out: dict[str, list[bytes]] = {}
