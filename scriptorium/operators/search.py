@@ -1,23 +1,38 @@
-"""Exact and approximate nearest neighbours for many queries at once."""
+"""Exact nearest neighbours for many queries at once."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.scale import BROADCAST_ROWS, top_rows
-from scriptorium.session import durable
 
-QUERY_BLOCK = 4096
+#: Rows of a part of the corpus, which one task holds; rows and queries multiplied at once.
+PART_ROWS, ROWS_AT_ONCE, QUERY_TILE = 16_384, 8192, 512
+#: Rows below which the corpus isn't dealt further only to keep all cores busy.
+LEAST_ROWS = 1000
+SLACK = 1e-5
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column as rows."""
+    if not len(column):
+        return np.zeros((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.concatenate(column.to_numpy()).astype(np.float64, copy=False).reshape(len(column), -1)
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def rounded(values: np.ndarray, digits: int) -> np.ndarray:
+    return np.floor(values * 10.0**digits + 0.5) / 10.0**digits
 
 
 def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,123 +45,112 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return sims[order], ids[order]
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+def best_rows(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, floor: float | None, digits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the similarities and ids of its k best rows.
 
-
-SLACK = 1e-5
-QUERY_TILE = 512
-
-
-def _scan(
-    block: pd.DataFrame, k: int, floor: float | None, id_name: str, keys: list[str], digits: int,
-    centres: np.ndarray | None, probe: int,
-):
-    """Task function: keep k running best per query over all batches of the partition.
-
-    One matrix product per batch finds the few pairs near or above each query's current k-th best; only those are
-    scored and rounded, then merged.  With ``centres``, the rows of a cell meet only the queries that probe it.
+    One product per block of rows finds the few pairs near or above each query's k-th best so far; only those are scored
+    and rounded, then merged.
     """
-    q = _matrix(block["vec"])
-    q_sq, q_unit = (q * q).sum(axis=1), _unit(q)
-    cells = None if centres is None else np.argsort(-(q_unit @ centres.T), axis=1, kind="stable")[:, :probe]
-
-    def exact(qi: np.ndarray, v: np.ndarray) -> np.ndarray:
-        scale = np.sqrt(q_sq[qi] * (v * v).sum(axis=1))
-        raw = np.divide((q[qi] * v).sum(axis=1), scale, out=np.zeros(len(qi)), where=scale > 0)
-        return np.floor(raw * 10.0**digits + 0.5) / 10.0**digits
-
-    def merge(qi: np.ndarray, own: np.ndarray, sims: np.ndarray, kept: list, bound: np.ndarray) -> None:
+    q_unit, v_unit = unit(q), unit(v)
+    q_sq, v_sq = (q * q).sum(axis=1), (v * v).sum(axis=1)
+    kept = [(np.zeros(0), ids[:0])] * len(q)
+    bound = np.full(len(q), -np.inf if floor is None else floor)
+    for low in range(0, len(v), ROWS_AT_ONCE):
+        near = q_unit @ v_unit[low : low + ROWS_AT_ONCE].T
+        least = bound
+        if near.shape[1] > k:
+            least = np.maximum(bound, np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k])
+        qi, vi = np.nonzero(near >= (least - SLACK)[:, None])
+        vi += low
+        scale = np.sqrt(q_sq[qi] * v_sq[vi])
+        raw = np.divide((q[qi] * v[vi]).sum(axis=1), scale, out=np.zeros(len(qi)), where=scale > 0)
+        sims = rounded(raw, digits)
         found, starts = np.unique(qi, return_index=True)
-        for i, rows, names in zip(found, np.split(sims, starts[1:]), np.split(own, starts[1:])):
+        for i, own, names in zip(found.tolist(), np.split(sims, starts[1:]), np.split(ids[vi], starts[1:])):
             if floor is not None:
-                rows, names = rows[rows >= floor], names[rows >= floor]
-            if kept[i] is not None:
-                rows, names = np.concatenate([kept[i][0], rows]), np.concatenate([kept[i][1], names])
-            if not len(rows):
-                continue
-            kept[i] = _best(rows, names, k)
+                own, names = own[own >= floor], names[own >= floor]
+            kept[i] = _best(np.concatenate([kept[i][0], own]), np.concatenate([kept[i][1], names]), k)
             if len(kept[i][0]) >= k:
-                bound[i] = kept[i][0][-1]
-
-    def offer(asking: np.ndarray, v: np.ndarray, v_unit: np.ndarray, ids: np.ndarray, kept: list, bound: np.ndarray) -> None:
-        for low in range(0, len(asking), QUERY_TILE):
-            tile = asking[low : low + QUERY_TILE]
-            near = q_unit[tile] @ v_unit.T
-            least = bound[tile]
-            if len(ids) > k and any(kept[i] is None for i in tile):
-                least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
-            qi, vi = np.nonzero(near >= (least - SLACK)[:, None])
-            if len(qi):
-                merge(tile[qi], ids[vi], exact(tile[qi], v[vi]), kept, bound)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple | None] = [None] * len(q)
-        bound = np.full(len(q), -np.inf if floor is None else floor)
+                bound[i] = max(bound[i], kept[i][0][-1])
+    return kept
+
+
+def _search_parts(keys: list[str], id_name: str, k: int, floor: float | None, digits: int, schema: pa.Schema):
+    """Task function over rows in order of part and kind: a part's corpus rows first, then its queries, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, v, ids = None, [], None, None
         for batch in batches:
-            if batch.empty:
-                continue
-            v = _matrix(batch["vec"])
-            ids = batch[id_name].to_numpy()
-            v_unit = _unit(v)
-            if cells is None:
-                offer(np.arange(len(q)), v, v_unit, ids, kept, bound)
-                continue
-            home = np.argmax(v_unit @ centres.T, axis=1)
-            for c in np.unique(home):
-                mine = home == c
-                offer(np.flatnonzero((cells == c).any(axis=1)), v[mine], v_unit[mine], ids[mine], kept, bound)
-        for i, best in enumerate(kept):
-            if best is None:
-                continue
-            out = {name: [block[name].iloc[i]] * len(best[0]) for name in keys}
-            yield pd.DataFrame({**out, id_name: best[1], "similarity": best[0]})
+            parts, asked = batch.column("_part").to_numpy(), batch.column("_asked").to_numpy(zero_copy_only=False)
+            new = np.flatnonzero((np.diff(parts) != 0) | (np.diff(asked) != 0)) + 1
+            for first, end in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                rows = batch.slice(first, end - first)
+                if not len(rows):
+                    continue
+                if parts[first] != part:
+                    part, held, v = parts[first], [], None
+                if not asked[first]:
+                    held.append(rows)
+                    continue
+                if held:
+                    v = np.concatenate([matrix(h.column("_row")) for h in held])
+                    ids = np.concatenate([h.column(id_name).to_numpy(zero_copy_only=False) for h in held])
+                    held = []
+                for low in range(0, len(rows) if v is not None else 0, QUERY_TILE):
+                    tile = rows.slice(low, QUERY_TILE)
+                    best = best_rows(matrix(tile.column("_query")), v, ids, k, floor, digits)
+                    of = pa.array(np.repeat(np.arange(len(best)), [len(s) for s, _ in best]))
+                    names = pa.array(np.concatenate([i for _, i in best]), type=schema.field(id_name).type)
+                    sims = pa.array(np.concatenate([s for s, _ in best]), pa.float64())
+                    yield pa.RecordBatch.from_arrays([*(tile.column(n).take(of) for n in keys), names, sims], schema=schema)
 
     return run
 
 
+def search_parts(
+    queries: DataFrame, corpus: DataFrame, parts: int, k: int, keys: Sequence[str], id_name: str,
+    min_similarity: float | None = None, digits: int = 6,
+) -> DataFrame:
+    """Hits of every query among the corpus rows of the parts it is sent to.
+
+    ``queries(keys, vec, _part)`` and ``corpus(id, vec, _part)`` meet by part: a task holds the rows of one part and a batch
+    of queries, and keeps k hits per query, however many queries there are.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    keys = list(keys)
+    nothing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in [*(queries.schema[n] for n in keys), corpus.schema[id_name]]}
+    doubles, no_vector = "array<double>", F.lit(None).cast("array<double>")
+    known, asked = F.col("vec").isNotNull() & (F.size("vec") > 0), F.lit(True).alias("_asked")
+    rows = corpus.where(known).select(
+        F.col("_part").cast("int").alias("_part"), F.lit(False).alias("_asked"), *[nothing[n] for n in keys], id_name,
+        F.col("vec").cast(doubles).alias("_row"), no_vector.alias("_query"),
+    )
+    questions = queries.where(known).select(
+        F.col("_part").cast("int").alias("_part"), asked, *keys, nothing[id_name], no_vector.alias("_row"), F.col("vec").cast(doubles).alias("_query"),
+    )
+    dealt = rows.unionByName(questions).repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", "_asked")
+    out = queries.select(*keys).schema.add(corpus.schema[id_name]).add("similarity", "double")
+    for f in out.fields:
+        f.nullable = True
+    return dealt.mapInArrow(_search_parts(keys, id_name, k, min_similarity, digits, to_arrow_schema(out)), out)
+
+
 def nearest(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    keys: list[str],
-    id_name: str,
-    min_similarity: float | None = None,
-    digits: int = 6,
-    block: int = QUERY_BLOCK,
-    centres: np.ndarray | None = None,
-    probe: int = 0,
+    queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str], id_name: str, min_similarity: float | None = None,
+    digits: int = 6, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Exact top ``k`` rows of ``corpus(id, vec)`` for each row of ``queries(keys, vec)``.
 
-    The query vectors travel to the corpus in blocks of at most ``block``: each task multiplies its batches with
-    the block and keeps k rows per query, so no pair is ever written out and the shuffle carries k rows per query
-    and task.  More queries than one block mean more passes over the corpus, never a larger block.  The
-    similarity floor is tested before ranking.
+    The corpus is dealt by id into parts of about ``part_rows`` rows, and every query goes to every part: no pair is written
+    out, and a part gives k rows per query.  The similarity floor is tested before ranking.  Rows without a vector are
+    neither hits nor queries; a zero vector is at similarity 0 to all.
     """
-    wanted, vectors = queries.select(*keys, "vec"), corpus.select(id_name, "vec")
-    first = wanted.limit(block + 1).toPandas()
-    if len(first) <= block:
-        blocks = iter([first])
-    else:
-        # Several passes: compute the vectors once and read them back from the shared folder.
-        wanted, vectors = durable(wanted), durable(vectors)
-        count = math.ceil(wanted.count() / block * 1.25)
-        spread = F.pmod(F.xxhash64(*keys), F.lit(count))
-        blocks = (wanted.where(spread == i).toPandas() for i in range(count))
-    key_fields = ", ".join(f"`{n}` {wanted.schema[n].dataType.simpleString()}" for n in keys)
-    id_type = corpus.schema[id_name].dataType.simpleString()
-    schema = f"{key_fields}, `{id_name}` {id_type}, similarity double"
-    hits = None
-    for rows in blocks:
-        if rows.empty:
-            continue
-        scan = _scan(rows, k, min_similarity, id_name, keys, digits, centres, probe)
-        part = vectors.mapInPandas(scan, schema)
-        hits = part if hits is None else hits.unionAll(part)
-    if hits is None:
-        hits = corpus.sparkSession.createDataFrame([], schema)
+    n = corpus.count()
+    parts = max(n // part_rows + 1, min(corpus.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS + 1))
+    rows = corpus.select(id_name, "vec", F.pmod(F.xxhash64(id_name), F.lit(parts)).alias("_part"))
+    asked = queries.select(*keys, "vec", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    hits = search_parts(asked, rows, parts, k, keys, id_name, min_similarity, digits)
     return top_rows(hits, keys, [-F.col("similarity"), F.col(id_name)], k)
 
 
@@ -156,25 +160,6 @@ def attach(hits: DataFrame, corpus: DataFrame, id_name: str, bound: int) -> Data
     return corpus.join(side, id_name)
 
 
-def cell_centres(corpus: DataFrame, id_name: str, cells: int) -> np.ndarray:
-    """Unit vectors of ``cells`` rows chosen by hash of their id; the only rows that reach the driver."""
-    chosen = corpus.select("vec", F.xxhash64(id_name).alias("_h"), id_name).orderBy("_h", id_name).limit(cells)
-    return _unit(_matrix(chosen.toPandas()["vec"]))
-
-
-def approximate(
-    queries: DataFrame, corpus: DataFrame, k: int, keys: list[str], id_name: str, cells: int = 16, probe: int = 12,
-    **options,
-) -> DataFrame:
-    """Top ``k`` among the rows whose nearest cell is one of the ``probe`` cells nearest to the query.
-
-    Scored exactly; rows of other cells are not multiplied with the query.  A full cell costs scan time only, since a task
-    never holds more than a batch.
-    """
-    centres = cell_centres(corpus, id_name, cells)
-    return nearest(queries, corpus, k, keys, id_name, centres=centres, probe=probe, **options)
-
-
 def similarity_filter(hits: DataFrame, threshold: float) -> DataFrame:
     """Keep hits at or above a similarity."""
     return hits.where(F.col("similarity") >= threshold)

@@ -7,6 +7,8 @@ from scriptorium.operators import fusion, search
 from scriptorium.plans import tables as t
 from scriptorium.plans.registry import query
 from scriptorium.scale import top_rows
+from scriptorium.session import new_folder
+from scriptorium.sources import cells
 
 SECTION_WEIGHTS = {"abstract": 1.4, "definition": 1.5, "equation": 1.2, "regular": 1.0}
 SOURCE_WEIGHTS = {"src1": 1.3, "src2": 1.1}
@@ -51,11 +53,38 @@ def vector_search_threshold(spark, sf_dir):
     return found.withColumn("distance", F.round(1 - F.col("similarity"), 6))
 
 
-@query("vector_approximate")
+def sql_cells(rounds: int = cells.ROUNDS, count: int = cells.CELLS) -> str:
+    """Common table expressions that end in ``cells``: number and centre of each, after rounds of spherical k-means."""
+    def placed(source: str, centres: str) -> str:
+        near = f"round({t.sql_cosine('v', 'c')}, 9)"
+        return f"""(SELECT vec_id, v, cell FROM {source}, {centres}
+          QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY {near} DESC, cell) = 1)"""
+
+    out = f"""
+units AS (SELECT vec_id, e, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v
+          FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+cells0 AS (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS cell, e AS c FROM units QUALIFY cell < {count})"""
+    for r in range(rounds):
+        out += f""",
+means{r} AS (SELECT cell, list(m ORDER BY i) AS c FROM (
+  SELECT cell, i, round(avg(v[i]), 9) AS m FROM {placed('units', f'cells{r}')}, range(1, 65) AS d(i) GROUP BY ALL) GROUP BY cell),
+cells{r + 1} AS (SELECT o.cell, coalesce(n.c, o.c) AS c FROM cells{r} o LEFT JOIN means{r} n ON n.cell = o.cell)"""
+    return out + f""",
+placed AS {placed('units', f'cells{rounds}')},
+cells AS (SELECT * FROM cells{rounds})"""
+
+
+@query("vector_approximate", "WITH" + t.VECTOR_QUERIES + "," + sql_cells() + f""",
+probed AS (SELECT query_id, variant_no, qvec, cell FROM vector_queries, cells
+  QUALIFY row_number() OVER (PARTITION BY query_id, variant_no ORDER BY round({t.sql_cosine('qvec', 'c')}, 9) DESC, cell) <= {cells.PROBE}),
+near AS (SELECT query_id, variant_no, vec_id, round({t.sql_cosine('qvec', 'e')}, 6) AS similarity
+  FROM probed JOIN placed USING (cell) JOIN units USING (vec_id))
+SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY similarity DESC, vec_id) AS rank FROM near QUALIFY rank <= {t.TOP_K}""")
 def vector_approximate(spark, sf_dir):
-    return search.approximate(
-        t.vector_queries(spark, sf_dir), t.vector_corpus(spark, sf_dir), t.TOP_K, ["query_id", "variant_no"], "vec_id"
-    )
+    corpus, path = t.vector_corpus(spark, sf_dir), new_folder(spark)
+    centres = cells.train(corpus, "vec_id")
+    cells.write_index(corpus, "vec_id", centres, path)
+    return cells.search_index(spark, path, t.vector_queries(spark, sf_dir), centres, t.TOP_K, ["query_id", "variant_no"], "vec_id")
 
 
 @query("fusion_reciprocal_rank", "WITH" + t.VECTOR_HITS + """,

@@ -87,12 +87,14 @@ def brute(q, v, k):
     return {(i, j) for i, row in enumerate(sims) for j in sorted(range(len(row)), key=lambda j: (-row[j], j))[:k]}
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_nearest_equals_brute_force(spark, block):
+@pytest.mark.parametrize("part_rows", [16_384, 37])
+def test_nearest_equals_brute_force(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(search, "ROWS_AT_ONCE", 100)
+    monkeypatch.setattr(search, "QUERY_TILE", 7)
     v, corpus = vectors(spark, 600, 1)
     q, asked = vectors(spark, 30, 2)
     asked = asked.withColumnRenamed("id", "q")
-    found = search.nearest(asked, corpus.repartition(5), 8, ["q"], "id", block=block)
+    found = search.nearest(asked, corpus.repartition(5), 8, ["q"], "id", part_rows=part_rows)
     assert {(r.q, r.id) for r in found.collect()} == brute(q, v, 8)
 
 
@@ -104,19 +106,44 @@ def test_nearest_with_floor_and_no_hits(spark):
     assert search.nearest(asked.limit(0).withColumnRenamed("id", "q"), corpus, 5, ["q"], "id").count() == 0
 
 
-def test_approximate_recall(spark):
-    from conftest import SF_DIR
+def test_rows_without_a_vector_and_zero_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, []), (5, [1.0, 0.0]), (5, [1.0, 0.0])]
+    corpus = spark.createDataFrame(rows, "id long, vec array<double>")
+    asked = spark.createDataFrame([("a", [2.0, 0.0]), ("b", None), (None, [0.0, 0.0])], "q string, vec array<double>")
+    found = sorted(((r.q, r.id, r.similarity) for r in search.nearest(asked, corpus, 9, ["q"], "id").collect()), key=repr)
+    assert found == sorted([("a", 1, 1.0), ("a", 5, 1.0), ("a", 5, 1.0), ("a", 3, 0.0), *[(None, i, 0.0) for i in (1, 3, 5, 5)]], key=repr)
 
+
+def test_approximate_recall(spark):
     from scriptorium.plans import tables as t
+    from scriptorium.plans.catalogue import QUERIES
 
-    exact = {(r.query_id, r.variant_no, r.vec_id) for r in t.vector_hits(spark, SF_DIR).collect()}
-    near = search.approximate(
-        t.vector_queries(spark, SF_DIR), t.vector_corpus(spark, SF_DIR), t.TOP_K, ["query_id", "variant_no"], "vec_id",
-    )
-    found = {(r.query_id, r.variant_no, r.vec_id) for r in near.collect()}
+    large = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.variant_no, r.vec_id) for r in t.vector_hits(spark, large).collect()}
+    found = {(r.query_id, r.variant_no, r.vec_id) for r in QUERIES["vector_approximate"](spark, large).collect()}
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_clustered_vectors_need_few_cells(spark, tmp_path):
+    from scriptorium.sources import cells
+
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(12, 16))
+    v = middles[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 16)) * 0.15
+    corpus = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    asked = corpus.where("id % 50 = 0").withColumnRenamed("id", "q")
+    path = str(tmp_path / "index")
+    centres = cells.train(corpus, "id")
+    cells.write_index(corpus, "id", centres, path)
+    exact = {(r.q, r.id) for r in search.nearest(asked, corpus, 10, ["q"], "id").collect()}
+    near = cells.search_index(spark, path, asked, centres, 10, ["q"], "id", probe=4, part_rows=100)
+    assert len(exact & {(r.q, r.id) for r in near.collect()}) / len(exact) >= 0.9
+    one = cells.search_index(spark, path, asked.limit(1), centres, 10, ["q"], "id", probe=4)
+    text = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in text.replace("isnotnull(cell#", "cell#") or "cell#" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert spark.read.parquet(path).count() == 3000
+
+
 @pytest.fixture(scope="module")
 def candidates(spark):
     return spark.range(900).select(
