@@ -24,15 +24,19 @@ def _string_map(table: Mapping[str, Sequence[str]]) -> Column:
     return F.create_map(*entries)
 
 
+def _first(values: Column, n: int | None) -> Column:
+    return values if n is None else F.slice(values, 1, n)
+
+
 def key_terms(
     query: Column, stop_words: Sequence[str] = lex.KEY_TERM_STOP_WORDS,
-    synonyms: Mapping[str, Sequence[str]] = lex.EXPANSION_SYNONYMS, fallback: int = 3,
+    synonyms: Mapping[str, Sequence[str]] = lex.EXPANSION_SYNONYMS, fallback: int | None = None,
 ) -> Column:
-    """Known terms of the query, or its first words, without stop words and two-letter words."""
+    """Known terms of the query, or its words (the first ``fallback`` if given), without stop words and two-letter words."""
     known = set(synonyms) | {s for group in synonyms.values() for s in group}
     found = F.filter(tokens(query), lambda w: ~w.isin(*stop_words) & (F.length(w) > 2))
     technical = F.filter(found, lambda w: w.isin(*sorted(known)))
-    return F.when(F.size(technical) > 0, technical).otherwise(F.slice(found, 1, fallback))
+    return F.when(F.size(technical) > 0, technical).otherwise(_first(found, fallback))
 
 
 def expand(
@@ -42,24 +46,33 @@ def expand(
     synonyms: Mapping[str, Sequence[str]] = lex.EXPANSION_SYNONYMS,
     stop_words: Sequence[str] = lex.KEY_TERM_STOP_WORDS,
     domains: Sequence[str] = lex.CONTEXT_DOMAINS,
-    limit: int = 8,
+    limit: int | None = None,
+    fallback: int | None = None,
+    forms_per_type: int | None = None,
+    options_per_term: int | None = None,
+    swaps: int | None = None,
+    contexts: int | None = None,
 ) -> DataFrame:
-    """Variants of ``queries(query_id, text)``: the text, templates per term, synonyms, context; at most ``limit``."""
+    """Variants of ``queries(query_id, text)``: the text, templates per term, synonyms, context.
+
+    All of them, or the first ``limit``; the other numbers bound the terms of a text without known ones, the templates of a
+    type, the synonyms of a term, the variants by synonyms and those by context.
+    """
     low = strip(F.lower("text"))
     kind = classify(low, rules, "technical")
     chosen = F.lit(None)
     for name, forms in templates.items():
-        chosen = F.when(kind == name, F.array(*map(F.lit, forms[:2]))).otherwise(chosen)
-    terms = key_terms(F.col("text"), stop_words, synonyms)
+        chosen = F.when(kind == name, F.array(*map(F.lit, forms[:forms_per_type]))).otherwise(chosen)
+    terms = key_terms(F.col("text"), stop_words, synonyms, fallback)
     from_templates = F.flatten(F.transform(F.col("_terms"), lambda term: F.transform(
         F.col("_forms"), lambda form: F.replace(form, F.lit("{term}"), term)
     )))
     table = _string_map(synonyms)
     swapped = F.flatten(F.transform(F.col("_terms"), lambda term: F.transform(
-        F.coalesce(F.slice(F.try_element_at(table, term), 1, 2), F.array().cast("array<string>")),
+        F.coalesce(_first(F.try_element_at(table, term), options_per_term), F.array().cast("array<string>")),
         lambda s: F.replace(F.col("_low"), term, s),
     )))
-    from_synonyms = F.slice(F.filter(swapped, lambda v: v != F.col("_low")), 1, 3)
+    from_synonyms = _first(F.filter(swapped, lambda v: v != F.col("_low")), swaps)
     context = F.concat(
         F.when(contains_any(F.col("_low"), domains), F.array().cast("array<string>"))
         .otherwise(F.array(*[F.concat(F.col("_low"), F.lit(s)) for s in lex.CONTEXT_SUFFIXES])),
@@ -71,8 +84,8 @@ def expand(
         "_low": low, "_terms": terms, "_forms": F.coalesce(chosen, F.array().cast("array<string>")),
     })
     return prepared.withColumn("_all", F.concat(
-        F.array(strip(F.col("text"))), from_templates, from_synonyms, F.slice(context, 1, 2)
-    )).select("query_id", F.posexplode(F.slice(_distinct_ignoring_case(F.col("_all")), 1, limit)).alias(
+        F.array(strip(F.col("text"))), from_templates, from_synonyms, _first(context, contexts)
+    )).select("query_id", F.posexplode(_first(_distinct_ignoring_case(F.col("_all")), limit)).alias(
         "variant_no", "query_text"
     ))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import context, fusion, rerank
+from scriptorium.operators import context, rerank
 from scriptorium.plans import sqltext as q
 from scriptorium.plans import tables as t
 from scriptorium.plans.questions import ASKED, asked_hits
@@ -10,7 +10,7 @@ from scriptorium.plans.registry import query
 from scriptorium.plans.retrieval import TERMS
 
 OVERLAP = (
-    f"len(list_intersect(list_distinct({t.sql_tokens('query_text')}), {t.sql_tokens('substr(content, 1, 512)')}))"
+    f"len(list_intersect(list_distinct({t.sql_tokens('query_text')}), {t.sql_tokens('content')}))"
     f" / len(list_distinct({t.sql_tokens('query_text')}))"
 )
 
@@ -25,7 +25,7 @@ reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY simi
 @query("rerank_pairs", "WITH" + t.HITS + ", " + ASKED + "," + rerank_sql("asked_hits", "query_id") + """
 SELECT query_id, chunk_id, original_similarity, pair_score, similarity, new_rank FROM reranked WHERE new_rank <= 5""")
 def rerank_pairs(spark, sf_dir):
-    ranked = rerank.rerank(asked_hits(spark, sf_dir), ["query_id"], 5, content_length=512)
+    ranked = rerank.rerank(asked_hits(spark, sf_dir), ["query_id"], 5)
     return ranked.select("query_id", "chunk_id", "original_similarity", "pair_score", "similarity", "new_rank")
 
 
@@ -39,7 +39,7 @@ VARIANT_HITS = "variant_hits AS (SELECT hits.*, query_text FROM hits JOIN query_
 @query("rerank_batch", "WITH" + t.HITS + ", " + VARIANT_HITS + "," + rerank_sql("variant_hits", "query_id, variant_no") + """
 SELECT query_id, variant_no, chunk_id, similarity, new_rank FROM reranked WHERE new_rank <= 5""")
 def rerank_batch(spark, sf_dir):
-    ranked = rerank.rerank(variant_hits(spark, sf_dir), ["query_id", "variant_no"], 5, content_length=512)
+    ranked = rerank.rerank(variant_hits(spark, sf_dir), ["query_id", "variant_no"], 5)
     return ranked.select("query_id", "variant_no", "chunk_id", "similarity", "new_rank")
 
 
@@ -77,38 +77,10 @@ boosted AS (SELECT * EXCLUDE (similarity, f), round(CASE WHEN f > 1 THEN least(1
        + rerank_sql("boosted", "query_id") + "," + diverse_sql("reranked", "new_rank", 0.8) + """
 SELECT a.query_id, a.chunk_id, a.similarity, a.new_rank FROM reranked a JOIN walk ON walk.query_id = a.query_id AND walk.r = a.new_rank WHERE kept""")
 def rerank_multi_stage(spark, sf_dir):
-    kept = rerank.multi_stage(asked_hits(spark, sf_dir), ["query_id"], TERMS[:5], TERMS[5:], content_length=512)
+    kept = rerank.multi_stage(asked_hits(spark, sf_dir), ["query_id"], TERMS[:5], TERMS[5:])
     return kept.select("query_id", "chunk_id", "similarity", "new_rank")
 
 
-FULL = """
-keyed AS (SELECT *, substr(md5(concat(substr(content, 1, 100), source, CAST(page AS VARCHAR))), 1, 12) AS doc_key FROM hits),
-fused AS (SELECT query_id, doc_key, round(sum(1.0 / (60 + rank)), 8) AS fusion_score FROM keyed GROUP BY ALL),
-candidates AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, doc_key) AS rank FROM fused QUALIFY rank <= 10),
-one AS (SELECT query_id, doc_key, arg_min(content, (variant_no, rank, chunk_id)) AS content, max(similarity) AS similarity FROM keyed GROUP BY ALL),
-searched AS (SELECT c.query_id, c.doc_key, CAST(c.rank AS INT) AS rank, fusion_score, content, similarity, text AS query_text
-             FROM candidates c JOIN one USING (query_id, doc_key) JOIN benchmark ON item_id = c.query_id)"""
-
-
-@query("full_search", "WITH" + t.HITS + "," + FULL + "," + rerank_sql("searched", "query_id") + """
-SELECT query_id, doc_key, fusion_score, similarity, new_rank FROM reranked WHERE new_rank <= 5""")
-def full_search(spark, sf_dir):
-    """Fuse all variants to 2k candidates, re-rank against the original query, keep k = 5."""
-    hits = t.hits(spark, sf_dir).withColumn(
-        "doc_key", fusion.fusion_key(F.col("content"), F.col("source"), F.col("page"), prefix=100)
-    )
-    candidates = fusion.reciprocal_rank(hits, "doc_key", limit=10).select(
-        "query_id", "doc_key", "fusion_score", F.col("fused_rank").alias("rank")
-    )
-    one = hits.groupBy("query_id", "doc_key").agg(
-        F.min_by("content", F.struct("variant_no", "rank", "chunk_id")).alias("content"),
-        F.max("similarity").alias("similarity"),
-    )
-    asked = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    searched = candidates.join(one, ["query_id", "doc_key"]).join(asked, "query_id")
-    return rerank.rerank(searched, ["query_id"], 5, content_length=512).select("query_id", "doc_key", "fusion_score", "similarity", "new_rank")
-
-
 COMBINED = ASKED + """,
 combined AS (
   SELECT query_id, min(query_text) AS query_text,

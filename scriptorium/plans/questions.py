@@ -45,7 +45,7 @@ terms AS (
 
 @query("query_key_terms", "WITH" + KEY_TERMS + "SELECT query_id, array_to_string(terms, ',') AS terms FROM terms")
 def query_key_terms(spark, sf_dir):
-    found = expansion.key_terms(F.col("text"), STOP, SYNONYMS)
+    found = expansion.key_terms(F.col("text"), STOP, SYNONYMS, 3)
     return texts(spark, sf_dir).select("query_id", F.concat_ws(",", found).alias("terms"))
 
 
@@ -53,26 +53,43 @@ def map_sql(table) -> str:
     return "MAP {" + ", ".join(f"{q.quote(k)}: {q.string_list(v)}" for k, v in table.items()) + "}"
 
 
-FORMS = "CASE kind" + "".join(
-    f" WHEN '{k}' THEN {q.string_list(v[:2])}" for k, v in lex.EXPANSION_TEMPLATES.items()
-) + " END"
+#: The published bounds of the expansion: terms, templates of a type, synonyms of a term, variants by synonyms, by context.
+BOUNDS = {"fallback": 3, "forms_per_type": 2, "options_per_term": 2, "swaps": 3, "contexts": 2}
+VOCABULARY = {"rules": RULES, "synonyms": SYNONYMS, "stop_words": STOP, "domains": DOMAINS}
 
 
-@query("query_expansion", "WITH" + KEY_TERMS + f""",
+def sql_expansion(limit: int | None, bounds: dict[str, int | None]) -> str:
+    """Common table expressions that end in ``query_texts``: query_id, variant_no, query_text of every variant."""
+    def cut(n: int | None) -> str:
+        return f"[1:{n}]" if n else ""
+
+    forms = "CASE kind" + "".join(
+        f" WHEN '{k}' THEN {q.string_list(v[:bounds['forms_per_type']])}" for k, v in lex.EXPANSION_TEMPLATES.items()
+    ) + " END"
+    return KEY_TERMS.replace("f[1:3]", "f" + cut(bounds["fallback"])) + f""",
 kinds AS (SELECT *, {q.rule_case('low', RULES, q.quote('technical'))} AS kind FROM terms),
 alls AS (
   SELECT query_id, list_concat(list_concat([{t.sql_strip('text')}],
-    flatten(list_transform(terms, lambda x: list_transform({FORMS}, lambda y: replace(y, '{{term}}', x))))),
-    list_concat(list_filter(flatten(list_transform(terms, lambda x: list_transform(coalesce({map_sql(SYNONYMS)}[x], [])[1:2], lambda s: replace(low, x, s)))), lambda v: v <> low)[1:3],
-    list_concat(CASE WHEN {q.any_contained('low', DOMAINS)} THEN [] ELSE [low || ' petróleo', low || ' engenharia reservatórios'] END,
-      CASE WHEN {q.any_contained('low', lex.SIMULATION_WORDS)} THEN [low || ' simulador'] ELSE [] END)[1:2])) AS v FROM kinds),
+    flatten(list_transform(terms, lambda x: list_transform({forms}, lambda y: replace(y, '{{term}}', x))))),
+    list_concat((list_filter(flatten(list_transform(terms, lambda x: list_transform(coalesce({map_sql(SYNONYMS)}[x], []){cut(bounds['options_per_term'])}, lambda s: replace(low, x, s)))), lambda v: v <> low)){cut(bounds['swaps'])},
+    (list_concat(CASE WHEN {q.any_contained('low', DOMAINS)} THEN [] ELSE [low || ' petróleo', low || ' engenharia reservatórios'] END,
+      CASE WHEN {q.any_contained('low', lex.SIMULATION_WORDS)} THEN [low || ' simulador'] ELSE [] END)){cut(bounds['contexts'])})) AS v FROM kinds),
 firsts AS (
-  SELECT query_id, list_filter(list_zip(v, range(len(v))), lambda x: list_position(list_transform(v, lambda y: trim(lower(y))), trim(lower(x[1]))) = x[2] + 1)[1:8] AS f FROM alls)
-SELECT query_id, CAST(unnest(range(len(f))) AS INT) AS variant_no, unnest(list_transform(f, lambda x: x[1])) AS query_text FROM firsts""")
+  SELECT query_id, (list_filter(list_zip(v, range(len(v))), lambda x: list_position(list_transform(v, lambda y: trim(lower(y))), trim(lower(x[1]))) = x[2] + 1)){cut(limit)} AS f FROM alls),
+query_texts AS (SELECT query_id, CAST(unnest(range(len(f))) AS INT) AS variant_no, unnest(list_transform(f, lambda x: x[1])) AS query_text FROM firsts)"""
+
+
+@query("query_expansion", "WITH" + sql_expansion(8, BOUNDS) + """
+SELECT query_id, variant_no, query_text FROM query_texts""")
 def query_expansion(spark, sf_dir):
-    return expansion.expand(
-        texts(spark, sf_dir), RULES, synonyms=SYNONYMS, stop_words=STOP, domains=DOMAINS
-    )
+    return expansion.expand(texts(spark, sf_dir), limit=8, **BOUNDS, **VOCABULARY)
+
+
+@query("query_expansion_unbounded", "WITH" + sql_expansion(None, dict.fromkeys(BOUNDS)) + """
+SELECT query_id, variant_no, query_text FROM query_texts""")
+def query_expansion_unbounded(spark, sf_dir):
+    """All variants, with every word of a text that holds no known term."""
+    return expansion.expand(texts(spark, sf_dir), **VOCABULARY)
 
 
 WORDS = ("the", "que", "in", "an", "de")

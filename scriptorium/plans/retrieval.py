@@ -120,7 +120,7 @@ def fusion_weighted(spark, sf_dir):
 FUSED = """
 fused AS (
   SELECT query_id, doc_key, round(sum(1.0 / (60 + rank)), 8) AS fusion_score, count(*) AS match_count
-  FROM (SELECT *, substr(md5(concat(substr(content, 1, 100), source, CAST(page AS VARCHAR))), 1, 12) AS doc_key FROM hits)
+  FROM (SELECT *, substr(md5(concat(content, source, CAST(page AS VARCHAR))), 1, 12) AS doc_key FROM hits)
   GROUP BY ALL),
 fused_top AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, doc_key) AS fused_rank
@@ -129,7 +129,7 @@ fused_top AS (
 
 def keyed_hits(spark, sf_dir):
     hits = t.hits(spark, sf_dir)
-    return hits.withColumn("doc_key", fusion.fusion_key(F.col("content"), F.col("source"), F.col("page"), prefix=100))
+    return hits.withColumn("doc_key", fusion.fusion_key(F.col("content"), F.col("source"), F.col("page")))
 
 
 @query("fusion_quality", "WITH" + t.HITS + "," + FUSED + """
@@ -144,19 +144,12 @@ def fusion_quality(spark, sf_dir):
 
 
 @query("fusion_document_key", "WITH" + t.HITS + """
-SELECT query_id, variant_no, rank, substr(md5(concat(substr(content, 1, 100), source, CAST(page AS VARCHAR))), 1, 12) AS doc_key
+SELECT query_id, variant_no, rank, substr(md5(concat(content, source, CAST(page AS VARCHAR))), 1, 12) AS doc_key
 FROM hits""")
 def fusion_document_key(spark, sf_dir):
     return keyed_hits(spark, sf_dir).select("query_id", "variant_no", "rank", "doc_key")
 
 
-@query("fused_text_search", "WITH" + t.HITS + "," + FUSED + """
-SELECT query_id, doc_key, fusion_score, match_count, CAST(fused_rank AS INT) AS fused_rank FROM fused_top""")
-def fused_text_search(spark, sf_dir):
-    fused = fusion.reciprocal_rank(keyed_hits(spark, sf_dir), "doc_key")
-    return fused.select("query_id", "doc_key", "fusion_score", "match_count", "fused_rank")
-
-
 MERGED = """
 merged AS (
   SELECT query_id, source, page, max(similarity) AS similarity,
