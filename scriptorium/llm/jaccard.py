@@ -5,7 +5,7 @@ of the smaller for 90), so if the hash range is cut into one part more than that
 each part's content is a key.  The least set of a key is the hub of all sets that have it, so two candidates always share a
 hub.  In each hub an R-tree of count vectors finds the pairs that may be linked: shingles are hashed into GROUPS
 groups, the counts are points, and the sum of coordinate minima with a node's upper corner bounds the overlap with
-everything below it.  A pair with several hubs is left to the least of them.  Only sets that survive in a hub are sent there
+everything below it; what it finds is bounded again by finer groups, as many as suit the sets' size.  A pair with several hubs is left to the least of them.  Only sets that survive in a hub are sent there
 whole, and intersected exactly.  Equal sets are one class throughout; a large hub is cut into chunks and tested chunk against
 chunk.
 """
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import BinaryType, IntegralType, StructField, StructType
 
 from scriptorium.llm import bytesets
 from scriptorium.llm.common import released, written
@@ -28,6 +28,8 @@ from scriptorium.llm.graphs import components
 SHINGLE, PERCENT = 3, 90
 #: Counts per vector, points per R-tree leaf, leaves per inner node.
 GROUPS, LEAF, FAN = 64, 8, 16
+#: Greatest number of groups of a set's fine vector.
+FINE = 1 << 15
 #: Bytes of sets verified together, bytes of keys gathered in a bucket, and ids up to which a set of them is broadcast.
 CHUNK_BYTES, BUCKET_BYTES, BROADCAST_ROWS = 16_000_000, 16_000_000, 500_000
 
@@ -207,9 +209,34 @@ class CountTree:
         return self.order[at[may]]
 
 
-def vector(values: np.ndarray) -> np.ndarray:
-    """Shingles per group of a set."""
-    return np.bincount((values >> U(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
+def vector(values: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Shingles per group of a set; groups are a power of two, and neighbours add up to the groups of half as many."""
+    return np.bincount((values >> U(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def fine_groups(size: int) -> int:
+    """Groups of a set's own vector: two to four shingles in each, so that the bound tells large sets apart as well as small ones."""
+    return min(FINE, max(GROUPS, 1 << max(0, size // 2).bit_length() - 1)) if size > 1 else GROUPS
+
+
+class FineBounds:
+    """Bounds of overlaps by the finest vectors that two sets have in common."""
+
+    def __init__(self, vectors: list[np.ndarray], sizes: np.ndarray, percent: int):
+        self.groups, self.sizes, self.percent = np.array([len(v) for v in vectors]), sizes, percent
+        self.levels = {}
+        for g in np.unique(self.groups).tolist():
+            row = np.cumsum(self.groups >= g) - 1
+            self.levels[g] = row, np.stack([v.reshape(g, -1).sum(1, dtype=np.int32) for v in vectors if len(v) >= g])
+
+    def near(self, q: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that may be linked with q."""
+        out = []
+        for g, (row, points) in self.levels.items():
+            mine = others[self.groups[others] == g] if g < self.groups[q] else others[self.groups[others] >= g] if g == self.groups[q] else others[:0]
+            both = np.minimum(points[row[mine]], points[row[q]]).sum(1) if len(mine) else mine
+            out.append(mine[(100 + self.percent) * both >= self.percent * (self.sizes[mine] + self.sizes[q])])
+        return np.concatenate(out)
 
 
 def _root(parent: list[int], x: int) -> int:
@@ -243,19 +270,20 @@ def _survivors(percent: int):
     """Of a hub's chunks, the rows of sets that may be linked with one of the other side and share no lesser hub with it."""
 
     def run(table: pa.Table) -> pa.Table:
-        points = np.stack([np.frombuffer(x, "<u4") for x in table["vector"].to_pylist()]).astype(np.int64)
+        vectors = [np.frombuffer(x, "<u2") for x in table["vector"].to_pylist()]
+        points = np.stack([v.reshape(GROUPS, -1).sum(1, dtype=np.int64) for v in vectors])
         sizes, side = table["n"].to_numpy(), table["side"].to_numpy().astype(bool)
         hub = table["hub"][0].as_py()
         lesser = [frozenset(h for h in x if h < hub) for x in table["hubs"].to_pylist()]
         one = side.all() or not side.any()
         right = np.arange(len(sizes)) if one else np.flatnonzero(side)
-        tree, needed = CountTree(points[right], sizes[right], percent), np.zeros(len(sizes), bool)
+        tree, fine, needed = CountTree(points[right], sizes[right], percent), FineBounds(vectors, sizes, percent), np.zeros(len(sizes), bool)
         for q in (right if one else np.flatnonzero(~side)).tolist():
             near = right[tree.search(points[q], int(sizes[q]))]
-            for x in (near[~needed[near]] if needed[q] else near).tolist():
-                if x != q and not (needed[q] and needed[x]) and lesser[q].isdisjoint(lesser[x]):
+            for x in fine.near(q, near[(near != q) & ~(needed[q] & needed[near])]).tolist():
+                if not (needed[q] and needed[x]) and lesser[q].isdisjoint(lesser[x]):
                     needed[q] = needed[x] = True
-        return table.select(["hub", "i", "j", "a", "rep", "side"]).filter(pa.array(needed))
+        return table.select(["hub", "i", "j", "set", "side"]).filter(pa.array(needed))
 
     return run
 
@@ -271,8 +299,10 @@ def _verify(percent: int, forest: bool):
 
 
 def _sets(docs: DataFrame, shingle: int, vectors: bool) -> DataFrame:
-    """a and the values, or the count vector, of the sets of documents (text, a, b) that stand for their class."""
-    name = "vector" if vectors else "values"
+    """The values, or the fine vector, of the sets of documents (text, a, b, …) that stand for their class, as ``payload`` beside the rest.
+
+    Where a representative's row is repeated, its set is too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,11 +313,12 @@ def _sets(docs: DataFrame, shingle: int, vectors: bool) -> DataFrame:
                 part = batch.slice(f, e - f)
                 mine = np.flatnonzero((a == part.column(1).to_numpy()) & (b == part.column(2).to_numpy()))
                 values = [sets[ends[i] : ends[i + 1]] for i in mine]
-                raw = pa.array([(vector(v).astype("<u4") if vectors else v).tobytes() for v in values], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(mine)), raw], ["a", name])
+                raw = [vector(v, fine_groups(len(v))).astype("<u2").tobytes() if vectors else v.tobytes() for v in values]
+                rows = part.take(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([*rows.columns[3:], pa.array(raw, pa.binary())], [*rows.schema.names[3:], "payload"])
 
-    # a representative's id may have several rows of the same text
-    return docs.mapInArrow(run, f"a long, {name} binary").groupBy("a").agg(F.first(name).alias(name))
+    others = [f for f in docs.schema.fields if f.name not in ("text", "a", "b")]
+    return docs.select("text", "a", "b", *[f.name for f in others]).mapInArrow(run, StructType([*others, StructField("payload", BinaryType())]))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -305,21 +336,21 @@ def _class_links(src: DataFrame, classes: DataFrame, shingle: int, percent: int,
     members = edges.unionByName(edges.select(F.col("v").alias("u"), "v").distinct()).withColumnsRenamed({"u": "a", "v": "hub"})
     named = members.join(classes.select("a", "b", "rep", "n"), "a")
     volumes = named.groupBy("hub").agg((F.sum("n") * 8 / CHUNK_BYTES + 1).cast("int").alias("chunks"))
-    hubs = named.groupBy("a", "b", "rep", "n").agg(F.collect_list("hub").alias("hubs"))
-    chosen = written(hubs)
-    texts = src.join(_few(chosen.select(F.col("rep").alias("id"), "a", "b")), "id").select("text", "a", "b")
-    vectors = written(_sets(texts, shingle, True).join(chosen.drop("b"), "a"))
-    mine = F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")
-    spread = vectors.withColumn("hub", F.explode("hubs")).join(volumes, "hub").withColumn("mine", mine)
-    dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "a", "rep", "n", "vector", "hubs",
-        (F.col("mine") > F.col("other")).cast("int").alias("side"),
+    hubs = named.join(volumes, "hub").groupBy("a", "b", "rep", "n").agg(F.collect_list(F.struct("hub", "chunks")).alias("hubs"))
+    chosen = written(hubs.withColumnRenamed("rep", "id"))
+    vectors = _sets(src.join(_few(chosen), "id").withColumn("set", F.col("a")), shingle, True).withColumn("h", F.explode("hubs"))
+    mine = F.pmod(F.xxhash64("set"), F.col("h.chunks")).cast("int")
+    dealt = vectors.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("h.chunks") - 1))).select(
+        F.col("h.hub").alias("hub"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "set", "n",
+        F.col("hubs.hub").alias("hubs"), (F.col("mine") > F.col("other")).cast("int").alias("side"), F.col("payload").alias("vector"),
     )
-    needed = written(dealt.groupBy("hub", "i", "j").applyInArrow(_survivors(percent), "hub long, i int, j int, a long, rep long, side int"))
-    left = written(needed.select("a").distinct().join(chosen, "a").select(F.col("rep").alias("id"), "a", "b"))
-    values = written(_sets(src.join(_few(left), "id").select("text", "a", "b"), shingle, False))
-    links = written(needed.join(values, "a").groupBy("hub", "i", "j").applyInArrow(_verify(percent, forest), "u long, v long"))
-    released(edges, chosen, vectors, needed, left, values)
+    needed = written(dealt.groupBy("hub", "i", "j").applyInArrow(_survivors(percent), "hub long, i int, j int, set long, side int"))
+    places = needed.groupBy(F.col("set").alias("a")).agg(F.collect_set(F.struct("hub", "i", "j", "side")).alias("places"))
+    left = written(places.join(chosen.select("a", "b", "id"), "a"))
+    values = _sets(src.join(_few(left), "id").withColumn("rep", F.col("id")), shingle, False)
+    sent = values.select("rep", F.col("payload").alias("values"), F.explode("places").alias("p")).select("rep", "values", "p.*")
+    links = written(sent.groupBy("hub", "i", "j").applyInArrow(_verify(percent, forest), "u long, v long"))
+    released(edges, chosen, needed, left)
     return links
 
 
@@ -344,7 +375,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     src = _source(docs, doc_id, text)
     each, classes = _classes(src, shingle)
     pairs = _class_links(src.where(F.col("id").isNotNull()), classes, shingle, percent, forest=False)
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return pairs, each.join(classes.select("a", "b", "rep"), ["a", "b"]).select(F.col("id").alias("doc_id"), "rep").where(F.col("doc_id").isNotNull())
 
 

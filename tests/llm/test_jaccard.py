@@ -136,3 +136,14 @@ def test_task_functions_need_no_installed_package(tmp_path):
     (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(functions))
     code = f"import sys, pickle; pickle.load(open({str(tmp_path / 'f.pkl')!r}, 'rb')); assert 'scriptorium.llm.jaccard' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_fine_bounds_lose_no_link():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 64, int(n), dtype=np.uint64)) for n in (1, 2, 90, 130, 250, 260, 600, 5000)]
+    sets += [np.sort(np.delete(s, slice(0, len(s) // 12))) for s in sets]
+    bounds = jaccard.FineBounds([jaccard.vector(s, jaccard.fine_groups(len(s))) for s in sets], np.array([len(s) for s in sets]), 90)
+    for q, s in enumerate(sets):
+        near = {x for x, t in enumerate(sets) if 100 * (b := len(np.intersect1d(s, t))) >= 90 * (len(s) + len(t) - b)}
+        found = bounds.near(q, np.arange(len(sets))).tolist()
+        assert near <= set(found) and len(found) == len(set(found)) < len(sets)
