@@ -109,6 +109,7 @@ SECTION_IMPORTANCE = {
     "abstract": 1.5, "introduction": 1.2, "methodology": 1.3, "results": 1.4, "conclusion": 1.3, "equation": 1.6,
     "figure": 1.1, "table": 1.1, "title": 1.4, "body": 1.0,
 }
+DEFINITION_TERMS = ("definição", "definition", "conceito")
 SECTION_BONUS = {
     "abstract": 0.3, "introduction": 0.1, "methodology": 0.2, "results": 0.25, "conclusion": 0.2, "equation": 0.35,
     "title": 0.25,
