@@ -42,7 +42,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.older = {"": b""}, {}  # words of late, and those known before them
         self.parts: dict[str, bytes] = {"": b""}  # of plain words: letters in lower case, and runs of marks
         self.caseless = len({tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in ("WORD", "word")}) == 1
         vocabulary = self.tokenizer.get_vocab()
@@ -50,15 +51,28 @@ class Encoder:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
+        parts = [self.lower(t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > CACHE // 2:
+            self.older, self.known = self.known, {"": b""}
         if len(self.parts) > CACHE:
             self.parts = {"": b""}
-        self.learn(list(set().union(*parts).difference(self.known)))
+        new = set().union(*parts).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self.learn(list(new.difference(again)))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
+    def lower(self, text: str) -> str:
+        """The text in lower case where that changes no id and is done letter by letter, so that fewer words differ."""
+        if not self.caseless or "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def learn(self, words: list[str]) -> None:
         """Encode new words: the parts of plain ones together, cut apart where each ends; other words alone."""
         plain = [(w, m[1].lower(), m[2]) for w in words if (m := PLAIN.fullmatch(w))] if self.caseless and self.ends.any() else []
