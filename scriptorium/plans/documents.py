@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scriptorium import lexicons as lex
 from scriptorium.functions import cleaning
 from scriptorium.functions.rules import rule
-from scriptorium.functions.text import count_contained, split_sentences, word_count
+from scriptorium.functions.text import let, split_sentences, word_count
 from scriptorium.operators import chunking, classify, structure
 from scriptorium.plans import sqltext as q
 from scriptorium.plans import tables as t
@@ -305,7 +305,9 @@ def chunk_recursive(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(split("text")).alias("chunk_index", "content"))
 
 
-BOUNDARIES = f"""WITH RECURSIVE sent AS (
+def boundary_sql(most: str | None) -> str:
+    """Common table expressions that end in ``bounds``; ``most`` bounds their number by that of the sentences ``n``."""
+    return f"""WITH RECURSIVE sent AS (
   SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS pos, unnest(s) AS sentence
   FROM (SELECT doc_id, {sentence_sql('long')} AS s FROM documents)),
 vec AS (
@@ -327,34 +329,75 @@ kept AS (
   FROM kept WHERE EXISTS (SELECT 1 FROM marked m WHERE m.doc_id = kept.doc_id AND m.pos >= kept.pos + 3)),
 bounds AS (
   SELECT kept.doc_id, kept.pos FROM kept JOIN (SELECT doc_id, min(n) AS n FROM marked GROUP BY 1) USING (doc_id)
-  WHERE k <= greatest(2, n // 8))"""
+  WHERE {f'k <= {most}' if most else 'true'})"""
 
 
-@query("semantic_boundaries", BOUNDARIES + """
+@query("semantic_boundaries", boundary_sql("greatest(2, n // 8)") + """
 SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS boundaries FROM bounds GROUP BY doc_id""")
 def semantic_boundaries(spark, sf_dir):
-    found = chunking.semantic_boundaries(documents(spark, sf_dir))
-    joined = F.concat_ws(",", F.transform("boundaries", lambda p: p.cast("string")))
-    return found.select("doc_id", joined.alias("boundaries"))
+    found = chunking.semantic_boundaries(F.col("text"), most=lambda n: F.greatest(F.lit(2), F.floor(n / 8).cast("int")))
+    joined = let(found, lambda b: F.concat_ws(",", F.transform(b, lambda p: p.cast("string"))))
+    # exploded, so that the filter doesn't compute it again
+    return documents(spark, sf_dir).select("doc_id", F.explode(F.array(joined)).alias("boundaries")).where("boundaries <> ''")
+
+
+def keyword_sql(source: str, key: str) -> str:
+    """Common table expressions that end in ``worded``: the source with ``kw``, the keywords of its content in order."""
+    return f"""
+counted AS (
+  SELECT {key}, list_sort(list_transform(list_distinct(tk), lambda w: {{'n': -len(list_filter(tk, lambda x: x = w)), 'w': w}})) AS c
+  FROM (SELECT {key}, {t.sql_tokens('content', 3)} AS tk FROM {source})),
+worded AS (
+  SELECT s.*, list_transform(list_filter(c, lambda x: list_contains({q.string_list(TERMS)}, x.w) OR x.n < -1), lambda x: x.w) AS kw
+  FROM {source} s JOIN counted USING ({key}))"""
+
+
+def attribute_sql(source: str = "worded") -> str:
+    """Common table expression ``attributes`` over rows with content, section and keywords."""
+    return f"""
+attributes AS (
+  SELECT *, CAST(length(content) AS INT) AS chunk_length, CAST(len({t.sql_words('content')}) AS INT) AS word_count, len(kw) > 0 AS has_terms,
+         CASE WHEN section = 'abstract' THEN 'abstract' WHEN contains(lower(content), 'is a') THEN 'definition'
+              WHEN section = 'equation' THEN 'equation' ELSE 'regular' END AS priority,
+         round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + {q.value_case('section', lex.SECTION_BONUS, 0.0)} + least(0.2::DOUBLE, len(kw) * 0.02::DOUBLE)
+           + CASE WHEN length(content) < 100 THEN -0.1::DOUBLE WHEN length(content) > 600 THEN -0.05::DOUBLE ELSE 0 END)), 6) AS score
+  FROM {source})"""
 
 
-def semantic_chunks(spark, sf_dir):
-    """Whole semantic chunking: sentences, boundaries and titles to chunk rows."""
-    docs = documents(spark, sf_dir)
-    found = chunking.semantic_boundaries(docs)
-    titles = F.filter(F.transform(structure.section_array(F.col("text")), lambda s: s["title"]), lambda x: x != "")
-    titled = docs.select("doc_id", "text", titles.alias("titles"))
-    packed = chunking.pack_semantic(
-        split_sentences(F.col("text"), "long"), F.coalesce("boundaries", F.array().cast("array<int>")), F.col("titles")
-    )
-    return titled.join(found, "doc_id", "left").select("doc_id", F.posexplode(packed).alias("chunk_index", "c")).select(
-        "doc_id", "chunk_index", "c.content", "c.start", "c.end"
-    )
+SEMANTIC = boundary_sql(None) + "," + SECTIONS + f""",
+titles AS (SELECT doc_id, list(title) AS ts FROM sections WHERE title <> '' GROUP BY doc_id),
+spots AS (SELECT doc_id, list(pos) AS ps FROM bounds GROUP BY doc_id),
+units AS (
+  SELECT s.doc_id, pos + 1 AS i, sentence AS u, coalesce(list_contains(ps, pos), false) AS at_bound, coalesce(list_contains(ts, {t.sql_strip('sentence')}), false) AS at_title
+  FROM sent s LEFT JOIN spots USING (doc_id) LEFT JOIN titles USING (doc_id)),
+walk AS (
+  SELECT DISTINCT doc_id, CAST(0 AS INT) AS i, '' AS open, CAST(0 AS BIGINT) AS start, CAST(NULL AS VARCHAR) AS content, CAST(0 AS BIGINT) AS since FROM units
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN cut THEN fresh ELSE longer END, CASE WHEN cut THEN start + length(fresh) - length(tail) - length(u) ELSE start END,
+         CASE WHEN cut THEN open END, start
+  FROM (SELECT *, CASE WHEN tail <> '' THEN tail || ' ' || u ELSE u END AS fresh,
+          open <> '' AND (length(longer) > 1000 OR (length(longer) > 700 AND at_bound) OR at_title) AS cut
+        FROM (SELECT w.doc_id, n.i, open, start, u, at_bound, at_title, CASE WHEN open <> '' THEN open || ' ' || u ELSE u END AS longer,
+                CASE WHEN length(open) <= 120 THEN open ELSE {t.sql_strip("string_split(right(open, 120), '.')[-1]")} END AS tail
+              FROM walk w JOIN units n ON n.doc_id = w.doc_id AND n.i = w.i + 1))),
+packed AS (
+  SELECT doc_id, i, content, since AS start FROM walk WHERE content IS NOT NULL
+  UNION ALL
+  SELECT doc_id, 1000000000, open, start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS r FROM walk) WHERE r = 1 AND open <> ''),
+placed AS (
+  SELECT p.doc_id, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY i) - 1 AS INT) AS chunk_index, content, CAST(p.start AS INT) AS start,
+         CAST(p.start + length(content) AS INT) AS "end", coalesce(section, 'body') AS section, coalesce(importance, 1.0) AS importance
+  FROM packed p LEFT JOIN sections x ON x.doc_id = p.doc_id AND p.start >= start_char AND p.start < end_char),
+keyed AS (SELECT *, concat(doc_id, '-', chunk_index) AS chunk_key FROM placed),""" + keyword_sql("keyed", "chunk_key") + "," + attribute_sql()
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", SEMANTIC + """
+SELECT doc_id, chunk_index, content, start, "end", section, importance, array_to_string(kw, ',') AS keywords, chunk_length, word_count,
+       has_terms, priority, score FROM attributes""")
 def chunk_semantic(spark, sf_dir):
-    return semantic_chunks(spark, sf_dir)
+    """Finished semantic chunks of whole documents."""
+    found = chunking.semantic_chunks(documents(spark, sf_dir).select("doc_id", "text"), TERMS, ("is a",))
+    return found.withColumn("keywords", F.concat_ws(",", "keywords"))
 
 
 KEYWORDS = f"""
@@ -367,39 +410,23 @@ FROM (
 
 @query("chunk_keywords", "WITH" + t.CHUNKS + KEYWORDS)
 def chunk_keywords(spark, sf_dir):
-    found = structure.keywords(F.col("content"), TERMS)
+    found = structure.keywords(F.col("content"), TERMS, 10)
     return t.chunks(spark, sf_dir).select("chunk_id", F.concat_ws(",", found).alias("keywords"))
 
 
 ATTRIBUTES = t.CHUNKS + f""",
-labelled AS (
-  SELECT *, {q.pattern_case(t.sql_strip('content'), lex.SECTION_PATTERNS, 'body')} AS section,
-         {q.count_contained('lower(content)', TERMS)} AS hit FROM chunks),
-attributes AS (
-  SELECT chunk_id, content, section, CAST(length(content) AS INT) AS chunk_length, CAST(len({t.sql_words('content')}) AS INT) AS word_count, hit > 0 AS has_terms,
-         CASE WHEN section = 'abstract' THEN 'abstract' WHEN contains(lower(content), 'is a') THEN 'definition'
-              WHEN section = 'equation' THEN 'equation' ELSE 'regular' END AS priority,
-         round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + {q.value_case('section', lex.SECTION_BONUS, 0.0)} + least(0.2::DOUBLE, hit * 0.02::DOUBLE)
-           + CASE WHEN length(content) < 100 THEN -0.1::DOUBLE WHEN length(content) > 600 THEN -0.05::DOUBLE ELSE 0 END)), 6) AS score
-  FROM labelled)"""
+labelled AS (SELECT *, {q.pattern_case(t.sql_strip('content'), lex.SECTION_PATTERNS, 'body')} AS section FROM chunks),""" + keyword_sql("labelled", "chunk_id") + "," + attribute_sql()
 
 
 def attributes(spark, sf_dir):
-    low = F.lower("content")
     rows = t.chunks(spark, sf_dir).withColumn("section", classify.line_section(cleaning.strip(F.col("content"))))
-    hit = count_contained(low, TERMS)
-    section = F.col("section")
-    return rows.withColumn("hit", hit).select(
-        "chunk_id", "content", "section", F.length("content").alias("chunk_length"),
-        word_count(F.col("content")).alias("word_count"), (F.col("hit") > 0).alias("has_terms"),
-        F.when(section == "abstract", "abstract").when(low.contains("is a"), "definition")
-        .when(section == "equation", "equation").otherwise("regular").alias("priority"),
-        F.round(structure.semantic_score(F.col("content"), section, F.col("hit")), 6).alias("score"),
+    return structure.chunk_attributes(rows, TERMS, ("is a",)).select(
+        "chunk_id", "content", "section", F.concat_ws(",", "keywords").alias("keywords"), "chunk_length", "word_count", "has_terms", "priority", "score",
     )
 
 
 @query("chunk_attributes", "WITH" + ATTRIBUTES + """
-SELECT chunk_id, section, chunk_length, word_count, has_terms, priority, score FROM attributes""")
+SELECT chunk_id, section, array_to_string(kw, ',') AS keywords, chunk_length, word_count, has_terms, priority, score FROM attributes""")
 def chunk_attributes(spark, sf_dir):
     return attributes(spark, sf_dir).drop("content")
 
