@@ -30,8 +30,8 @@ SHINGLE, PERCENT = 3, 90
 GROUPS, LEAF, FAN = 64, 8, 16
 #: Greatest number of groups of a set's fine vector.
 FINE = 1 << 15
-#: Bytes of sets verified together, bytes of keys gathered in a bucket, and ids up to which a set of them is broadcast.
-CHUNK_BYTES, BUCKET_BYTES, BROADCAST_ROWS = 16_000_000, 16_000_000, 500_000
+#: Bytes of sets verified together, of keys gathered in a bucket, and of ids up to which they are broadcast.
+CHUNK_BYTES, BUCKET_BYTES, BROADCAST_BYTES = 16_000_000, 16_000_000, 32_000_000
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -321,9 +321,10 @@ def _sets(docs: DataFrame, shingle: int, vectors: bool) -> DataFrame:
     return docs.select("text", "a", "b", *[f.name for f in others]).mapInArrow(run, StructType([*others, StructField("payload", BinaryType())]))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Rows of some 40 bytes, broadcast up to BROADCAST_ROWS of them."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame, many: str | None = None) -> DataFrame:
+    """Ids and digests, and a list ``many`` of 24 bytes an entry, broadcast up to BROADCAST_BYTES of them."""
+    each = F.lit(40) + (24 * F.size(many) if many else 0)
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _class_links(src: DataFrame, classes: DataFrame, shingle: int, percent: int, forest: bool) -> DataFrame:
@@ -338,7 +339,7 @@ def _class_links(src: DataFrame, classes: DataFrame, shingle: int, percent: int,
     volumes = named.groupBy("hub").agg((F.sum("n") * 8 / CHUNK_BYTES + 1).cast("int").alias("chunks"))
     hubs = named.join(volumes, "hub").groupBy("a", "b", "rep", "n").agg(F.collect_list(F.struct("hub", "chunks")).alias("hubs"))
     chosen = written(hubs.withColumnRenamed("rep", "id"))
-    vectors = _sets(src.join(_few(chosen), "id").withColumn("set", F.col("a")), shingle, True).withColumn("h", F.explode("hubs"))
+    vectors = _sets(src.join(_few(chosen, "hubs"), "id").withColumn("set", F.col("a")), shingle, True).withColumn("h", F.explode("hubs"))
     mine = F.pmod(F.xxhash64("set"), F.col("h.chunks")).cast("int")
     dealt = vectors.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("h.chunks") - 1))).select(
         F.col("h.hub").alias("hub"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "set", "n",
@@ -347,7 +348,7 @@ def _class_links(src: DataFrame, classes: DataFrame, shingle: int, percent: int,
     needed = written(dealt.groupBy("hub", "i", "j").applyInArrow(_survivors(percent), "hub long, i int, j int, set long, side int"))
     places = needed.groupBy(F.col("set").alias("a")).agg(F.collect_set(F.struct("hub", "i", "j", "side")).alias("places"))
     left = written(places.join(chosen.select("a", "b", "id"), "a"))
-    values = _sets(src.join(_few(left), "id").withColumn("rep", F.col("id")), shingle, False)
+    values = _sets(src.join(_few(left, "places"), "id").withColumn("rep", F.col("id")), shingle, False)
     sent = values.select("rep", F.col("payload").alias("values"), F.explode("places").alias("p")).select("rep", "values", "p.*")
     links = written(sent.groupBy("hub", "i", "j").applyInArrow(_verify(percent, forest), "u long, v long"))
     released(edges, chosen, needed, left)
