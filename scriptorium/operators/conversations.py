@@ -41,7 +41,7 @@ def pair_turns(messages: DataFrame, **options) -> DataFrame:
     pairs = looked.where((F.col("role") == "user") & (F.col("_role") == "assistant")).select(
         F.col("conv_id").alias("conversation_id"), "turn", F.col("text").alias("question"), "answer"
     )
-    numbered = number_rows(pairs, ["conversation_id"], [F.col("turn")], "turn_no", small=options.get("small"))
+    numbered = number_rows(pairs, ["conversation_id"], [F.col("turn")], "turn_no", options.get("parts"))
     return numbered.withColumn(
         "ts", F.expr("timestamp_seconds(1704067200 + conversation_id * 3600 + turn * 60)")
     )
@@ -153,8 +153,7 @@ def idle_sessions(events: DataFrame, key: str, ts: str, tie: str, idle_seconds:
 
     gaps = with_neighbours(stamped, [key], [F.col("_us"), F.col(tie)], 1, 0, previous, **options)
     opens = (F.col("_last").isNull() | (F.col("_us") - F.col("_last") >= idle_seconds * 1_000_000)).cast("int")
-    small = options.get("small")
-    numbered = running_total(gaps, [key], [F.col("_us"), F.col(tie)], opens, "session_no", small=small)
+    numbered = running_total(gaps, [key], [F.col("_us"), F.col(tie)], opens, "session_no", **options)
     return numbered.groupBy(key, "session_no").agg(
         F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("events")
     )

@@ -1,8 +1,8 @@
 """Ordered work over groups of any size.
 
 A plain ``Window.partitionBy(key)`` puts a whole key into one task.  When one key may hold a third of the rows
-that task never ends, so everything here splits a key into ranges of its order and joins the small per-range
-totals back.  Below ``SMALL_ROWS`` (counted, not guessed) the plain window is used, since one task can hold it.
+that task never ends, so everything here, at any size, splits a key into ranges of its order and joins the small
+per-range totals back.  The input is computed once: it is checkpointed, and cut points, totals and rows read it there.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 200_000
+from scriptorium.functions.text import let
+from scriptorium.session import durable
+
 BROADCAST_ROWS = 100_000
 SEGMENT_ROWS = 50_000
 
@@ -46,7 +48,24 @@ def _range_no(order: Sequence[Column], bounds: list, df: DataFrame) -> Column:
     cuts = F.array(*[
         F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds
     ])
-    return F.size(F.filter(cuts, lambda b: b <= key))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+
+    def halve(s: Column, key: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below, open_ = F.get(cuts, mid) <= key, s["low"] < s["high"]
+        return F.struct(
+            F.when(open_ & below, mid + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~below, mid).otherwise(s["high"]).alias("high")
+        )
+
+    first = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return let(key, lambda k: F.aggregate(steps, first, lambda s, _: halve(s, k), lambda s: s["low"]))
+
+
+def _ranged(df: DataFrame, order: Sequence[Column], parts: int | None) -> DataFrame:
+    """The checkpointed rows with the number of their range of the order."""
+    held = durable(df)
+    parts = parts or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return held.withColumn("_range", _range_no(order, _bounds(held, order, parts), held))
 
 
 def number_rows(
@@ -54,19 +73,13 @@ def number_rows(
     keys: Sequence[str],
     order: Sequence[Column],
     name: str = "row_no",
-    small: int | None = None,
     parts: int | None = None,
 ) -> DataFrame:
     """1-based position of each row within its key.
 
     ``order`` lists ascending expressions (negate numbers for descending) and must be a total order.
     """
-    small = SMALL_ROWS if small is None else small
-    if at_most(df, small):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-    parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.withColumn("_range", _range_no(order, _bounds(df, order, parts), df))
+    ranged = _ranged(df, order, parts)
     w = Window.partitionBy(*keys, "_range").orderBy(*order)
     local = ranged.withColumn("_local", F.row_number().over(w))
     prior = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,21 +100,17 @@ def with_neighbours(
     before: int,
     after: int,
     build,
-    small: int | None = None,
     segment: int = SEGMENT_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Columns computed from a bounded row frame.
 
     ``build(window)`` returns ``{name: Column}`` over an ordered window.  Each segment of a long key receives a
     copy of the ``before`` rows ahead of it and the ``after`` rows behind it, so frames never miss a row.
     """
-    small = SMALL_ROWS if small is None else small
-    if at_most(df, small):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns(build(w))
     if max(before, after) > segment:
         raise ValueError("frame is longer than a segment")
-    numbered = number_rows(df, keys, order, "_no", small=small)
+    numbered = number_rows(df, keys, order, "_no", parts)
     pos = F.pmod(F.col("_no") - 1, F.lit(segment))
     seg = F.floor((F.col("_no") - 1) / segment).cast("long")
     targets = F.array_compact(F.array(
@@ -122,18 +131,11 @@ def running_total(
     order: Sequence[Column],
     value: Column,
     name: str,
-    small: int | None = None,
     parts: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` within each key."""
-    small = SMALL_ROWS if small is None else small
     full = (Window.unboundedPreceding, 0)
-    valued = df.withColumn("_v", value)
-    if at_most(df, small):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*full)
-        return valued.withColumn(name, F.sum("_v").over(w)).drop("_v")
-    parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = valued.withColumn("_range", _range_no(order, _bounds(df, order, parts), df))
+    ranged = _ranged(df.withColumn("_v", value), order, parts)
     w = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*full)
     local = ranged.withColumn("_local", F.sum("_v").over(w))
     prior = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,18 +155,11 @@ def last_known(
     order: Sequence[Column],
     value: Column,
     name: str,
-    small: int | None = None,
     parts: int | None = None,
 ) -> DataFrame:
     """Latest non-null ``value`` at or before each row of its key (the core of an as-of join)."""
-    small = SMALL_ROWS if small is None else small
     full = (Window.unboundedPreceding, 0)
-    valued = df.withColumn("_v", value)
-    if at_most(df, small):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*full)
-        return valued.withColumn(name, F.last("_v", ignorenulls=True).over(w)).drop("_v")
-    parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = valued.withColumn("_range", _range_no(order, _bounds(df, order, parts), df))
+    ranged = _ranged(df.withColumn("_v", value), order, parts)
     w = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*full)
     local = ranged.withColumn("_local", F.last("_v", ignorenulls=True).over(w))
     stamp = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])
@@ -190,3 +185,22 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     """First ``k`` rows of each key.  Spark cuts to ``k`` before the shuffle, so hot keys stay small."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w).cast("bigint")).where(F.col(name) <= k)
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: Column, name: str = "median") -> DataFrame:
+    """Exact median of the non-null values of each key: values are counted, and the middle ranks picked from running counts.
+
+    No task holds a key's values, only their distinct ones range by range.  Keys without a value have none.
+    """
+    counts = df.select(*keys, value.alias("_x")).where(F.col("_x").isNotNull()).groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    upto = running_total(counts, keys, [F.col("_x")], F.col("_n"), "_upto")
+    totals = upto.groupBy(*keys).agg(F.max("_upto").alias("_all"))
+    if keys:
+        totals = small_side(totals.withColumnsRenamed({k: f"_{k}" for k in keys}))
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        placed = upto.join(totals, on)
+    else:
+        placed = upto.withColumn("_all", F.lit(totals.first()[0]).cast("long"))
+    middle = [F.floor((F.col("_all") + i) / 2) for i in (1, 2)]
+    share = [((F.col("_upto") - F.col("_n") < m) & (m <= F.col("_upto"))).cast("int") for m in middle]
+    return placed.groupBy(*keys).agg((F.sum(F.col("_x") * (share[0] + share[1])) / 2).alias(name))

@@ -31,13 +31,13 @@ def same(a, b):
 
 
 def test_row_numbers(skewed):
-    split = scale.number_rows(skewed, ["k"], order(), "n", small=0, parts=16)
+    split = scale.number_rows(skewed, ["k"], order(), "n", parts=16)
     plain = skewed.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order())))
     assert same(split, plain) == 6000
 
 
 def test_row_numbers_of_whole_table(skewed):
-    split = scale.number_rows(skewed, [], [-F.col("o"), F.col("id")], "n", small=0, parts=16)
+    split = scale.number_rows(skewed, [], [-F.col("o"), F.col("id")], "n", parts=16)
     assert sorted(r.n for r in split.collect()) == list(range(1, 6001))
     ordered = [r.id for r in split.orderBy("n").collect()]
     assert ordered == [r.id for r in skewed.orderBy(F.col("o").desc(), "id").collect()]
@@ -51,19 +51,28 @@ def test_split_ranges_are_even(skewed):
 
 def test_running_total_and_last_known(skewed):
     w = Window.partitionBy("k").orderBy(*order()).rowsBetween(Window.unboundedPreceding, 0)
-    total = scale.running_total(skewed, ["k"], order(), F.col("id"), "t", small=0, parts=16)
+    total = scale.running_total(skewed, ["k"], order(), F.col("id"), "t", parts=16)
     same(total, skewed.withColumn("t", F.sum("id").over(w)))
-    last = scale.last_known(skewed, ["k"], order(), F.col("v"), "l", small=0, parts=16)
+    last = scale.last_known(skewed, ["k"], order(), F.col("v"), "l", parts=16)
     same(last, skewed.withColumn("l", F.last("v", ignorenulls=True).over(w)))
 
 
+def test_medians_equal_sorting(skewed):
+    x = F.when(F.col("id") % 7 > 0, (F.col("id") * 7919 % 1000) / 3)
+    got = {r.k: r["median"] for r in scale.medians(skewed, ["k"], x).collect()}
+    want = {r.k: r.m for r in skewed.groupBy("k").agg(F.percentile(x, 0.5).alias("m")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert abs(scale.medians(skewed, [], x).first()[0] - skewed.agg(F.percentile(x, 0.5)).first()[0]) < 1e-9
+    assert scale.medians(skewed.limit(0), ["k"], x).collect() == [] and scale.medians(skewed.limit(0), [], x).first()[0] is None
+
+
 def test_neighbours(skewed):
     def frame(w):
         return {
             "next": F.lead("id").over(w), "past": F.collect_list("id").over(w.rowsBetween(-3, -1)),
         }
 
-    split = scale.with_neighbours(skewed, ["k"], order(), 3, 1, frame, small=0, segment=7)
+    split = scale.with_neighbours(skewed, ["k"], order(), 3, 1, frame, segment=7, parts=16)
     plain = skewed.withColumns(frame(Window.partitionBy("k").orderBy(*order())))
     assert same(split, plain) == 6000
 
@@ -170,8 +179,8 @@ def test_pattern_updates_equal_the_sequential_rule(candidates):
             s[2], s[3], s[4] = s[2] * 0.8 + r.number * 0.2, r.label, r.flag
         else:
             s[1] = max(0.1, s[1] - 0.05)
-    for segment, small in ((10_000, None), (7, 0)):
-        done = feedback.consolidate(candidates, segment, small=small)
+    for segment, parts in ((10_000, None), (7, 20)):
+        done = feedback.consolidate(candidates, segment, parts=parts)
         got = {r.pattern_id: r for r in done.collect()}
         assert set(got) == set(state)
         for key, s in state.items():
@@ -188,17 +197,17 @@ def test_split_lookups_sessions_and_turns(spark, monkeypatch):
     from scriptorium.plans.operations import access
 
     hot = access(spark, SF_DIR).withColumn("key", F.when(F.col("id") % 3 == 0, "0").otherwise(F.col("key")))
-    same(reuse.lookups(hot, small=0, parts=8), reuse.lookups(hot))
+    same(reuse.lookups(hot, parts=5), reuse.lookups(hot))
     events = event_rows(spark, SF_DIR).withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")))
     args = (events, "user_id", "ts", "event_id", 3600)
-    same(conversations.idle_sessions(*args, small=0), conversations.idle_sessions(*args))
+    same(conversations.idle_sessions(*args, parts=5), conversations.idle_sessions(*args))
     messages = t.read(spark, SF_DIR, "conversations")
-    same(conversations.pair_turns(messages, small=0), conversations.pair_turns(messages))
+    same(conversations.pair_turns(messages, parts=5), conversations.pair_turns(messages))
 
 
 def test_quality_split_is_the_same_when_split(spark):
     rows = spark.range(500).select(F.col("id").alias("example_id"), (F.col("id") % 11).cast("double").alias("quality_score"))
-    same(training.split_by_quality(rows, 0.8, small=0, parts=8), training.split_by_quality(rows, 0.8))
+    same(training.split_by_quality(rows, 0.8, parts=5), training.split_by_quality(rows, 0.8))
 
 
 def test_results_do_not_depend_on_partitioning(spark):
