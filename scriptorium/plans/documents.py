@@ -284,8 +284,15 @@ def chunk_paragraphs(spark, sf_dir):
     )
 
 
-SENTENCE_UNITS = f"""
-  SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS u FROM (SELECT doc_id, {sentence_sql('plain')} AS s FROM documents)"""
+def piece_units(sentences: str, keys: str, size: int) -> str:
+    """Units of a packer: the sentences of ``sentences(keys, s)`` in order, long ones in pieces of ``size`` characters."""
+    pieces = f"list_transform(range(0, greatest(0, (length(x) - 1) // {size}) + 1), lambda k: substr(x, k * {size} + 1, {size}))"
+    return f"""
+  SELECT {keys}, unnest(range(1, len(us) + 1)) AS i, unnest(us) AS u
+  FROM (SELECT {keys}, flatten(list_transform(s, lambda x: {pieces})) AS us FROM ({sentences}))"""
+
+
+SENTENCE_UNITS = piece_units(f"SELECT doc_id, {sentence_sql('plain')} AS s FROM documents", "doc_id", 512)
 
 
 @query("chunk_training_sentences", "SELECT doc_id, chunk_index, content FROM (" + fold_sql(
@@ -295,7 +302,7 @@ SENTENCE_UNITS = f"""
     f"CASE WHEN length(open) + length(u) > 512 AND open <> '' THEN {t.sql_strip('open')} END", "'full'", "'last'",
 ) + ")")
 def chunk_training_sentences(spark, sf_dir):
-    packed = chunking.pack_sentences(F.col("text"), size=512, overlap=64, keep_all=False)
+    packed = chunking.pack_sentences(F.col("text"), size=512, overlap=64)
     return documents(spark, sf_dir).select("doc_id", F.posexplode(packed).alias("chunk_index", "content"))
 
 

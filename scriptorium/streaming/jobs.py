@@ -109,6 +109,21 @@ def rolling_errors(errors: DataFrame, window: str = "1 hour", lateness: str = LA
     ).select(F.col("window.start").alias("window_start"), "error_type", "errors")
 
 
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions that ``closing_sessions`` has not given out yet, read from its state; needs a batch to have run."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(
+        "key.conversation_id", F.col("value.session_window.start").alias("started"), F.col("value.session_window.end").alias("closed"),
+        F.col("value.count").alias("turns"),
+    )
+
+
+def open_errors(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows that ``rolling_errors`` has not given out yet, read from its state; needs a batch to have run."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col("key.window.start").alias("window_start"), "key.error_type", F.col("value.count").alias("errors"))
+
+
 def embed_once(texts: DataFrame, lateness: str = LATENESS, embedder: Embedder = bag_of_words) -> DataFrame:
     """The vector of each new text; repeats within the watermark are dropped."""
     keyed = texts.withColumn("text_md5", F.md5("text")).withWatermark("ts", lateness)
