@@ -4,7 +4,7 @@ Reading plans one partition per file (the writer begins a new file every ``roll`
 and on header fields are pushed down and tested on the headers alone; the block of an unwanted record is skipped, not read,
 and with ``payload=false`` no payload leaves the reader, only its digest and length.  Files ending in ``.gz`` are read too.
 
-A writing task makes files of its own; only those of tasks that succeeded are listed in ``_files.json``, which readers
+A writing task makes files of its own; only those of tasks that succeeded are listed in the ``_files-*.json`` of their commit, which readers
 follow, so repeated and lost tasks leave nothing behind that counts.
 """
 
@@ -60,14 +60,25 @@ def one_line(value: str | None) -> str | None:
     return None if value is None else value.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    """The lists of files of all commits under a folder."""
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(x.path for x in found if x.base_name.startswith("_files-") and x.base_name.endswith(".json"))
+
+
+def listed(fs: pafs.FileSystem, manifest: str) -> list[str]:
+    with fs.open_input_stream(manifest) as f:
+        return json.loads(f.readall())
+
+
 @dataclass
 class Files(WriterCommitMessage):
     names: list[str]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.roll = options["path"], int(options.get("roll", ROLL))
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.roll, self.overwrite = options["path"], int(options.get("roll", ROLL)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Files:
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -101,8 +112,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Files | None]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(root)
-        with fs.open_output_stream(f"{root}/_files.json") as out:
+        before = manifests(fs, root)
+        with fs.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        for old in before if self.overwrite else ():
+            gone = listed(fs, old)
+            fs.delete_file(old)  # first the list, so that no reader follows it to a file that isn't there
+            for name in gone:
+                fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Files | None]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -140,10 +157,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[File]:
         fs, root = pafs.FileSystem.from_uri(self.path)
-        listed = f"{root}/_files.json"
-        if fs.get_file_info(listed).type == pafs.FileType.File:
-            with fs.open_input_stream(listed) as f:
-                names = json.loads(f.readall())
+        commits = manifests(fs, root)
+        if commits:
+            names = [n for c in commits for n in listed(fs, c)]
         else:
             found = fs.get_file_info(pafs.FileSelector(root))
             names = sorted(x.base_name for x in found if x.base_name.endswith((".warc", ".warc.gz")))
@@ -181,6 +197,8 @@ class WarcReader(DataSourceReader):
             for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
                 key, _, value = line.partition(":")
                 fields[key.strip().lower()] = value.strip()
+            if "content-length" not in fields:
+                raise ValueError("a record without Content-Length")
             length = int(fields["content-length"])
             row = {n: fields.get(h.lower()) for n, h in HEADERS.items()}
             row["payload_digest"] = digest_hex(row["payload_digest"])
@@ -248,7 +266,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -278,9 +296,10 @@ def as_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     )
 
 
-def write(records: DataFrame, path: str, **options: str) -> None:
+def write(records: DataFrame, path: str, mode: str = "append", **options: str) -> None:
+    """Add archives to a folder, or, with mode ``overwrite``, replace those that earlier writes have listed there."""
     register(records.sparkSession)
-    records.write.format("warc").options(path=path, **options).mode("append").save()
+    records.write.format("warc").options(path=path, **options).mode(mode).save()
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:

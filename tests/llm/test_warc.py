@@ -61,3 +61,21 @@ def test_payloads_and_pushed_predicates(spark, pages):
 
 def test_no_pages(spark, pages):
     assert warc.archived(pages.limit(0)).count() == 0
+
+
+def test_a_second_write_adds_and_an_overwrite_replaces(spark, pages):
+    path = new_folder(spark)
+    warc.write(warc.as_records(pages.where("page_id = 1")), path)
+    warc.write(warc.as_records(pages.where("page_id = 3")), path)
+    urls = lambda: sorted(r.uri for r in warc.read(spark, path).where("warc_type = 'response'").collect())
+    assert urls() == ["http://a/1", "http://a/3"]
+    warc.write(warc.as_records(pages.where("page_id = 4")), path, mode="overwrite")
+    assert urls() == ["http://a/4"]
+    warc.write(warc.as_records(pages.limit(0)), path, mode="overwrite")
+    assert urls() == []
+
+
+def test_a_record_without_a_length_is_an_error(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nbody\r\n\r\n")
+    with pytest.raises(PySparkException, match="Content-Length"):
+        warc.read(spark, f"file://{tmp_path}").collect()
