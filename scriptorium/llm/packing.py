@@ -33,7 +33,7 @@ WINDOW, CACHE = 1 << 20, 250_000
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Words whose parts before the tokenizer are known: letters, then perhaps a run of marks.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:;=-@\[-`{-~]*")
 
 
 class Encoder:
@@ -44,7 +44,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known, self.older = {"": b""}, {}  # words of late, and those known before them
-        self.parts: dict[str, bytes] = {"": b""}  # of plain words: letters in lower case, and runs of marks
         self.caseless = len({tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in ("WORD", "word")}) == 1
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
@@ -54,8 +53,6 @@ class Encoder:
         parts = [self.lower(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE // 2:
             self.older, self.known = self.known, {"": b""}
-        if len(self.parts) > CACHE:
-            self.parts = {"": b""}
         new = set().union(*parts).difference(self.known)
         again = new.intersection(self.older)
         self.known.update(zip(again, map(self.older.__getitem__, again)))
@@ -74,18 +71,16 @@ class Encoder:
         return text.lower()
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words: the parts of plain ones together, cut apart where each ends; other words alone."""
-        plain = [(w, m[1].lower(), m[2]) for w in words if (m := PLAIN.fullmatch(w))] if self.caseless and self.ends.any() else []
-        new = list({p for _, *both in plain for p in both}.difference(self.parts))
-        groups = [new[i : i + 1000] for i in range(0, len(new), 1000)]
+        """Encode new words: plain ones together, cut apart where their letters and marks end; other words alone."""
+        plain = list(filter(PLAIN.fullmatch, words)) if self.caseless and self.ends.any() else []
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         for group, x in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(x.ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            for p, a, b in zip(group, [0, *stops], stops, strict=False):
-                self.parts[p] = raw[a:b]
-        for w, letters, marks in plain:
-            self.known[w] = self.parts[letters] + self.parts[marks]
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            parts = np.cumsum(2 - np.fromiter(map(str.isalpha, group), np.int64, len(group)))  # letters, and marks if there are any
+            if parts[-1] == len(stops):
+                raw, cut = ids.tobytes(), stops[parts - 1].tolist()
+                self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *cut], cut)]))
         rest = [w for w in words if w not in self.known]
         for w, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[w] = np.array(x.ids, "<u4").tobytes()
