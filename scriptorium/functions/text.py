@@ -20,6 +20,21 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def first(values: Column, n: int | None) -> Column:
+    """The first ``n`` values, or all if no number is given."""
+    return values if n is None else F.slice(values, 1, n)
+
+
+def head(text: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or the whole text if no number is given."""
+    return text if n is None else F.substring(text, 1, n)
+
+
+def shortened(text: Column, n: int | None) -> Column:
+    """The first ``n`` characters and dots, or the whole text if no number is given."""
+    return text if n is None else F.concat(F.substring(text, 1, n), F.lit("..."))
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import strip, words
+from scriptorium.functions.text import first, head, strip, words
 from scriptorium.operators.validate import YEAR_MAX, YEAR_MIN, name_token, valid_author, valid_field
 from scriptorium.scale import small_side
 
@@ -36,21 +36,23 @@ JOURNAL_PATTERNS = (
 UNKNOWN_AUTHOR = "Autor não identificado"
 
 
-def find_doi(text: Column, head: int = 3000) -> Column:
-    found = F.regexp_extract(F.substring(text, 1, head), DOI, 0)
+def find_doi(text: Column, chars: int | None = None) -> Column:
+    """First identifier, in the first ``chars`` characters if given."""
+    found = F.regexp_extract(head(text, chars), DOI, 0)
     return F.when(found != "", F.regexp_replace(found, r"[.,;)]+$", ""))
 
 
-def find_year(text: Column, head: int = 1000) -> Column:
-    """Latest plausible year in the head of the text."""
+def find_year(text: Column, chars: int | None = None) -> Column:
+    """Latest plausible year, in the first ``chars`` characters if given."""
     years = F.transform(
-        F.regexp_extract_all(F.substring(text, 1, head), F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")
+        F.regexp_extract_all(head(text, chars), F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")
     )
     return F.array_max(F.filter(years, lambda y: y.between(YEAR_MIN, YEAR_MAX)))
 
 
-def find_title(text: Column, first: int = 15) -> Column:
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, first), strip)
+def find_title(text: Column, lines: int | None = None) -> Column:
+    """First line that looks like a title, among the opening ``lines`` if given."""
+    candidates = F.transform(first(F.split(text, "\n"), lines), strip)
 
     def fits(line: Column) -> Column:
         low = F.lower(line)
@@ -59,16 +61,16 @@ def find_title(text: Column, first: int = 15) -> Column:
             starts = starts | low.startswith(s)
         return F.length(line).between(20, 200) & ~line.rlike(r"^\d+$") & ~starts
 
-    return F.regexp_replace(F.get(F.filter(lines, fits), F.lit(0)), r"\s+", " ")
+    return F.regexp_replace(F.get(F.filter(candidates, fits), F.lit(0)), r"\s+", " ")
 
 
-def find_authors(text: Column, first: int = 20, limit: int = 5) -> Column:
-    """Names that open one of the first lines."""
-    lines = F.filter(
-        F.transform(F.slice(F.split(text, "\n"), 1, first), strip), lambda x: (x != "") & (F.length(x) <= 120)
+def find_authors(text: Column, lines: int | None = None, limit: int | None = None) -> Column:
+    """Names that open a line, among the opening ``lines`` if given; all, or the first ``limit``."""
+    short = F.filter(
+        F.transform(first(F.split(text, "\n"), lines), strip), lambda x: (x != "") & (F.length(x) <= 120)
     )
-    names = F.transform(lines, lambda x: F.regexp_extract(x, LEADING_NAME, 1))
-    return F.slice(F.array_distinct(F.filter(names, valid_author)), 1, limit)
+    names = F.transform(short, lambda x: F.regexp_extract(x, LEADING_NAME, 1))
+    return first(F.array_distinct(F.filter(names, valid_author)), limit)
 
 
 def split_authors(raw: Column, limit: int | None = None) -> Column:
@@ -79,12 +81,6 @@ def split_authors(raw: Column, limit: int | None = None) -> Column:
     return F.slice(found, 1, limit) if limit else found
 
 
-def clean_name(name: Column) -> Column:
-    """A name with single blanks, each word with a capital first and small letters after."""
-    parts = F.filter(F.split(name, r"\s+"), lambda w: w != "")
-    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), " ")
-
-
 def split_author_field(raw: Column, limit: int | None = None) -> Column:
     """Names of a metadata field split at ``;``, ``&``, ``and`` and ``e``, cleaned: all, or the first ``limit``; none for null."""
     parts = F.transform(F.split(F.coalesce(raw, F.lit("")), r"[;&]|\s+and\s+|\s+e\s+"), clean_name)
@@ -113,7 +109,14 @@ def _spaced(filename: Column) -> Column:
     return F.regexp_replace(bare, r"[-_]+", " ")
 
 
-def extract_metadata(documents: DataFrame) -> DataFrame:
+#: The published bounds of ``extract_metadata``.
+BOUNDS = {"doi_chars": 3000, "year_chars": 1000, "title_lines": 15, "author_lines": 20, "authors": 5}
+
+
+def extract_metadata(
+    documents: DataFrame, doi_chars: int | None = None, year_chars: int | None = None, title_lines: int | None = None,
+    author_lines: int | None = None, authors: int | None = None,
+) -> DataFrame:
     """``documents(doc_id, text, filename[, info_title, info_author, info_date])`` to one metadata row each.
 
     Order of preference: document information, text, file name.  ``confidence`` is the share of author, year and
@@ -123,13 +126,13 @@ def extract_metadata(documents: DataFrame) -> DataFrame:
         if name not in documents.columns:
             documents = documents.withColumn(name, F.lit(None).cast("string"))
     info_year = F.regexp_extract("info_date", r"D:(\d{4})", 1).try_cast("int")
-    listed = F.slice(F.filter(split_authors(F.col("info_author")), valid_author), 1, 5)
+    listed = first(F.filter(split_authors(F.col("info_author")), valid_author), authors)
     rows = documents.withColumns({
         "_t": F.when(valid_field(F.col("info_title")), strip(F.col("info_title"))),
         "_a": F.when(valid_field(F.col("info_author")) & (F.size(listed) > 0), listed),
         "_y": F.when(info_year.between(YEAR_MIN, YEAR_MAX), info_year),
     })
-    from_text = find_authors(F.col("text"))
+    from_text = find_authors(F.col("text"), author_lines, authors)
     fallback_author = F.array(F.array_join(F.slice(words(_spaced(F.col("filename"))), 1, 3), " "))
     known = F.col("_t").isNotNull().cast("int") + F.col("_a").isNotNull().cast("int") + F.col("_y").isNotNull().cast("int")
     return rows.select(
@@ -137,9 +140,9 @@ def extract_metadata(documents: DataFrame) -> DataFrame:
         F.coalesce(
             "_a", F.when(F.size(from_text) > 0, from_text), authors_from_filename(F.col("filename")), fallback_author
         ).alias("authors"),
-        F.coalesce("_y", find_year(F.col("text")), year_from_filename(F.col("filename"))).alias("year"),
-        F.coalesce("_t", find_title(F.col("text")), strip(F.regexp_replace(_spaced(F.col("filename")), r"\s+", " "))).alias("title"),
-        find_doi(F.col("text")).alias("doi"),
+        F.coalesce("_y", find_year(F.col("text"), year_chars), year_from_filename(F.col("filename"))).alias("year"),
+        F.coalesce("_t", find_title(F.col("text"), title_lines), strip(F.regexp_replace(_spaced(F.col("filename")), r"\s+", " "))).alias("title"),
+        find_doi(F.col("text"), doi_chars).alias("doi"),
         (known / 3).alias("confidence"),
     )
 
@@ -166,7 +169,7 @@ def document_type(text: Column, filename: Column) -> Column:
     return case
 
 
-def reference_from_page(documents: DataFrame, current_year: int = YEAR_MAX) -> DataFrame:
+def reference_from_page(documents: DataFrame, current_year: int = YEAR_MAX, limit: int | None = None) -> DataFrame:
     """Second rule set for ``documents(doc_id, text, filename)``: authors by three patterns, journal, year, type."""
     flat = strip(F.regexp_replace("text", r"\s+", " "))
     page = documents.withColumn("_x", flat)
@@ -176,7 +179,7 @@ def reference_from_page(documents: DataFrame, current_year: int = YEAR_MAX) -> D
         F.length(x).between(6, 99) & x.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z]\.)*\s+[A-Z][a-z]+"), F.array(x)
     ).otherwise(F.array().cast("array<string>"))
     names = F.array_distinct(F.transform(F.concat(found, opening), clean_name))
-    authors = F.slice(F.filter(names, lambda n: F.length(n) > 3), 1, 5)
+    authors = first(F.filter(names, lambda n: F.length(n) > 3), limit)
     bare = F.regexp_replace(base_name(F.col("filename")), r"_compressed|_final|_v\d+", "")
     guess = F.regexp_extract(bare, r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", 1)
     inferred = F.array(F.when(guess != "", clean_name(guess)).otherwise(F.lit(UNKNOWN_AUTHOR)))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import contained_terms
+from scriptorium.functions.text import contained_terms, head
 from scriptorium.scale import number_rows, running_total, with_neighbours
 
 # Reference words, list patterns and texts around a question.
@@ -73,11 +73,11 @@ def list_items(answer: Column) -> Column:
     )
 
 
-def entities(answer: Column) -> Column:
-    """Distinct list items, acronyms and capitalised names, sorted."""
+def entities(answer: Column, width: int | None = None) -> Column:
+    """Distinct list items (their first ``width`` characters if given), acronyms and capitalised names, sorted."""
     items = F.transform(
         F.regexp_extract_all(answer, F.lit(r"\d+\.\s+([^\n]+)"), F.lit(1)),
-        lambda x, i: F.concat(F.lit("item_"), (i + 1).cast("string"), F.lit("_"), F.substring(x, 1, 30)),
+        lambda x, i: F.concat(F.lit("item_"), (i + 1).cast("string"), F.lit("_"), head(x, width)),
     )
     names = F.regexp_extract_all(answer, F.lit("(?U)" + CAPITALS), F.lit(0))
     return F.array_sort(F.array_distinct(F.concat(items, names)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.rules import Rule, classify
 from scriptorium.functions.text import (
-    count_contained, let, mentions_any, sentences_plain, tokens, word_count, words,
+    count_contained, first, let, mentions_any, sentences_plain, tokens, word_count, words,
 )
 from scriptorium.functions.vectors import Embedder, bag_of_words, cosine
 from scriptorium.lexicons import CRITIQUE_TYPES
@@ -25,6 +25,10 @@ from scriptorium.lexicons import CRITIQUE_TYPES
 class Vocabulary:
     """Fixed values of the critique; replace any of them for another domain."""
 
+    #: Bounds on keywords of a text, claims of an answer and words of an aspect; none by default.
+    keywords: int | None = None
+    claims: int | None = None
+    aspect_words: int | None = None
     question_types: Sequence[Rule] = CRITIQUE_TYPES
     stop_words: Sequence[str] = (
         "que", "como", "qual", "onde", "quando", "por", "para", "com", "sem", "the", "and", "or", "but", "in", "on",
@@ -83,11 +87,11 @@ DEFAULT = Vocabulary()
 NAME_VALUE = r"([\p{L}\p{N}_]+)\s*[=:]\s*([\d.,]+)\s*([\p{L}\p{N}_]+)?"
 
 
-def _keywords(text: Column, v: Vocabulary, limit: int = 10) -> Column:
+def _keywords(text: Column, v: Vocabulary) -> Column:
     """Priority terms in their own order, then the other words in text order."""
     def ordered(found: Column) -> Column:
-        first = F.array_intersect(F.array(*map(F.lit, v.priority_terms)), found)
-        return F.slice(F.concat(first, F.array_except(found, first)), 1, limit)
+        known = F.array_intersect(F.array(*map(F.lit, v.priority_terms)), found)
+        return first(F.concat(known, F.array_except(found, known)), v.keywords)
 
     return let(F.array_distinct(F.filter(tokens(text, 3), lambda w: ~w.isin(*v.stop_words))), ordered)
 
@@ -113,11 +117,11 @@ def relevance(question: Column, answer: Column, v: Vocabulary = DEFAULT, embedde
     ))
 
 
-def claims(answer: Column, v: Vocabulary = DEFAULT, limit: int = 5) -> Column:
-    """First sentences with a factual indicator."""
-    return F.slice(F.filter(
+def claims(answer: Column, v: Vocabulary = DEFAULT) -> Column:
+    """Sentences with a factual indicator, the first ``v.claims`` if a number is given."""
+    return first(F.filter(
         sentences_plain(answer), lambda s: (F.length(s) >= 10) & mentions_any(s, v.claim_indicators)
-    ), 1, limit)
+    ), v.claims)
 
 
 def _claim_words(text: Column, v: Vocabulary) -> Column:
@@ -239,7 +243,7 @@ def aspects(question: Column, v: Vocabulary = DEFAULT) -> Column:
 
     parts = F.filter(F.transform(F.split(question, v.aspect_split), long_words), lambda k: F.size(k) > 0)
     chosen = F.when(several, parts).otherwise(F.array(long_words(question)))
-    return F.transform(chosen, lambda k: F.slice(k, 1, 5))
+    return F.transform(chosen, lambda k: first(k, v.aspect_words))
 
 
 def completeness(question: Column, answer: Column, v: Vocabulary = DEFAULT) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import first
 from scriptorium.scale import last_known
 
 
@@ -22,9 +23,9 @@ def canonical_key(prefix: str, arguments: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.md5(body))
 
 
-def answer_key(question: Column, contents: Column, top: int = 3) -> Column:
-    """Key of an answer: the question and the md5 of its best contents."""
-    return F.md5(F.concat_ws("|", question, F.md5(F.array_join(F.slice(contents, 1, top), "|"))))
+def answer_key(question: Column, contents: Column, top: int | None = None) -> Column:
+    """Key of an answer: the question and the md5 of its contents, the best ``top`` if a number is given."""
+    return F.md5(F.concat_ws("|", question, F.md5(F.array_join(first(contents, top), "|"))))
 
 
 def lookups(access: DataFrame, **options) -> DataFrame:

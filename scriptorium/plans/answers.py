@@ -225,8 +225,8 @@ def bibliography_year_doi(spark, sf_dir):
         F.col("text"),
     )
     rows = t.read_spread(spark, sf_dir, "documents").select("doc_id", text.alias("x"))
-    valid = F.when(validate.valid_year(bibliography.find_year(F.col("x"))), bibliography.find_year(F.col("x")))
-    return rows.select("doc_id", valid.alias("year"), bibliography.find_doi(F.col("x")).alias("doi"))
+    valid = F.when(validate.valid_year(bibliography.find_year(F.col("x"), 1000)), bibliography.find_year(F.col("x"), 1000))
+    return rows.select("doc_id", valid.alias("year"), bibliography.find_doi(F.col("x"), 3000).alias("doi"))
 
 
 def named_pages(spark, sf_dir):
@@ -242,17 +242,18 @@ def named_pages(spark, sf_dir):
 
 @query("bibliography_extraction")
 def bibliography_extraction(spark, sf_dir):
-    found = bibliography.extract_metadata(named_pages(spark, sf_dir))
+    found = bibliography.extract_metadata(named_pages(spark, sf_dir), **bibliography.BOUNDS)
     return found.withColumn("authors", F.array_join("authors", "|"))
 
 
 @query("bibliography_second_rules")
 def bibliography_second_rules(spark, sf_dir):
-    found = bibliography.reference_from_page(named_pages(spark, sf_dir).drop("info_title"))
+    found = bibliography.reference_from_page(named_pages(spark, sf_dir).drop("info_title"), limit=5)
     return found.withColumn("authors", F.array_join("authors", "|"))
 
 
 V = quality.Vocabulary(
+    keywords=10, claims=5, aspect_words=5,
     question_types=(
         rule("definition", ("is a", "des")), rule("process", ("with", "los")), rule("explanation", ("that", "nicht")),
         rule("selection", ("shall",)), rule("factual", ("for",)),

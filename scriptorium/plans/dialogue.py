@@ -68,7 +68,7 @@ def conversation_list_items(spark, sf_dir):
 @query("conversation_entities")
 def conversation_entities(spark, sf_dir):
     return talk(spark, sf_dir).select(
-        "conversation_id", "turn_no", F.array_join(conversations.entities(F.col("answer")), "|").alias("entities")
+        "conversation_id", "turn_no", F.array_join(conversations.entities(F.col("answer"), 30), "|").alias("entities")
     )
 
 

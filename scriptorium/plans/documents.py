@@ -469,4 +469,4 @@ TITLE_OK = (
 SELECT doc_id, regexp_replace(list_filter(list_transform(string_split(text, chr(10))[1:10], lambda x: {t.sql_strip('x')}), lambda x: {TITLE_OK})[1], '\\s+', ' ', 'g') AS title
 FROM documents""")
 def document_title(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", structure.title_from_lines(F.col("text")).alias("title"))
+    return documents(spark, sf_dir).select("doc_id", structure.title_from_lines(F.col("text"), 10).alias("title"))

@@ -53,7 +53,7 @@ def reuse_canonical_keys(spark, sf_dir):
 SELECT response_id, md5(question || '|' || md5(array_to_string(sources[1:3], '|'))) AS answer_key FROM responses JOIN source_lists USING (response_id)""")
 def reuse_answer_keys(spark, sf_dir):
     return t.responses(spark, sf_dir).select(
-        "response_id", reuse.answer_key(F.col("question"), F.col("sources.content")).alias("answer_key")
+        "response_id", reuse.answer_key(F.col("question"), F.col("sources.content"), 3).alias("answer_key")
     )
 
 
@@ -168,7 +168,7 @@ def routed(spark, sf_dir):
         "response_id", "answer", F.get("sources", F.lit(0))["score"].alias("confidence"), (F.col("turn_no") + 1).cast("int").alias("n_sources")
     )
     generated = rows.where(c % 5 != 1).select("response_id", F.col("question").alias("answer"))
-    return oplog.route_answers(kinds, retrieved, generated)
+    return oplog.route_answers(kinds, retrieved, generated, extra_chars=200, blend_chars=150)
 
 
 @query("answer_routing", "WITH" + ROUTED + "SELECT response_id, generation_mode, md5(answer) AS answer_md5, confidence, total_sources FROM routed")
