@@ -306,7 +306,35 @@ def chunk_training_sentences(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(packed).alias("chunk_index", "content"))
 
 
-@query("chunk_recursive")
+def recursive_sql(text: str, size: int, overlap: int, separators=("\n\n", "\n", ". ", " ", ""), d: int = 0) -> str:
+    """The chunks of ``text``: a fold per separator, each inside the branch of the pieces that are still too long."""
+    def filled(x: str) -> str:
+        return f"list_filter([regexp_replace({x}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')], lambda f{d}: f{d} <> '')"
+
+    if separators[d] == "":
+        step = size - overlap
+        count = f"CAST(ceil(greatest(0, len({text}) - {size}) / {step}) AS BIGINT) + 1"
+        return f"flatten(list_transform(range({count}), lambda i{d}: {filled(f'substr({text}, i{d} * {step} + 1, {size})')}))"
+    sep = q.quote(separators[d])
+    parts = f"list_transform(string_split({text}, {sep}), lambda p{d}, n{d}: CASE WHEN n{d} > 1 THEN {sep} || p{d} ELSE p{d} END)"
+    pieces = f"list_filter({parts}, lambda e{d}: e{d} <> '')"
+    state = "STRUCT(done VARCHAR[], held VARCHAR[], total BIGINT)"
+    s, x = f"s{d}", f"x{d}"
+    close = lambda s: f"list_concat({s}.done, {filled(f"array_to_string({s}.held, '')")})"
+    # of all suffixes of the held pieces, the longest within the limit
+    suffixes = f"list_transform(range(len({s}.held) + 1), lambda k{d}: {s}.held[k{d} + 1:])"
+    kept = f"list_filter({suffixes}, lambda h{d}: len(array_to_string(h{d}, '')) <= least({overlap}, {size} - len({x})))[1]"
+    full = f"{s}.total + len({x}) > {size} AND len({s}.held) > 0"
+    deeper = recursive_sql(x, size, overlap, separators, d + 1)
+    return f"""list_transform([list_reduce({pieces}, lambda {s}, {x}: CASE
+  WHEN len({x}) >= {size} THEN CAST({{'done': list_concat({close(s)}, {deeper}), 'held': [], 'total': 0}} AS {state})
+  WHEN {full} THEN CAST({{'done': {close(s)}, 'held': list_append({kept}, {x}), 'total': len(array_to_string({kept}, '')) + len({x})}} AS {state})
+  ELSE CAST({{'done': {s}.done, 'held': list_append({s}.held, {x}), 'total': {s}.total + len({x})}} AS {state}) END,
+  CAST({{'done': [], 'held': [], 'total': 0}} AS {state}))], lambda r{d}: {close(f"r{d}")})[1]"""
+
+
+@query("chunk_recursive", "SELECT doc_id, unnest(range(len(c))) AS chunk_index, unnest(c) AS content FROM (SELECT doc_id, "
+       + recursive_sql("coalesce(text, '')", 400, 50) + " AS c FROM documents)")
 def chunk_recursive(spark, sf_dir):
     split = chunking.recursive_split(size=400, overlap=50)
     return documents(spark, sf_dir).select("doc_id", F.posexplode(split("text")).alias("chunk_index", "content"))

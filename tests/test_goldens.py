@@ -1,5 +1,7 @@
 """Hand-written expectations for the routines SQL cannot check."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,40 @@ def test_recursive_split(spark, size, overlap):
     assert one(spark, "", chunking.recursive_split(size, overlap)) == []
 
 
+def plain_recursive(text, size, overlap, seps=("\n\n", "\n", ". ", " ", "")):
+    """The splitter as a plain recursion, by the rule of its docstring."""
+    def joined(pieces):
+        out, held = [], []
+        for p in pieces:
+            if held and len("".join(held)) + len(p) > size:
+                out.append("".join(held))
+                while held and (len("".join(held)) > overlap or len("".join(held)) + len(p) > size):
+                    held.pop(0)
+            held.append(p)
+        return [o.strip(" \t\n\x0b\f\r") for o in [*out, "".join(held)] if o.strip(" \t\n\x0b\f\r")]
+
+    sep, *rest = next((seps[i:] for i, s in enumerate(seps) if s in text))
+    parts = text.split(sep) if sep else list(text)
+    pieces = [p for p in [parts[0], *(sep + p for p in parts[1:])] if p] if parts else []
+    out, run = [], []
+    for p in pieces:
+        if len(p) < size:
+            run.append(p)
+        else:
+            out, run = out + joined(run) + plain_recursive(p, size, overlap, rest), []
+    return out + joined(run)
+
+
+def test_recursive_split_against_recursion(spark):
+    rng = random.Random(7)
+    pool = ["\n", "\n\n", ". ", " ", "a", "bc", "d" * 9, "é", "😀", "x" * 45, ".", "\t"]
+    texts = ["", "\n\n\n", "y" * 1000, *("".join(rng.choice(pool) for _ in range(rng.randint(0, 120))) for _ in range(150))]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for size, overlap in ((20, 5), (12, 0), (40, 39), (300, 30)):
+        for r in df.select("t", chunking.recursive_split(size, overlap)("t").alias("got")).collect():
+            assert r.got == plain_recursive(r.t or "", size, overlap), (r.t, size, overlap)
+
+
 def test_pack_paragraphs(spark):
     text = "aaa aaa\n\nbbb bbb\n\n" + "Um dois tres. Quatro cinco seis. Sete oito nove."
     parts = one(spark, text, lambda c: chunking.pack_paragraphs(c, 20, overlap_words=2))

@@ -27,7 +27,7 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 
 def test_text_operators_stay_in_the_jvm_without_shuffle(spark):
     for name in (
-        "text_clean", "label_priority_section", "document_sections", "sentences_guarded", "chunk_paragraphs",
+        "text_clean", "label_priority_section", "document_sections", "sentences_guarded", "chunk_paragraphs", "chunk_recursive",
         "chunk_keywords", "training_instructions", "acronym_detection",
     ):
         text = plan(QUERIES[name](spark, SF_DIR))
