@@ -65,7 +65,14 @@ def conversation_list_items(spark, sf_dir):
     return talk(spark, sf_dir).select("conversation_id", "turn_no", F.inline(conversations.list_items(F.col("answer"))))
 
 
-@query("conversation_entities")
+# other letters than A-Z become an underscore and other marks a dot, so that word boundaries mean the same in both engines
+ASCII = "regexp_replace(regexp_replace(answer, '[^\\x00-\\x7F\\p{L}\\p{M}\\p{N}\\p{Pc}]', '.', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+
+
+@query("conversation_entities", "WITH" + TALK + f"""
+SELECT conversation_id, turn_no, array_to_string(list_sort(list_distinct(list_concat(
+  list_transform(regexp_extract_all(answer, '\\d+\\.\\s+([^\\n]+)', 1), lambda x, i: 'item_' || i || '_' || substr(x, 1, 30)),
+  regexp_extract_all({ASCII}, {q.quote(conversations.CAPITALS)}, 0)))), '|') AS entities FROM talk""")
 def conversation_entities(spark, sf_dir):
     return talk(spark, sf_dir).select(
         "conversation_id", "turn_no", F.array_join(conversations.entities(F.col("answer"), 30), "|").alias("entities")

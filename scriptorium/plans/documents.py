@@ -46,7 +46,22 @@ def text_clean_spacing(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(cleaning.strip(spaced)).alias("clean_md5"))
 
 
-@query("text_clean")
+WORD = r"\p{L}\p{M}\p{N}\p{Pc}"
+
+
+def clean_sql(text: str) -> str:
+    """The whole chain for texts without wrongly read bytes, in patterns that need neither look-ahead nor Unicode classes."""
+    allowed, _, opened, closed = cleaning.final_steps()
+    symbols = lex.ALLOWED_SYMBOLS
+    kept = (rf"[^{WORD}\s\p{{Z}}\x{{00C0}}-\x{{017F}}{symbols}]", allowed[1])
+    # a removal shows the next single letter its capital, so passes are repeated; each halves a row of such letters
+    lone = (rf"(^|[^{WORD}])[a-zA-Z][\s\p{{Z}}]+([A-Z])", "$1$2")
+    fixes = [(f"(?i){wrong}", right) for wrong, right in lex.CORRECTIONS]
+    steps = cleaning.spacing_steps() + fixes + cleaning.operator_steps() + [kept] + [lone] * 8 + [opened, closed]
+    return t.sql_strip(q.replace_chain(f"coalesce({text}, '')", steps))
+
+
+@query("text_clean", f"SELECT doc_id, {clean_sql('text')} AS clean_text FROM documents")
 def text_clean(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", cleaning.clean(F.col("text")).alias("clean_text"))
 
@@ -270,13 +285,18 @@ FITS = f"length(open) + length(u) <= {SIZE}"
 HAS_OPEN = f"{t.sql_strip('open')} <> ''"
 
 
-@query("chunk_paragraphs", fold_sql(
-    PAGES, PARAGRAPH_UNITS, "doc_id, page",
-    f"CASE WHEN {FITS} THEN open || {UNIT_TEXT} WHEN sentence AND {HAS_OPEN} THEN array_to_string({t.sql_words('open')}[-20:], ' ')"
-    f" || ' ' || {UNIT_TEXT} ELSE {UNIT_TEXT} END",
-    f"CASE WHEN NOT ({FITS}) AND {HAS_OPEN} THEN {t.sql_strip('open')} END",
-    "CASE WHEN sentence THEN 'sentence_split' ELSE 'paragraph_based' END", "'last'",
-))
+def paragraph_sql(pages: str) -> str:
+    """Packed paragraphs of ``page_texts``, which ``pages`` defines."""
+    return fold_sql(
+        pages, PARAGRAPH_UNITS, "doc_id, page",
+        f"CASE WHEN {FITS} THEN open || {UNIT_TEXT} WHEN sentence AND {HAS_OPEN} THEN array_to_string({t.sql_words('open')}[-20:], ' ')"
+        f" || ' ' || {UNIT_TEXT} ELSE {UNIT_TEXT} END",
+        f"CASE WHEN NOT ({FITS}) AND {HAS_OPEN} THEN {t.sql_strip('open')} END",
+        "CASE WHEN sentence THEN 'sentence_split' ELSE 'paragraph_based' END", "'last'",
+    )
+
+
+@query("chunk_paragraphs", paragraph_sql(PAGES))
 def chunk_paragraphs(spark, sf_dir):
     packed = chunking.pack_paragraphs(F.col("content"), size=SIZE, separator="\n")
     return page_texts(spark, sf_dir).select("doc_id", "page", F.posexplode(packed).alias("chunk_index", "c")).select(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import feedback
 from scriptorium.plans import tables as t
 from scriptorium.plans.dialogue import PATTERNS, PERFORMANCE, RATED, rated, with_utc
+from scriptorium.plans.documents import clean_sql, paragraph_sql
 from scriptorium.plans.operations import log
 from scriptorium.plans.registry import query
 from scriptorium.session import new_folder
@@ -71,7 +72,9 @@ def stream_embed_once(spark, sf_dir):
     return done.select("text_md5", counts.alias("counts"))
 
 
-@query("stream_index")
+@query("stream_index", f"""
+SELECT md5(concat_ws('_', CAST(doc_id AS VARCHAR), CAST(chunk_index AS VARCHAR), substr(md5(content), 1, 8))) AS chunk_id, doc_id, source, chunk_index, content
+FROM ({paragraph_sql(f"page_texts AS (SELECT doc_id, 1 AS page, {clean_sql('text')} AS content FROM documents)")}) JOIN documents USING (doc_id)""")
 def stream_index(spark, sf_dir):
     at = new_folder(spark)
     documents = stream(spark, sf_dir, "documents").select("doc_id", "source", "text")
