@@ -7,9 +7,11 @@ most of the stream stays cheap.  Results land in tables keyed by batch, so a bat
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from scriptorium.functions.cleaning import clean
 from scriptorium.functions.vectors import Embedder, bag_of_words
@@ -47,15 +49,18 @@ def running_ratings(rated: DataFrame) -> DataFrame:
     return performance_sums(rated)
 
 
-def update_patterns(candidates: DataFrame, path: str, checkpoint: str):
+def update_patterns(candidates: DataFrame, path: str, checkpoint: str, buckets: int = 64):
     """Pattern state per batch: the batch's candidates composed in (ts, id) order after the last state.
 
-    State tables are ``path/batch=N``; the newest is the current one.
+    State lies in buckets of pattern ids.  A batch reads and writes only the buckets of its own candidates, as
+    ``path/batch=N/bucket=B``, so its cost follows its rows and the touched buckets, not all patterns ever seen; a
+    bucket's newest batch is current.  Running a batch again replaces what it wrote.
     """
     def apply(batch: DataFrame, batch_no: int) -> None:
         spark = batch.sparkSession
-        state = _state_before(spark, path, batch_no)
         numbered = number_rows(batch, ["pattern_id"], [F.col("ts"), F.col("feedback_id")], "no")
+        touched = _bucket(numbered, buckets).select("bucket").distinct()
+        state = _state_before(spark, path, batch_no, [r.bucket for r in touched.collect()])
         if state is None:
             placed = numbered.withColumn("offset", F.lit(0))
         else:
@@ -70,26 +75,55 @@ def update_patterns(candidates: DataFrame, path: str, checkpoint: str):
                 F.when(F.col("old").isNull(), F.col("step")).when(F.col("step").isNull(), F.col("old"))
                 .otherwise(then(F.col("old"), F.col("step"))).alias("step"),
             )
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_no}")
+        _bucket(fresh, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_no}")
 
     return candidates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
-def _state_before(spark: SparkSession, path: str, batch_no: int) -> DataFrame | None:
-    """None for the first batch; a later one without its predecessor's state would forget all patterns, so it fails."""
+def _bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("pattern_id"), F.lit(buckets)).cast("int"))
+
+
+def _state_before(spark: SparkSession, path: str, batch_no: int, touched: list[int] | None = None) -> DataFrame | None:
+    """The state that ``batch_no`` goes on from, of the touched buckets if given; none for the first batch.
+
+    A later batch without its predecessor's folder would forget patterns, so it fails.  Which batch of a bucket is the
+    newest is read from the names of the folders; folders of other buckets are not opened.
+    """
     if batch_no == 0:
         return None
-    state = read_index(spark, f"{path}/batch={batch_no - 1}")
-    if state is None:
+    if not _stored(spark, f"{path}/batch={batch_no - 1}")[0]:
         raise ValueError(f"the state of batch {batch_no - 1} is missing under {path}")
-    return state
+    every = _stored(spark, path)[1]
+    if every is None:
+        return None
+    every = every.where(F.col("batch") < batch_no)
+    if touched is not None:
+        every = every.where(F.col("bucket").isin(touched))
+    return _newest(every)
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[bool, DataFrame | None]:
+    """Whether the folder is there, and its rows; a batch without candidates leaves a folder without files."""
+    try:
+        rows = read_index(spark, path)
+        return rows is not None, rows
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return True, None
+
+
+def _newest(every: DataFrame) -> DataFrame:
+    """The rows of each bucket's last batch; buckets and batches are partitions of the table, so they are few."""
+    last = [(r.bucket, r.batch) for r in every.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()]
+    wanted = reduce(lambda a, b: a | b, [(F.col("bucket") == k) & (F.col("batch") == n) for k, n in last], F.lit(False))
+    return every.where(wanted).drop("batch", "bucket")
 
 
 def last_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """The newest state table."""
-    every = spark.read.parquet(path)
-    newest = every.agg(F.max("batch")).first()[0]
-    return every.where(F.col("batch") == newest).drop("batch")
+    """The current state: the newest batch of every bucket."""
+    return _newest(spark.read.parquet(path))
 
 
 def closing_sessions(turns: DataFrame, idle: str = "24 hours", lateness: str = LATENESS) -> DataFrame:

@@ -51,6 +51,31 @@ def test_patterns_in_batches(spark, events_dir, tmp_path):
         assert got[r.pattern_id].number == pytest.approx(r.number, abs=1e-4)
 
 
+def test_a_batch_writes_only_the_buckets_of_its_patterns(spark, tmp_path):
+    candidates = feedback.pattern_candidates(rated(spark, SF_DIR)).persist()
+    one = candidates.select("pattern_id").orderBy("pattern_id").first().pattern_id
+    first, second = candidates, candidates.where(F.col("pattern_id") == one).withColumn("feedback_id", F.col("feedback_id") + 10**9)
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(candidates.schema).parquet(f"{tmp_path}/in")
+        jobs.update_patterns(stream, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.parquet(f"{tmp_path}/out")
+    assert written.where("batch = 0").select("bucket").distinct().count() > 1
+    assert written.where("batch = 1").select("bucket").distinct().count() == 1
+    out = {r.pattern_id: r.support_count for r in feedback.pattern_rows(jobs.last_patterns(spark, f"{tmp_path}/out")).collect()}
+    counts = {r.pattern_id: r["count"] for r in candidates.groupBy("pattern_id").count().collect()}
+    assert out == {k: v * (2 if k == one else 1) for k, v in counts.items()}
+    # a batch without candidates keeps all patterns
+    candidates.where("false").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(candidates.schema).parquet(f"{tmp_path}/in")
+    jobs.update_patterns(stream, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert jobs.last_patterns(spark, f"{tmp_path}/out").count() == len(counts)
+    assert jobs._state_before(spark, f"{tmp_path}/out", 3).count() == len(counts)
+    # a batch that is run again starts from the state before it
+    again = jobs._state_before(spark, f"{tmp_path}/out", 1)
+    assert {r.pattern_id: r.support_count for r in feedback.pattern_rows(again).collect()} == counts
+
+
 def test_index_again_adds_nothing(spark, tmp_path):
     docs = read(spark, SF_DIR, "documents")
     docs.limit(40).coalesce(1).write.parquet(f"{tmp_path}/in")
