@@ -87,8 +87,9 @@ def _bucket(rows: DataFrame, buckets: int) -> DataFrame:
 def _state_before(spark: SparkSession, path: str, batch_no: int, touched: list[int] | None = None) -> DataFrame | None:
     """The state that ``batch_no`` goes on from, of the touched buckets if given; none for the first batch.
 
-    A later batch without its predecessor's folder would forget patterns, so it fails.  Which batch of a bucket is the
-    newest is read from the names of the folders; folders of other buckets are not opened.
+    A later batch without its predecessor's folder would forget patterns, so it fails.  The newest batch of a bucket
+    is found from partition values alone: no column is read, but all folders are listed and footers of earlier batches of
+    the touched buckets opened.  Old batches stay until the user removes them.
     """
     if batch_no == 0:
         return None
