@@ -14,9 +14,12 @@ from scriptorium.streaming import jobs
 
 
 def stream(spark, sf_dir, name: str):
-    """A table of the directory as a file stream."""
+    """A table of the directory as a file stream, be it one file or a folder of parts.
+
+    As a pattern the path may name either: a plain one is taken as a folder's, which a single file isn't.
+    """
     schema = t.read(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def event_stream(spark, sf_dir):
