@@ -42,12 +42,12 @@ def find_doi(text: Column, chars: int | None = None) -> Column:
     return F.when(found != "", F.regexp_replace(found, r"[.,;)]+$", ""))
 
 
-def find_year(text: Column, chars: int | None = None) -> Column:
-    """Latest plausible year, in the first ``chars`` characters if given."""
+def find_year(text: Column, chars: int | None = None, latest: int | None = YEAR_MAX) -> Column:
+    """Latest plausible year, up to ``latest`` if given, in the first ``chars`` characters if given."""
     years = F.transform(
         F.regexp_extract_all(head(text, chars), F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")
     )
-    return F.array_max(F.filter(years, lambda y: y.between(YEAR_MIN, YEAR_MAX)))
+    return F.array_max(F.filter(years, lambda y: (y >= YEAR_MIN) & (F.lit(True) if latest is None else y <= latest)))
 
 
 def find_title(text: Column, lines: int | None = None) -> Column:
