@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import first, head, strip, words
+from scriptorium.functions.text import contains_any, first, head, let, strip, words
 from scriptorium.operators.validate import YEAR_MAX, YEAR_MIN, name_token, valid_author, valid_field
 from scriptorium.scale import small_side
 
@@ -29,9 +29,11 @@ AUTHOR_PATTERNS = (
     r"([A-Z][a-z]+,?\s+[A-Z]\.(?:\s+[A-Z]\.)*)",
     r"([A-Z][a-z]+\s+[A-Z]\.\s+[A-Z][a-z]+)",
 )
+# The last one starts only where a run of its letters does, as its first match always would; from every letter it takes
+# the square of a run's length.
 JOURNAL_PATTERNS = (
     r"(?:published\s+in|journal\s+of|proceedings\s+of)\s+([A-Za-z\s&]+)", r"(Journal\s+of\s+[A-Za-z\s&]+)",
-    r"(Proceedings\s+of\s+[A-Za-z\s&]+)", r"([A-Za-z\s&]+\s+Journal)",
+    r"(Proceedings\s+of\s+[A-Za-z\s&]+)", r"((?<![A-Za-z\s&])[A-Za-z\s&]+\s+Journal)",
 )
 UNKNOWN_AUTHOR = "Autor não identificado"
 
@@ -159,14 +161,13 @@ def clean_name(name: Column) -> Column:
 
 
 def document_type(text: Column, filename: Column) -> Column:
-    low = F.lower(F.concat(text, F.lit(" "), filename))
-    case = F.lit("article")
-    for name, found in reversed(DOCUMENT_TYPES):
-        test = F.lit(False)
-        for w in found:
-            test = test | low.contains(w)
-        case = F.when(test, name).otherwise(case)
-    return case
+    def named(low: Column) -> Column:
+        case = F.lit("article")
+        for name, found in reversed(DOCUMENT_TYPES):
+            case = F.when(contains_any(low, found), name).otherwise(case)
+        return case
+
+    return let(F.lower(F.concat(text, F.lit(" "), filename)), named)
 
 
 def reference_from_page(documents: DataFrame, current_year: int = YEAR_MAX, limit: int | None = None) -> DataFrame:
@@ -191,9 +192,9 @@ def reference_from_page(documents: DataFrame, current_year: int = YEAR_MAX, limi
     years = F.transform(F.regexp_extract_all(x, F.lit(r"(\d{4})"), F.lit(1)), lambda y: y.cast("int"))
     return page.select(
         "doc_id", "filename",
-        F.when(F.size(authors) > 0, authors).otherwise(inferred).alias("authors"),
+        let(authors, lambda a: F.when(F.size(a) > 0, a).otherwise(inferred)).alias("authors"),
         F.coalesce(titled, from_name).alias("title"),
-        F.coalesce(*[F.when(j != "", strip(j)) for j in journals]).alias("journal"),
+        F.coalesce(*[let(j, lambda v: F.when(v != "", strip(v))) for j in journals]).alias("journal"),
         F.array_max(F.filter(years, lambda y: y.between(1900, current_year))).alias("year"),
         document_type(x, F.col("filename")).alias("type"),
     )

@@ -3,6 +3,7 @@
 import math
 import re
 import sys
+import time
 import unicodedata
 
 import duckdb
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import cleaning, vectors
-from scriptorium.operators import search
+from scriptorium.operators import bibliography, search
 from scriptorium.plans import catalogue
 
 
@@ -100,3 +101,17 @@ def test_equal_rows_and_zero_queries(spark):
 def test_equal_vectors_are_compared_once():
     v, spans, ids = search.distinct_rows(np.array([[1.0, 2], [0, 1], [1, 2], [1, 2]]), np.array(list("dcba"), dtype=object), 2)
     assert sorted((v[i].tolist(), ids[spans[i] : spans[i + 1]].tolist()) for i in range(len(v))) == [([0.0, 1.0], ["c"]), ([1.0, 2.0], ["a", "b"])]
+
+
+PUBLISHED = ["Physics & Optics Journal", "a. The  New Journal of Things Journal, x", " Journal", "x Journal", "1 Journal of", "no", "A B\nJournal; C Journal"]
+
+
+def test_journal_names_from_the_starts_of_runs(spark):
+    """The same names as a search from every letter; a page of one long run takes time in proportion."""
+    old, new = r"(?iu)([A-Za-z\s&]+\s+Journal)", "(?iu)" + bibliography.JOURNAL_PATTERNS[3]
+    rows = spark.createDataFrame([(x,) for x in PUBLISHED], "t string")
+    both = rows.select(F.regexp_extract("t", old, 1).alias("a"), F.regexp_extract("t", new, 1).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both]
+    start = time.monotonic()
+    assert spark.range(1).select(F.regexp_extract(F.repeat(F.lit("word "), 40_000), new, 1).alias("x")).first().x == ""
+    assert time.monotonic() - start < 20
