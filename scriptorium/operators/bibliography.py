@@ -25,7 +25,7 @@ DOCUMENT_TYPES = (
     ("conference", ("conferência", "conference", "simpósio", "symposium", "congresso")),
 )
 AUTHOR_PATTERNS = (
-    r"(?:by|author[s]?:?\s*)\s*([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)",
+    r"(?:by|author[s]?:?\s*)\s*([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+)",
     r"([A-Z][a-z]+,?\s+[A-Z]\.(?:\s+[A-Z]\.)*)",
     r"([A-Z][a-z]+\s+[A-Z]\.\s+[A-Z][a-z]+)",
 )

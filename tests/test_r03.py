@@ -115,3 +115,11 @@ def test_journal_names_from_the_starts_of_runs(spark):
     start = time.monotonic()
     assert spark.range(1).select(F.regexp_extract(F.repeat(F.lit("word "), 40_000), new, 1).alias("x")).first().x == ""
     assert time.monotonic() - start < 20
+
+
+def test_long_runs_of_names(spark):
+    """A run of many words after 'by' is taken without a call per word."""
+    pattern = F.lit("(?iu)" + bibliography.AUTHOR_PATTERNS[0])
+    text = F.concat(F.lit("by"), F.repeat(F.lit(" word"), 40_000), F.lit(". by Ann Lee, x"))
+    found = spark.range(1).select(F.regexp_extract_all(text, pattern, F.lit(1)).alias("x")).first().x
+    assert [len(x) for x in found] == [40_000 * 5 - 1, 7]
