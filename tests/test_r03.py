@@ -122,6 +122,15 @@ def test_equal_rows_and_zero_queries(spark):
     assert found == {1: best([1, 2, 0]), 2: best([0, 0, 0]), 3: best([0, 0, 5])}
 
 
+@pytest.mark.parametrize("asked,rows", [(1, 1), (3, 515), (7, 1029), (512, 1024)])
+def test_pairs_at_or_above_a_bound(asked, rows):
+    rng = np.random.default_rng(rows)
+    q, v = (rng.integers(-2, 3, (n, 4)).astype(np.float32) for n in (asked, rows))
+    least = rng.integers(-4, 20, asked).astype(np.float32)
+    for a, b in zip(search.near_pairs(q, v, least), np.nonzero(q @ v.T >= least[:, None]), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_equal_vectors_are_compared_once():
     v, spans, ids = search.distinct_rows(np.array([[1.0, 2], [0, 1], [1, 2], [1, 2]]), np.array(list("dcba"), dtype=object), 2)
     assert sorted((v[i].tolist(), ids[spans[i] : spans[i + 1]].tolist()) for i in range(len(v))) == [([0.0, 1.0], ["c"]), ([1.0, 2.0], ["a", "b"])]
