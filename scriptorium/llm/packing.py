@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
+import struct
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,18 @@ from scriptorium.llm.bytesets import process_cache
 CAPACITY, END_ID = 4096, 2
 #: Cost of attention against that of everything linear, per token and token.
 QUADRATIC = 1 / 4096
-#: Tokens packed together, and words kept encoded per worker: both bound memory only.
-WINDOW, CACHE = 1 << 20, 250_000
+#: Tokens packed together, and words, and runs of letters or marks, kept encoded per worker: all bound memory only.
+WINDOW, CACHE, PARTS_KEPT = 1 << 20, 250_000, 1_000_000
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Words whose parts before the tokenizer are known: letters, then perhaps a run of marks.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:;=-@\[-`{-~]*")
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "".join(c for c in string.punctuation if c not in "'<")
+PLAIN, PARTS = (re.compile(f"{LETTERS}{some}[{re.escape(MARKS)}]*") for some in "+*")
+#: The letter a byte is to a byte-level vocabulary: itself where it is printed, else one of those from 256 on.
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(PRINTED)))}
+PROBES = ["word", "Words", "élève", "ÀÿßØ", "internationalisation", ".", "...", "!?%$", "_", "~`"]
 
 
 class Encoder:
@@ -43,11 +51,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known, self.older = {"": b""}, {}  # words of late, and those known before them
+        self.parts = {"": b""}  # runs of letters or marks
         self.caseless = len({tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in ("WORD", "word")}) == 1
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        # a part's ids are those the model alone gives, if it does so for all kinds of letters and no special token is one
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = self.caseless and not any(map(PARTS.fullmatch, special)) and all(
+            np.frombuffer(self.part(w), "<u4").tolist() == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES
+        )
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [self.lower(t).replace("\n", " ").split(" ") for t in texts]
@@ -70,17 +82,23 @@ class Encoder:
             return text
         return text.lower()
 
+    def part(self, run: str) -> bytes:
+        """Ids of letters or marks that the tokenizer doesn't cut before the model."""
+        run = run.lower()
+        found = self.model.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(BYTE_LETTERS))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
     def learn(self, words: list[str]) -> None:
-        """Encode new words: plain ones together, cut apart where their letters and marks end; other words alone."""
-        plain = list(filter(PLAIN.fullmatch, words)) if self.caseless and self.ends.any() else []
-        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for group, x in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(x.ids, "<u4")
-            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            parts = np.cumsum(2 - np.fromiter(map(str.isalpha, group), np.int64, len(group)))  # letters, and marks if there are any
-            if parts[-1] == len(stops):
-                raw, cut = ids.tobytes(), stops[parts - 1].tolist()
-                self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *cut], cut)]))
+        """Encode new words: plain ones by the model, letters and marks apart, as words often differ in marks alone; others whole."""
+        plain = list(filter(PLAIN.fullmatch, words)) if self.plain else []
+        letters = [w.rstrip(MARKS) for w in plain]
+        marks = [w[len(run) :] for w, run in zip(plain, letters)]
+        if len(self.parts) > PARTS_KEPT:
+            self.parts = {"": b""}
+        for run in set(letters).union(marks).difference(self.parts):
+            self.parts[run] = self.part(run)
+        get = self.parts.__getitem__
+        self.known.update(zip(plain, map(add, map(get, letters), map(get, marks))))
         rest = [w for w in words if w not in self.known]
         for w, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[w] = np.array(x.ids, "<u4").tobytes()

@@ -28,6 +28,16 @@ def test_words_give_the_ids_of_the_text(tokenizer):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_that_differ_in_marks_alone_are_encoded_once(tokenizer, monkeypatch):
+    held = packing.Encoder(tokenizer_path())
+    seen, part = [], held.part
+    monkeypatch.setattr(held, "part", lambda run: seen.append(run) or part(run))
+    texts = ["Élevé élevé, élevé.... élevé!? elevé_ straße straße, ÿ À.", "élevé, x<|endoftext|> l'eau ª µ. a<b ...", "elevé! ÿ!?"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in held.ids(texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert held.plain and len(seen) == len(set(seen)) and {"élevé", "elevé", "straße"} <= set(seen)
+
+
 def test_pack_keeps_every_id_and_fills_sequences(spark, tokenizer):
     docs = spark.createDataFrame([(d, t, "clash") for d, t in TEXTS], "doc_id long, text string, sequence_id string")
     rows = packing.pack(docs.repartition(2), tokenizer_path(), window=20_000, with_ids=True).collect()
