@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import cleaning, vectors
-from scriptorium.operators import bibliography, search
+from scriptorium.operators import bibliography, chunking, search
 from scriptorium.plans import catalogue
 
 
@@ -90,6 +90,15 @@ def test_embedding_of_any_bytes():
             assert counts == (None if text is None else want)
 
 
+def test_likeness_of_neighbours_in_batches(spark):
+    """Texts of an array and the next one, with arrays of none and one, by batches as by expression."""
+    rows = spark.createDataFrame([([],), (["A b"],), (["a b", "B é", "", "é b b"],), (None,), (["x y", "y"],)], "s array<string>")
+    both = rows.select(
+        vectors.bag_of_words_neighbours(F.col("s")).alias("a"), chunking._cosines(F.transform("s", vectors.bag_of_words)).alias("b"),
+    ).collect()
+    assert [r.a for r in both] == [r.b for r in both] and both[2].a[1:] == [0.0, 0.0]
+
+
 def test_first_bytes_of_digests():
     words = [b"x" * n for n in range(130)] + [b"", "日本".encode()]
     got = vectors.first_digest_bytes(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
