@@ -165,3 +165,18 @@ def test_long_runs_of_names(spark):
     text = F.concat(F.lit("by"), F.repeat(F.lit(" word"), 40_000), F.lit(". by Ann Lee, x"))
     found = spark.range(1).select(F.regexp_extract_all(text, pattern, F.lit(1)).alias("x")).first().x
     assert [len(x) for x in found] == [40_000 * 5 - 1, 7]
+
+
+def test_citations_of_a_segment_are_found_once(spark):
+    """Every use of the citations, their mean and their type repeated the patterns and the comparison of vectors."""
+    from scriptorium.operators import citations
+
+    rows = spark.createDataFrame(
+        [("1", "Segundo src1, that is. Plain words follow here", [("a", "src1", 1, "plain words follow here", 0.5)]), ("2", "", [])],
+        "response_id string, answer string, sources array<struct<source_id:string,name:string,page:int,content:string,score:double>>",
+    )
+    found = citations.track(rows, 0.6, embedder=vectors.bag_of_words_batches)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(citations.EXPLICIT_PATTERNS)
+    assert [(r.segment_no, r.citation_type, r.confidence) for r in found.orderBy("segment_no").collect()] == [
+        (0, "direct", 0.95), (1, "paraphrase", 1.0)]
