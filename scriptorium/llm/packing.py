@@ -31,7 +31,7 @@ CAPACITY, END_ID = 4096, 2
 #: Cost of attention against that of everything linear, per token and token.
 QUADRATIC = 1 / 4096
 #: Tokens packed together, and words, and runs of letters or marks, kept encoded per worker: all bound memory only.
-WINDOW, CACHE, PARTS_KEPT = 1 << 20, 250_000, 1_000_000
+WINDOW, CACHE, PARTS_KEPT = 1 << 20, 250_000, 400_000
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -53,7 +53,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known, self.older = {"": b""}, {}  # words of late, and those known before them
-        self.parts = {"": b""}  # runs of letters or marks
+        self.parts, self.older_parts = {"": b""}, {}  # runs of letters or marks, likewise
         self.caseless = len({tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in ("WORD", "word")}) == 1
         # a part's ids are those the model alone gives, if it does so for all kinds of letters and no special token is one
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -93,10 +93,11 @@ class Encoder:
         plain = list(filter(PLAIN.fullmatch, words)) if self.plain else []
         letters = [w.rstrip(MARKS) for w in plain]
         marks = [w[len(run) :] for w, run in zip(plain, letters)]
-        if len(self.parts) > PARTS_KEPT:
-            self.parts = {"": b""}
+        if len(self.parts) > PARTS_KEPT // 2:
+            self.older_parts, self.parts = self.parts, {"": b""}
+        older = self.older_parts.get
         for run in set(letters).union(marks).difference(self.parts):
-            self.parts[run] = self.part(run)
+            self.parts[run] = older(run) or self.part(run)
         get = self.parts.__getitem__
         self.known.update(zip(plain, map(add, map(get, letters), map(get, marks))))
         rest = [w for w in words if w not in self.known]

@@ -114,8 +114,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.5,
     body, offsets = bytesets.utf8(pa.array(texts, pa.string()))
     doc, _, _, hashes = tokens(body, offsets)
     toxic_docs, clean_docs = int(label.sum()), int((~label).sum())
-    keys, feats = np.unique(hashes, return_inverse=True)
-    feats, size = feats.astype(np.int32).reshape(hashes.shape), len(keys)
+    # a column at a time: the driver holds no sorted copy of all hashes
+    keys = np.unique(np.concatenate([np.unique(hashes[:, k]) for k in range(hashes.shape[1])]))
+    feats, size = np.empty(hashes.shape, np.int32), len(keys)
+    for k in range(hashes.shape[1]):
+        feats[:, k] = np.searchsorted(keys, hashes[:, k])
     model = Model(keys[:0], np.zeros(0), -4.0, np.array([[0.98, 0.02], [0.5, 0.5]]), toxic_docs / max(1, len(texts)) / 10)
     if not toxic_docs or not len(doc):
         return model
@@ -224,14 +227,15 @@ def tag(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     rows each get their result; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    # the text goes to the worker once, inside its row
+    src, at = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), docs.columns.index(text)
     schema = StructType([src.schema["row"]])
     schema = StructType(schema.fields + StructType.fromDDL("score double, spans array<struct<start:int,end:int,score:double>>").fields)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score, found = judge(b.column(1), held.value)
+            score, found = judge(b.column(0).field(at), held.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(found, spans)], ["row", "score", "spans"])
 
     return src.mapInArrow(run, schema)

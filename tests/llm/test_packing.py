@@ -70,3 +70,18 @@ def test_costs_are_balanced_and_empty_tables_give_nothing(spark):
     full = [c for k, c in cost.items() if size[k] == 4096]
     assert max(full) < 1.35 * min(full)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_parts_kept_are_bounded_and_used_ones_stay(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "PARTS_KEPT", 400)
+    enc = packing.Encoder(tokenizer_path())
+    letters = "abcdefghij"
+    words = [a + b + c for a in letters for b in letters for c in letters]
+    want = [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    done, single = [], enc.part
+    monkeypatch.setattr(enc, "part", lambda run: done.append(run) or single(run))
+    for i in range(0, 1000, 50):
+        assert enc.ids(["again!"] + words[i : i + 50])[1:] == want[i : i + 50]
+        enc.known, enc.older = {"": b""}, {}
+        assert len(enc.parts) + len(enc.older_parts) <= 400 + 110
+    assert done.count("again") == 1

@@ -83,3 +83,13 @@ def test_query_has_a_row_per_document(spark):
     sf = "/root/testdata/sf0.001"
     out = QUERIES["op6_toxicity"](spark, sf)
     assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_a_text_goes_to_the_worker_once(spark):
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -4.0, np.array([[0.98, 0.02], [0.5, 0.5]]), 0.1)
+    docs = spark.createDataFrame([(1, "en", "some words"), (2, None, None), (3, "de", "")], "doc_id long, lang string, text string")
+    found = toxicity.tag(docs, model)
+    sent = found._jdf.queryExecution().analyzed().children().apply(0).output().size()
+    assert sent == 1
+    assert [(r.row.doc_id, r.row.text, round(r.score, 3) == 0.1) for r in found.orderBy("row.doc_id").collect()] == [
+        (1, "some words", False), (2, None, True), (3, "", True)]
