@@ -108,11 +108,21 @@ def forward_backward(score: np.ndarray, there: np.ndarray, steps: np.ndarray, pa
     return (out, expected) if pairs else out
 
 
+def sampled_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Document and feature hashes of every token, a run of texts at a time, so that what is held by the byte stays small."""
+    body, offsets = bytesets.utf8(pa.array(texts, pa.string()))
+    docs, hashes = [np.zeros(0, np.int64)], [np.zeros((0, len(PREFIXES)), np.uint64)]
+    for first, end in bytesets.chunks(offsets):
+        doc, _, _, found = tokens(body[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
+        docs.append(doc + first)
+        hashes.append(found)
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.5, decay: float = 1e-4, batch: int = 4096) -> Model:
     """A field fitted to labelled texts by Adagrad on the likelihood of the derived token labels."""
     label = np.array(labels, bool)
-    body, offsets = bytesets.utf8(pa.array(texts, pa.string()))
-    doc, _, _, hashes = tokens(body, offsets)
+    doc, hashes = sampled_tokens(texts)
     toxic_docs, clean_docs = int(label.sum()), int((~label).sum())
     # a column at a time: the driver holds no sorted copy of all hashes
     keys = np.unique(np.concatenate([np.unique(hashes[:, k]) for k in range(hashes.shape[1])]))

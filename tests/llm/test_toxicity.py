@@ -93,3 +93,20 @@ def test_a_text_goes_to_the_worker_once(spark):
     assert sent == 1
     assert [(r.row.doc_id, r.row.text, round(r.score, 3) == 0.1) for r in found.orderBy("row.doc_id").collect()] == [
         (1, "some words", False), (2, None, True), (3, "", True)]
+
+
+def test_sample_is_tokenised_in_runs(monkeypatch):
+    texts = ["Zounds the vermin", None, "", "un été très long", "a " * 40]
+    whole = toxicity.sampled_tokens(texts)
+    most = []
+
+    def counted(body, offsets, plain=toxicity.tokens):
+        most.append(len(body))
+        return plain(body, offsets)
+
+    monkeypatch.setattr(toxicity, "tokens", counted)
+    monkeypatch.setattr(toxicity.bytesets.chunks, "__defaults__", (30,))
+    parts = toxicity.sampled_tokens(texts)
+    assert len(most) == 3 and max(most) == 80
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert [len(x) for x in toxicity.sampled_tokens([])] == [0, 0]
