@@ -180,3 +180,30 @@ def test_citations_of_a_segment_are_found_once(spark):
     assert plan.count("regexp_extract_all") == len(citations.EXPLICIT_PATTERNS)
     assert [(r.segment_no, r.citation_type, r.confidence) for r in found.orderBy("segment_no").collect()] == [
         (0, "direct", 0.95), (1, "paraphrase", 1.0)]
+
+
+def test_whole_numbers_are_compared_by_three(monkeypatch):
+    r = np.random.default_rng(11)
+    v = np.unique(r.poisson(r.gamma(1.0, 0.7, (1300, 1)), (1300, 64)).astype(float), axis=0)
+    v = np.concatenate([v[r.permutation(len(v))], np.eye(64)[:3] * 400, np.full((1, 64), 9.0)])
+    q = np.concatenate([r.poisson(0.5, (150, 64)).astype(float), np.zeros((1, 64)), np.full((1, 64), 30.0), v[:5]])
+    looked = []
+
+    def counted(q, packed, *args, plain=search.near_counts):
+        looked.append(3 * len(packed))
+        return plain(q, packed, *args)
+
+    monkeypatch.setattr(search, "ROWS_AT_ONCE", 32)
+    monkeypatch.setattr(search, "near_counts", counted)
+    scale = np.sqrt((q * q).sum(axis=1)[:, None] * (v * v).sum(axis=1))
+    sims = np.floor(np.divide(q @ v.T, scale, out=np.zeros(scale.shape), where=scale > 0) * 1e6 + 0.5) / 1e6
+    for k, floor in ((3, None), (10, 0.4), (1, 0.0)):
+        want = [(i, int(j), sims[i, j]) for i in range(len(q)) for j in np.lexsort((np.arange(len(v)), -sims[i]))[:k] if floor is None or sims[i, j] >= floor]
+        for some in (q, q[:150]):
+            got = search.best_rows(some, search.Corpus(v), k, floor, 6)
+            assert list(zip(*(x.tolist() for x in got))) == [w for w in want if w[0] < len(some)]
+    assert sum(looked) > 3 * len(v) * 0.8  # only the long query and rows need one product each
+    seen = len(looked)
+    search.best_rows(q - 0.5, search.Corpus(v), 3, None, 6)
+    search.best_rows(q, search.Corpus(v - 0.5), 3, None, 6)
+    assert len(looked) == seen
