@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import cleaning, vectors
-from scriptorium.operators import bibliography, chunking, search
+from scriptorium.operators import bibliography, chunking, search, training
 from scriptorium.plans import catalogue
 
 
@@ -207,3 +207,28 @@ def test_whole_numbers_are_compared_by_three(monkeypatch):
     search.best_rows(q - 0.5, search.Corpus(v), 3, None, 6)
     search.best_rows(q, search.Corpus(v - 0.5), 3, None, 6)
     assert len(looked) == seen
+
+
+def test_examples_compute_a_chunks_values_once(spark):
+    plan = catalogue.QUERIES["training_dataset"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # the density of a page
+    assert plan.index("AS instruction") < plan.index("Generate") < plan.index("concat(Contexto") and plan.index("round(") > plan.index("Generate")
+    texts = ["A - That, (that) thing -- ", "that", "\tÉté: that's it — that_x  !! that", "", "no term", "x that ... -"]
+    terms = ("that", "thing", "x")
+
+    def phrases(text):
+        said, found = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w], []
+        for term in terms:
+            for i, w in enumerate(said):
+                if term in w and term in text.lower():
+                    low = max(i, 1) - 1
+                    p = re.sub(r"[^\w\s]", "", " ".join(said[low : low + (3 if i == 0 else 4)])).strip(" ")
+                    if len(p.split(" ")) >= 2 and p not in found:
+                        found.append(p)
+        return found
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    got = rows.select("i", training.concepts(F.col("text"), terms).alias("c"), training.extractive_answer(
+        F.lit("THAT"), F.split("text", "[.!?]+")).alias("a")).orderBy("i").collect()
+    assert [r.c for r in got] == [phrases(x) for x in texts]
+    assert [r.a for r in got][4:] == ["no term", "x that"]
