@@ -195,6 +195,9 @@ def test_whole_numbers_are_compared_by_three(monkeypatch):
 
     monkeypatch.setattr(search, "ROWS_AT_ONCE", 32)
     monkeypatch.setattr(search, "near_counts", counted)
+    search.best_rows(q, search.Corpus(v), 3, None, 6)
+    assert not looked  # few queries aren't worth the packing
+    monkeypatch.setattr(search, "PACK_AFTER", 0)
     scale = np.sqrt((q * q).sum(axis=1)[:, None] * (v * v).sum(axis=1))
     sims = np.floor(np.divide(q @ v.T, scale, out=np.zeros(scale.shape), where=scale > 0) * 1e6 + 0.5) / 1e6
     for k, floor in ((3, None), (10, 0.4), (1, 0.0)):
