@@ -14,32 +14,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from scriptorium.functions.cleaning import clean
-from scriptorium.functions.vectors import Embedder, bag_of_words
+from scriptorium.functions.vectors import Embedder, bag_of_words, bag_of_words_batches
 from scriptorium.operators.chunking import chunk_id, pack_paragraphs
 from scriptorium.operators.embedding import embed_with_cache
 from scriptorium.operators.feedback import compose_updates, performance_sums, then, update_map
-from scriptorium.scale import number_rows, spread
-from scriptorium.sources.index import append_chunks, new_chunks, read_index
+from scriptorium.scale import number_rows
+from scriptorium.session import durable
+from scriptorium.sources.index import read_index
 
 LATENESS = "1 hour"
 
 
 def index_documents(
     documents: DataFrame, path: str, checkpoint: str, size: int = 800, separator: str = "\n\n",
-    embedder: Embedder = bag_of_words,
+    embedder: Embedder = bag_of_words_batches,
 ):
-    """Clean, chunk, embed and append arriving ``documents(doc_id, source, text)``."""
+    """Clean, chunk, embed and append arriving ``documents(doc_id, source, text)``.
+
+    Documents are dealt by id, so that equal chunks meet without being dealt again, and chunks pass to the index as they come: none
+    is kept.  The default embedder counts each chunk; any other is asked once for each text.
+    """
     def add(batch: DataFrame, _: int) -> None:
-        cleaned = spread(batch).select("doc_id", "source", clean(F.col("text")).alias("content"))
+        parts = max(batch.sparkSession.sparkContext.defaultParallelism, batch.rdd.getNumPartitions())
+        cleaned = batch.repartition(parts, "doc_id").select("doc_id", "source", clean(F.col("text")).alias("content"))
         packed = cleaned.select(
             "doc_id", "source", F.posexplode(pack_paragraphs(F.col("content"), size, separator=separator)).alias("chunk_index", "c")
-        ).select("doc_id", "source", "chunk_index", F.col("c.content").alias("text")).persist()
+        ).select("doc_id", "source", "chunk_index", F.col("c.content").alias("text"))
         named = packed.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text")))
+        fresh = named.dropDuplicates(["doc_id", "chunk_index", "chunk_id"])
         index = read_index(batch.sparkSession, path)
-        # what the index holds is dropped before it is embedded again
-        vectors, _new = embed_with_cache(named if index is None else new_chunks(named, index), None, embedder)
-        append_chunks(vectors.select("chunk_id", "doc_id", "source", "chunk_index", F.col("text").alias("content"), "vec"), path)
-        packed.unpersist()
+        if index is not None:
+            # what the index holds is dropped before it is embedded again
+            fresh = fresh.join(index.select("chunk_id"), "chunk_id", "left_anti")
+        if embedder in (bag_of_words, bag_of_words_batches):
+            # to count a text again is less work than to bring its counts to all its chunks
+            vectors = fresh.withColumn("vec", embedder(F.col("text")))
+        else:
+            vectors, _new = embed_with_cache(durable(fresh), None, embedder)
+        vectors.select("chunk_id", "doc_id", "source", "chunk_index", F.col("text").alias("content"), "vec").write.mode("append").parquet(path)
 
     return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
